@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, sharding
+from . import exact_dedup, line_templates, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), packing.default_tokenizer())
 
@@ -35,6 +43,8 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
+    "op8_line_templates": op8_line_templates,
     "op9_packing": op9_packing,
 }
 
