@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash
+from . import context_tree, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, token_trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trees.count_and_edit(_documents(spark, sf_dir), token_trees.default_vocabulary())
+
+
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(_documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_pieces": op1_pieces,
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_context_tree": op5_context_tree,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
