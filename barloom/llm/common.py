@@ -1,8 +1,8 @@
 """What the corpus operators share: scratch tables, hot-key safe joins, word rules.
 
-Every operator reads only the columns it is told to read, under internal names
-that begin with ``_``, so extra columns of the input, whatever they are called,
-never clash with its own.
+Every operator reads only the columns it is told to read. Where rows keep their
+other columns they travel boxed in one struct, so extra columns of the input,
+whatever they are called, never clash with an operator's own.
 """
 
 from __future__ import annotations
@@ -49,8 +49,23 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` as one struct column ``_row`` beside the columns ``own``."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the boxed rows again, some of them replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def lower_ascii(c: Column) -> Column:

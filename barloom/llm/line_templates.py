@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import boxed, named, text_or_empty, unboxed, written
 
 WILDCARD = b"<*>"
 #: Leading tokens below the token count on a line's path through the tree.
@@ -67,7 +67,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _held(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
-    return documents.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", text).withColumn("_mark", F.xxhash64("_text"))
+    return boxed(documents, _id=named(id_col).cast("long"), _text=text, _mark=F.xxhash64(text))
 
 
 def recurring(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -113,12 +113,12 @@ def drop_lines(
     same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_mark") == F.col("_gmark"))
     joined = held.join(gone, same, "left")
     left = F.array_join(F.filter(F.split("_text", "\n"), lambda s, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(left)
-    done = joined.withColumn(text_col, text)
+    done = joined.withColumn("_new", F.when(F.col("_dropped").isNull(), F.col("_row").getField(text_col)).otherwise(left))
     if report:
-        none = F.array().cast("array<int>")
-        return done.select(*columns, F.size(F.split("_text", "\n")).alias("_lines"), F.coalesce(F.array_sort("_dropped"), none).alias("_dropped"))
-    return done.where(F.col("_dropped").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+        done = done.withColumn("_lines", F.size(F.split("_text", "\n"))).withColumn("_dropped", F.coalesce(F.array_sort("_dropped"), F.array().cast("array<int>")))
+        return done.select(*[(F.col("_new") if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns], "_lines", "_dropped")
+    done = done.where(F.col("_dropped").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    return unboxed(done, columns, **{text_col: F.col("_new")})
 
 
 def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, text_or_empty, words_of
+from .common import WORD, boxed, named, text_or_empty, unboxed, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -146,4 +146,5 @@ def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_good(documents: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return judge(documents, text_col, rules).where("_kept").select(*documents.columns)
+    held = judge(boxed(documents, _text=named(text_col)), "_text", rules).where("_kept")
+    return unboxed(held, documents.columns)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import context_tree, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, token_trees
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +68,3 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import boxed, named, unboxed, written
 from .components import connected
 
 BITS, BYTES = 64, 8
@@ -153,16 +153,15 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     if plain["n"] == plain["ids"] == found.select("doc_id").distinct().count():
         lost = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")), "lost")
         lost = F.broadcast(lost) if lost.count() <= broadcast_ids else lost
-        return documents.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+        return unboxed(boxed(documents, _id=named(id_col).cast("long")).join(lost, F.col("_id") == F.col("_lost"), "left_anti"), documents.columns)
     return _one_each(documents, found, id_col, text_col, words)
 
 
 def _one_each(documents: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """The row kept of each class where ids do not tell rows apart."""
-    columns = documents.columns
     mark = F.pandas_udf(lambda texts: texts.map(lambda t: _signed(fingerprint(t, words))), "long")
     keys = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("_k"))
-    keys = keys.select(F.col("_k.doc_id").alias("_id"), F.col("_k.fp").alias("_fp"))
-    held = documents.withColumn("_fp0", mark(F.col(text_col).cast("string")))
-    chosen = held.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp0") == F.col("_fp")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_fp0"]).select(*columns)
+    keys = keys.select(F.col("_k.doc_id").alias("_kid"), F.col("_k.fp").alias("_kfp"))
+    held = boxed(documents, _id=named(id_col).cast("long"), _text=named(text_col).cast("string")).withColumn("_fp", mark("_text"))
+    chosen = held.join(keys, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
+    return unboxed(chosen.dropDuplicates(["_id", "_fp"]), documents.columns)
