@@ -6,24 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRADE = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField(
-            "data",
-            T.ArrayType(
-                T.StructType([T.StructField("T", T.LongType()), T.StructField("s", T.StringType()), T.StructField("p", T.StringType()), T.StructField("v", T.StringType()), T.StructField("S", T.StringType())])
-            ),
-        ),
-    ]
-)
+#: A trade's keys differ by case alone (s, S), so it is read as a map.
+MESSAGE = "struct<type: string, data: array<map<string, string>>>"
 
 
 def parse_trades(messages: DataFrame, value: str = "value") -> DataFrame:
     """``symbol, ts, price, volume, side`` from JSON trade messages; unreadable numbers become 0."""
-    rows = messages.select(F.from_json(F.col(value).cast("string"), TRADE).alias("m")).select(F.explode("m.data").alias("t"))
-    number = lambda c: F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)"), F.lit(0.0))
-    return rows.select(F.col("t.s").alias("symbol"), F.timestamp_millis("t.T").alias("ts"), F.col("t.T").alias("seq"), number("t.p").alias("price"), number("t.v").alias("volume"), F.col("t.S").alias("side"))
+    rows = messages.select(F.from_json(F.col(value).cast("string"), MESSAGE).alias("m")).select(F.explode("m.data").alias("t"))
+    number = lambda k: F.coalesce(F.expr(f"try_cast(t['{k}'] AS DOUBLE)"), F.lit(0.0))
+    held = rows.select(F.expr("t['s']").alias("symbol"), F.expr("try_cast(t['T'] AS BIGINT)").alias("seq"), number("p").alias("price"), number("v").alias("volume"), F.expr("t['S']").alias("side"))
+    return held.withColumn("ts", F.timestamp_millis("seq"))
 
 
 def minute_bars(ticks: DataFrame, width: str = "1 minute", late: str | None = None) -> DataFrame:
