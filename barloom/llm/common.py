@@ -68,11 +68,6 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
-def lower_ascii(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_of(c: Column) -> Column:
     """The words of a text, in order."""
     return F.filter(F.split(c, BLANK), lambda w: w != "")
