@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,13 +33,9 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def rounded(df: DataFrame, places: int = 6, **own: int) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """``df`` with its doubles rounded."""
-    return df.select([F.round(c, own.get(c, places)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
-
-def r6(c: Column | str, places: int = 6) -> Column:
-    return F.round(c, places)
+    return df.select([F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 from . import indicator_queries, grid_queries, resample_queries, stats_queries, tool_queries  # noqa: E402

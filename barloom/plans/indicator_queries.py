@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import grids, indicators as ind, recurrences as rec
+from ..operators import indicators as ind, recurrences as rec
 from ..sources import tables
 from . import catalog
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -108,8 +110,7 @@ def return_bounds(bars: DataFrame, most: int = 10, n_train: int = 400, n_test: i
 
 def coverage_study(spark: SparkSession, samples: int = 30, reps: int = 50, tries: int = 40, prob: float = 0.6, seed: int = 9) -> DataFrame:
     """How often percentile, pivot and BCa bounds of log profit factor miss its true value: tries are keys, all in one job."""
-    win, loss = 1.0, 1.0
-    truth = float(__import__("math").log(prob * win / ((1 - prob) * loss)))
+    truth = math.log(prob / (1 - prob))
     keys = spark.range(tries).select(F.col("id").alias("try"))
     data = keys.select("try", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("i"))
     size = F.abs(rng.normal(seed + 3, "try", "i"))
@@ -288,10 +289,3 @@ def chooser_bounds(bars: DataFrame, window: int, out_window: int, reps: int = 10
     """Drawdown quantiles of the chooser's returns by resampling."""
     picks = resample.chooser(bars, window, out_window).select("ret", (F.row_number().over(Window.orderBy("i")) - 1).alias("i"))
     return resample.drawdown_quantiles(picks, "ret", picks.count(), size, reps, seed)
-
-
-def criterion(name: str) -> Column:
-    return {"mean": F.avg("ret"), "total": F.sum("ret")}[name]
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "MARKET")]
