@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 DEPTH = 5
-SHARE = 128_000
+SHARE = 64_000
 HALF = np.log(0.5)
 _PAD = b"\0" * DEPTH
 
@@ -188,48 +188,58 @@ def kept_grams(grams: DataFrame, share: int) -> pd.DataFrame:
 
 
 class Tree:
-    """Nodes as rows: where each older byte leads, and log10 of all 256 bytes at the leaves."""
+    """Nodes as rows: where each older byte leads, and log10 of all 256 bytes at the leaves.
+
+    Counts are kept as the sparse rows they came in; a depth's dense table is
+    made when that depth is worked on, so no more than two are there at a time.
+    """
 
     def __init__(self, grams: pd.DataFrame):
         if grams.empty:
             grams = pd.DataFrame({"depth": [0], "ctx": [0], "byte": [0], "n": [0]})
-        counts, ids, parents = [np.zeros((1, 256))], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
+        self._rows, ids, parents = [], [], []
         for depth in range(DEPTH + 1):
             own = grams[grams["depth"] == depth]
             ctx, at = np.unique(own["ctx"].to_numpy(dtype=np.int64), return_inverse=True)
             if not len(ctx):
                 break
-            table = np.zeros((len(ctx), 256))
-            table[at, own["byte"].to_numpy(dtype=np.int64)] = own["n"].to_numpy()
-            up = np.searchsorted(ids[-1], ctx & ((1 << 8 * (depth - 1)) - 1)) if depth else np.zeros(1, dtype=np.int64)
-            if depth:
-                counts.append(table), ids.append(ctx), parents.append(up)
-            else:
-                counts[0], ids[0] = table, ctx
-        self._build(counts, ids, parents)
-
-    def _build(self, counts: list, ids: list, parents: list) -> None:
-        depths = len(counts)
-        inner, stops = [], [None] * depths  # which nodes have children; their chance of stopping
+            self._rows.append((at.astype(np.int32), own["byte"].to_numpy(dtype=np.uint8), own["n"].to_numpy(dtype=np.int64), len(ctx)))
+            parents.append(np.searchsorted(ids[-1], ctx & ((1 << 8 * (depth - 1)) - 1)) if depth else np.zeros(1, dtype=np.int64))
+            ids.append(ctx)
+        self._build(ids, parents)
+        del self._rows
+
+    def _counts(self, depth: int) -> np.ndarray:
+        at, byte, n, size = self._rows[depth]
+        table = np.zeros((size, 256))
+        table[at, byte] = n
+        return table
+
+    def _rest(self, own: np.ndarray, has: np.ndarray, below: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Counts of inner nodes less those of their children that have a node."""
+        rest = own.copy()
+        np.subtract.at(rest, up, below)
+        return rest[has]
+
+    def _build(self, ids: list, parents: list) -> None:
+        depths = len(ids)
+        inner = []
         for d in range(depths):
             has = np.zeros(len(ids[d]), dtype=bool)
             if d + 1 < depths:
                 has[parents[d + 1]] = True
             inner.append(has)
-        below = None  # ln weighted probabilities of the depth below, by node and decision
-        rests = [None] * depths
+        stops: list = [None] * depths  # inner nodes' chance of stopping
+        below = deeper = None  # ln weighted probabilities and counts of the depth below, by node
         for d in range(depths - 1, -1, -1):
-            total = evidence(counts[d])
-            has = inner[d]
+            counts, has = self._counts(d), inner[d]
+            total = evidence(counts)
             if has.any():
-                rest = counts[d].copy()
-                np.subtract.at(rest, parents[d + 1], counts[d + 1])
-                rests[d] = rest[has]
                 deep = np.zeros_like(total)
                 np.add.at(deep, parents[d + 1], below)
-                deep = deep[has] + evidence(rests[d])
-                total[has], stops[d] = weigh(total[has], deep)
-            below = total
+                total[has], stops[d] = weigh(total[has], deep[has] + evidence(self._rest(counts, has, deeper, parents[d + 1])))
+            below, deeper = total, counts
+        del below, deeper
         # inner nodes are numbered from 0, leaves (each inner node's shared child among them) from the last inner one on
         n_inner = [int(h.sum()) for h in inner]
         inner_at = np.concatenate([[0], np.cumsum(n_inner)])
@@ -245,20 +255,22 @@ class Tree:
         self.logs = np.zeros((int(leaf_at[-1]) - self.inner, 256), dtype=np.float32)
         done, left = np.zeros((1, 256)), np.ones((1, 256))
         for d in range(depths):
-            est, has = chances(counts[d]), inner[d]
+            counts, has = self._counts(d), inner[d]
+            est = chances(counts)
             at = numbers[d][~has] - self.inner
             self.logs[at] = _in_parts(byte_logs, done[~has] + left[~has] * est[~has])
             if not has.any():
                 break
             said, passed = done[has] + left[has] * stops[d] * est[has], left[has] * (1 - stops[d])
+            stops[d] = None
             shared = leaf_at[d + 1] - n_inner[d] + np.arange(n_inner[d])
-            self.logs[shared - self.inner] = _in_parts(byte_logs, said + passed * chances(rests[d]))
+            rest = chances(self._rest(counts, has, self._counts(d + 1), parents[d + 1]))
+            self.logs[shared - self.inner] = _in_parts(byte_logs, said + passed * rest)
             view = self.next[inner_at[d] : inner_at[d + 1]]
             view[:] = shared[:, None]
             up = numbers[d][parents[d + 1]] - inner_at[d]
             view[up, (ids[d + 1] >> (8 * d)) & 255] = numbers[d + 1]
             done, left = said[up], passed[up]
-            counts[d] = None
         self.next, self.logs = self.next.reshape(-1), self.logs.reshape(-1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -371,7 +383,9 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     n_train, distinct = int((totals["n"] or 0) + ends), int(totals["v"] + (ends > 0))
     least = _head(words, head_words)
     gain = lambda n: np.log10(n + 0.5) - np.log10(0.5)  # noqa: E731  over a word that was never seen
-    head = spark.sparkContext.broadcast({bytes(r["word"]): float(gain(r["n"])) for r in words.where(F.col("n") >= least).collect()})
+    common = words.where(F.col("n") >= least).toArrow()
+    head = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), gain(common["n"].to_numpy()).tolist(), strict=True)))
+    del common
 
     out = f"doc_id {kind}, held_out boolean, score double, n_bytes long, n_tokens long, n_head long, gain double, tail array<binary>"
     scored = written(rows.mapInArrow(_score_rows(tree, head), out).withColumn("rid", F.monotonically_increasing_id()), "scored")
