@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """How the field is fitted. ``sample_docs`` bounds the labelled rows it sees."""
+    """How the field is fitted. ``sample_docs`` bounds the labelled rows it sees, ``sample_chars`` what it sees of each."""
 
     sample_docs: int = 2000
+    sample_chars: int = 20_000
     words_per_doc: int = 96
     sequences: int = 2400
     length: int = 48
@@ -42,6 +45,14 @@ class Field:
     starts: np.ndarray
     lexicon: dict[str, int]
 
+    @cached_property
+    def key(self) -> str:
+        """Tells fields apart by what they hold."""
+        held = hashlib.sha256(repr((self.langs, sorted(self.lexicon.items()))).encode())
+        for table in (self.weights, self.moves, self.starts):
+            held.update(table.tobytes())
+        return held.hexdigest()
+
 
 def features(word: str, table: int, lexicon: dict[str, int]) -> list[int]:
     """Slots of a lower-cased word: affixes, inner n-grams, and its places in the lexicons.
@@ -225,21 +236,19 @@ class _Emissions(dict):
 
 
 #: Words whose emissions a worker remembers, and words that are decoded at once.
-CACHE, AT_ONCE = 400_000, 250_000
-_kept: dict[int, _Emissions] = {}
+CACHE, AT_ONCE = 200_000, 250_000
+_kept: dict[str, _Emissions] = {}
 
 
 class Tagger:
-    """Applies a field to texts; emissions of a word are worked out once a worker."""
+    """Applies a field to texts; emissions of a word are worked out once a worker and field."""
 
-    def __init__(self, field: Field, key: int | None = None):
+    def __init__(self, field: Field):
         self._field = field
-        if key is None:
-            self._seen = _Emissions(field)
-        else:
-            if key not in _kept:
-                _kept.clear()
-            self._seen = _kept.setdefault(key, _Emissions(field))
+        if field.key not in _kept:
+            _kept.clear()
+            _kept[field.key] = _Emissions(field)
+        self._seen = _kept[field.key]
 
     def words(self, text: str) -> list[tuple[str, np.ndarray]]:
         """Each word with its posterior over the field's languages."""
@@ -291,11 +300,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Field:
-    """A field fitted on ``settings.sample_docs`` documents with a language, chosen by a hash of id and text."""
-    rows = documents.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
-    chosen = rows.orderBy("h", "t", "l").limit(settings.sample_docs).collect()
-    return fit([(r.t, r.l) for r in chosen], settings)
+    """A field fitted on about ``settings.sample_docs`` documents with a language, chosen by a hash of id and text.
+
+    The hash must lie below the share of documents wanted, so each task sends
+    its few and the driver gets the sample, whatever the number of tasks; a row
+    that is repeated counts once. Of a long text a stretch at a hashed place is
+    taken. Only fitting samples; prediction reads every text whole.
+    """
+    labelled = documents.where(~held_out(id_col) & F.col(lang_col).isNotNull())
+    share = settings.sample_docs / max(1, labelled.count())
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = labelled.where(F.col(text_col).isNotNull()).select(mark.alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
+    if share < 1:
+        rows = rows.where(F.col("h") < int((2 * share - 1) * float(1 << 63)))
+    room = F.greatest(F.length("t") - settings.sample_chars, F.lit(0))
+    stretch = F.substring(F.col("t"), (F.pmod(F.col("h"), room + 1) + 1).cast("int"), F.lit(settings.sample_chars))
+    chosen = rows.select("h", stretch.alias("t"), "l").distinct().collect()
+    return fit([(r.t, r.l) for r in sorted(chosen)], settings)
 
 
 def predict(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +326,7 @@ def predict(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model.value, model.value.weights.__array_interface__["data"][0])
+        tagger = Tagger(model.value)
         for batch in batches:
             found = tagger.texts(batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
@@ -330,7 +351,7 @@ def keep_identified(documents: DataFrame, text_col: str = "text", id_col: str =
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model.value, model.value.weights.__array_interface__["data"][0])
+        tagger = Tagger(model.value)
         for batch in batches:
             found = tagger.texts(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
