@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Runs and words whose ids a worker remembers; beyond that it forgets them and starts anew.
-RUN_CACHE, WORD_CACHE = 300_000, 600_000
+RUN_CACHE, WORD_CACHE = 150_000, 300_000
 
 
 def _latin(kind: str) -> str:
