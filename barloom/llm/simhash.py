@@ -149,19 +149,24 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     """
     prints = written(simhashes(documents, id_col, text_col, words), "prints")
     found = written(_with_class(prints, classes(prints)), "found")
+    return keep_one_each(documents, found, id_col, text_col, lambda t: _signed(fingerprint(t, words)), broadcast_ids)
+
+
+def keep_one_each(documents: DataFrame, found: DataFrame, id_col: str, text_col: str, mark, broadcast_ids: int) -> DataFrame:
+    """The row kept of each class of ``found`` (``doc_id, fp, root, component_id``); ``mark`` gives a text's ``fp``."""
     plain = found.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
     if plain["n"] == plain["ids"] == found.select("doc_id").distinct().count():
         lost = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")), "lost")
         lost = F.broadcast(lost) if lost.count() <= broadcast_ids else lost
         return unboxed(boxed(documents, _id=named(id_col).cast("long")).join(lost, F.col("_id") == F.col("_lost"), "left_anti"), documents.columns)
-    return _one_each(documents, found, id_col, text_col, words)
+    return _one_each(documents, found, id_col, text_col, mark)
 
 
-def _one_each(documents: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _one_each(documents: DataFrame, found: DataFrame, id_col: str, text_col: str, mark) -> DataFrame:
     """The row kept of each class where ids do not tell rows apart."""
-    mark = F.pandas_udf(lambda texts: texts.map(lambda t: _signed(fingerprint(t, words))), "long")
+    marked = F.pandas_udf(lambda texts: texts.map(mark), "long")
     keys = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("_k"))
     keys = keys.select(F.col("_k.doc_id").alias("_kid"), F.col("_k.fp").alias("_kfp"))
-    held = boxed(documents, _id=named(id_col).cast("long"), _text=named(text_col).cast("string")).withColumn("_fp", mark("_text"))
+    held = boxed(documents, _id=named(id_col).cast("long"), _text=named(text_col).cast("string")).withColumn("_fp", marked("_text"))
     chosen = held.join(keys, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
     return unboxed(chosen.dropDuplicates(["_id", "_fp"]), documents.columns)
