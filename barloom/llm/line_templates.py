@@ -22,6 +22,10 @@ BAND_TOKENS = 12
 MIN_TOKENS = 3
 #: A template that so many different texts hold recurs.
 MIN_TEXTS = 3
+#: A line that so many different texts hold word for word recurs, as does a long line by any of its templates.
+EXACT_TEXTS = 2
+#: Lines of so many tokens are long.
+LONG_TOKENS = 50
 
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -48,21 +52,40 @@ def templates(line: bytes) -> list[bytes]:
     return [path + b" ".join([*bands[:k], WILDCARD, *bands[k + 1 :]]) for k in range(BANDS)]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def exact_templates(line: bytes) -> tuple[list[bytes], list[bytes]]:
+    """The templates that two texts suffice for (the line word for word; any of a long line's), and the others."""
+    found, tokens = templates(line), line.split()
+    if not found or len(tokens) >= LONG_TOKENS:
+        return found, []
+    whole = b"%d %s" % (len(tokens), b" ".join(tokens))
+    return [whole], [] if found == [whole] else found
 
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        docs, marks, lines, keys = [], [], [], []
-        for doc_id, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                for t in templates(line):
-                    docs.append(doc_id)
-                    marks.append(mark)
-                    lines.append(n)
-                    keys.append(digest(t) - (1 << 63))
-        columns = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["_id", "_mark", "_line", "_key"])
+
+def _keys(exact: bool):
+    """Rows of template keys; with ``exact`` those that two texts suffice for are odd and the others even."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            docs, marks, lines, keys = [], [], [], []
+            for doc_id, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                    if exact:
+                        few, many = exact_templates(line)
+                        found = [digest(t) | 1 for t in few] + [digest(t) >> 1 << 1 for t in many]
+                    else:
+                        found = [digest(t) for t in templates(line)]
+                    for key in found:
+                        docs.append(doc_id)
+                        marks.append(mark)
+                        lines.append(n)
+                        keys.append(key - (1 << 63))
+            columns = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_mark", "_line", "_key"])
+
+    return run
 
 
 def _held(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,16 +93,20 @@ def _held(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return boxed(documents, _id=named(id_col).cast("long"), _text=text, _mark=F.xxhash64(text))
 
 
-def recurring(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
+def recurring(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, exact_texts: int | None = None) -> DataFrame:
     """``_key, _first, _texts``: templates in at least ``min_texts`` different texts, and the smallest id.
 
+    With ``exact_texts``, so many suffice for lines that are equal word for word
+    and for the templates of long lines.
+
     Whole copies of a document count once: they are duplicates of documents and
     not of lines. Counts are folded per task and per text before they meet, so
     a line in a third of all documents costs one row per task.
     """
-    rows = _held(documents, id_col, text_col).select("_id", "_mark", "_text").mapInArrow(_keys, "_id long, _mark long, _line int, _key long")
+    rows = _held(documents, id_col, text_col).select("_id", "_mark", "_text").mapInArrow(_keys(exact_texts is not None), "_id long, _mark long, _line int, _key long")
     by_text = rows.groupBy("_key", "_mark").agg(F.min("_id").alias("_first"))
-    return by_text.groupBy("_key").agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") >= min_texts)
+    enough = F.lit(min_texts) if exact_texts is None else F.when(F.col("_key").bitwiseAND(F.lit(1).cast("long")) == 1, exact_texts).otherwise(min_texts)
+    return by_text.groupBy("_key").agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") >= enough)
 
 
 def drop_lines(
@@ -89,10 +116,11 @@ def drop_lines(
     min_texts: int = MIN_TEXTS,
     report: bool = False,
     broadcast_templates: int = 1_000_000,
+    exact_texts: int | None = None,
 ) -> DataFrame:
     """``documents`` without the lines of recurring templates, except in each template's first document.
 
-    The first is the one with the smallest id, so some copy of every passage
+    Templates recur as in ``recurring``. The first is the one with the smallest id, so some copy of every passage
     stays. Documents keep all columns; ``text_col`` has its other lines in order.
     A document that loses all its words goes, unless ``report`` is set; then all
     rows stay, with ``_lines`` (how many there were) and ``_dropped`` (the numbers of those that went). A null
@@ -105,8 +133,8 @@ def drop_lines(
     """
     columns = documents.columns
     held = _held(documents, id_col, text_col)
-    found = written(recurring(documents, id_col, text_col, min_texts), "templates").select("_key", "_first")
-    rows = held.select("_id", "_mark", "_text").mapInArrow(_keys, "_id long, _mark long, _line int, _key long")
+    found = written(recurring(documents, id_col, text_col, min_texts, exact_texts), "templates").select("_key", "_first")
+    rows = held.select("_id", "_mark", "_text").mapInArrow(_keys(exact_texts is not None), "_id long, _mark long, _line int, _key long")
     hits = rows.join(F.broadcast(found) if found.count() <= broadcast_templates else found, "_key")
     gone = hits.where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_mark").agg(F.collect_set("_line").alias("_dropped"))
     gone = gone.select(F.col("_id").alias("_gid"), F.col("_mark").alias("_gmark"), "_dropped")
@@ -121,9 +149,9 @@ def drop_lines(
     return unboxed(done, columns, **{text_col: F.col("_new")})
 
 
-def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_texts: int | None = None) -> DataFrame:
     """One row per input row: id, lines, lines dropped and where, and a digest of what stays."""
-    held = drop_lines(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", report=True)
+    held = drop_lines(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", report=True, exact_texts=exact_texts)
     return held.select(
         "doc_id",
         F.col("_lines").cast("long").alias("n_lines"),

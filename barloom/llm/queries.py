@@ -45,7 +45,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.line_report(_documents(spark, sf_dir))
+    return line_templates.line_report(_documents(spark, sf_dir), exact_texts=line_templates.EXACT_TEXTS)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
