@@ -163,17 +163,23 @@ def blocks_of(n: int, blocks: int) -> list[tuple[int, int]]:
     return out
 
 
-def cscv(returns: DataFrame, n: int, blocks: int, first: int, by: str = "symbol", keys: tuple[str, ...] = ("long", "short")) -> DataFrame:
+def cscv(returns: DataFrame, n: int | None, blocks: int, first: int, by: str = "symbol", keys: tuple[str, ...] = ("long", "short")) -> DataFrame:
     """``by, n_splits, probability``: how often the best system of half the blocks is at or below the median of the rest.
 
     Sums by system and block are all that the splits need; the splits are the
-    halves of a small number of blocks, a bounded relation.
+    halves of a small number of blocks, a bounded relation. Blocks are cut over
+    the first ``n`` returns, without ``n`` over all returns of each series.
     """
-    cut = blocks_of(n, blocks)
+    cut = blocks_of(n or blocks, blocks)
     spark = returns.sparkSession
     place = F.col("i") - first
     block = F.lit(None).cast("int")
-    for k, (a, b) in enumerate(cut):
+    if n is None:
+        whole = returns.groupBy(by).agg((F.max("i") - first + 1).alias("_whole"))
+        cuts = F.udf(lambda m: [b for _, b in blocks_of(m, blocks)], "array<int>")
+        returns = returns.join(whole.select(by, cuts("_whole").alias("_ends")), by)
+        block = F.size(F.filter("_ends", lambda end: end <= place))
+    for k, (a, b) in enumerate(cut if n is not None else []):
         block = F.when((place >= a) & (place < b), F.lit(k)).otherwise(block)
     sums = returns.withColumn("block", block).where("block IS NOT NULL").groupBy(by, *keys, "block").agg(F.sum("ret").alias("s"), F.count(F.lit(1)).alias("c"))
     splits = [(k, b, b in inside) for k, inside in enumerate(combinations(range(len(cut)), len(cut) // 2)) for b in range(len(cut))]

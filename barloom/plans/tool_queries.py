@@ -43,7 +43,7 @@ def register(add) -> None:
     add("streamed_bars", stream_query)
     add("entropy_report", lambda s, d: tools.entropy_report(bars(s, d)))
     add("stationarity_report", lambda s, d: tools.stationarity_report(bars(s, d)))
-    add("selection_report", lambda s, d: tools.selection_report(bars(s, d), 600, 6, 8))
+    add("selection_report", lambda s, d: tools.selection_report(bars(s, d), None, 6, 8))
     add("breakout_performance", lambda s, d: tools.performance_report(bars(s, d), most=8))
     add("mean_bounds", lambda s, d: tools.mean_bounds(bars(s, d), SYMBOL, 100, most=6))
     add("return_bounds", lambda s, d: tools.return_bounds(bars(s, d), 6))

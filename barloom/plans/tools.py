@@ -49,7 +49,7 @@ def stationarity_report(bars: DataFrame, lookback: int = 10, fractile: float = 0
     return out
 
 
-def selection_report(bars: DataFrame, n: int, blocks: int = 10, most: int = 20) -> DataFrame:
+def selection_report(bars: DataFrame, n: int | None, blocks: int = 10, most: int = 20) -> DataFrame:
     """Best criterion (x 1000) over all bars, and the chance that the best in-sample is mediocre out of it."""
     rows = grids.crossover_returns(bars, "x", most)
     found = resample.cscv(rows, n, blocks, most - 1)
