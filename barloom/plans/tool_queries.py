@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from ..sources import tables
 from ..streaming import bars as minute
 from . import catalog, tools
 from .indicator_queries import full, sql, w
-from .resample_queries import SYMBOL
 
 TICKS = "SELECT event_type AS symbol, ts, event_id, value FROM events"
 
@@ -32,6 +33,12 @@ def stream_query(spark, sf_dir):
     return spark.read.schema(out).parquet(f"{home}/bars")
 
 
+def every_market(df, run):
+    """What ``run`` gives for each market of ``df``, with its symbol."""
+    symbols = sorted(r.symbol for r in df.select("symbol").distinct().collect())
+    return reduce(lambda a, b: a.unionByName(b), [run(x).withColumn("symbol", F.lit(x)) for x in symbols])
+
+
 def register(add) -> None:
     q = catalog.rounded
     bars = tables.bars
@@ -45,7 +52,7 @@ def register(add) -> None:
     add("stationarity_report", lambda s, d: tools.stationarity_report(bars(s, d)))
     add("selection_report", lambda s, d: tools.selection_report(bars(s, d), None, 6, 8))
     add("breakout_performance", lambda s, d: tools.performance_report(bars(s, d), most=8))
-    add("mean_bounds", lambda s, d: tools.mean_bounds(bars(s, d), SYMBOL, 100, most=6))
+    add("mean_bounds", lambda s, d: every_market(bars(s, d), lambda x: tools.mean_bounds(bars(s, d), x, 100, most=6)))
     add("return_bounds", lambda s, d: tools.return_bounds(bars(s, d), 6))
     add("bootstrap_coverage", lambda s, d: tools.coverage_study(s))
     add("drawdown_study", lambda s, d: tools.drawdown_study(s))
@@ -56,17 +63,17 @@ def register(add) -> None:
     add("validation_study", lambda s, d: tools.validation_study(s))
     add("chooser_drawdown", lambda s, d: tools.chooser_bounds(bars(s, d), 60, 40))
 
-    def coefficients(s, d):
-        model, _, names = tools.elastic_net(bars(s, d), SYMBOL)
+    def coefficients(s, d, symbol):
+        model, _, names = tools.elastic_net(bars(s, d), symbol)
         return s.createDataFrame([(n, float(b), model.lam, model.explained) for n, b in zip(names, model.beta, strict=True)], "feature string, beta double, lam double, explained double")
 
-    add("elastic_net", coefficients)
+    add("elastic_net", lambda s, d: every_market(bars(s, d), lambda x: coefficients(s, d, x)))
 
-    def predictions(s, d):
-        _, scored, _ = tools.elastic_net(bars(s, d), SYMBOL)
+    def predictions(s, d, symbol):
+        _, scored, _ = tools.elastic_net(bars(s, d), symbol)
         return backtest.out_of_sample(scored.where("test AND pred IS NOT NULL AND target IS NOT NULL"), "pred", "target")
 
-    add("elastic_net_out_of_sample", predictions)
+    add("elastic_net_out_of_sample", lambda s, d: every_market(bars(s, d), lambda x: predictions(s, d, x)))
     pairs = [(2, 6), (4, 6), (4, 12), (8, 12)]
     names = [f"f{a}_{b}" for a, b in pairs]
     cells = [(a, b) for k, a in enumerate(names) for b in names[k:]]
@@ -78,11 +85,11 @@ def register(add) -> None:
     feats = "q AS (SELECT symbol, i, " + ", ".join(f"{full(b, f'avg(x) OVER {w(a)} - avg(x) OVER {w(b)}')} AS f{a}_{b}" for a, b in pairs) + ", lead(x) OVER (PARTITION BY symbol ORDER BY i) - x AS target FROM bars)"
     add("gram_moments", gram, sql("symbol, count(*) AS n, " + ", ".join(f"round(sum({a} * {b}), 6) AS {a}__{b}" for a, b in cells) + ", " + ", ".join(f"round(sum({a} * target), 6) AS {a}__y" for a in names), feats, "q", "WHERE i >= 11 AND target IS NOT NULL GROUP BY symbol"))
 
-    def evolved(s, d):
-        best, value, curves = tools.evolved_system(bars(s, d), SYMBOL, 20, 12, 3)
+    def evolved(s, d, symbol):
+        best, value, curves = tools.evolved_system(bars(s, d), symbol, 20, 12, 3)
         return s.createDataFrame([(k, v, y, float(best[k]), float(value)) for k, v, y in curves], "parameter int, value double, total double, best double, best_total double")
 
-    add("differential_evolution", evolved)
+    add("differential_evolution", lambda s, d: every_market(bars(s, d), lambda x: evolved(s, d, x)))
 
     def sensitivities(s, d):
         bounds = optimize.Bounds((-3.0, -3.0), (3.0, 3.0))
@@ -101,10 +108,10 @@ def register(add) -> None:
     add("brent_maximum", brent, "SELECT 2.0::DOUBLE AS x, 5.0::DOUBLE AS y")
     add(
         "lambda_path",
-        lambda s, d: (lambda m: s.createDataFrame([(float(a), *map(float, b)) for a, b in zip(*models.path(*models.standardized(m)[:2], 0.5, 20), strict=True)], "lam double, " + ", ".join(f"{n} double" for n in names)))(
+        lambda s, d: every_market(bars(s, d), lambda x: (lambda m: s.createDataFrame([(float(a), *map(float, b)) for a, b in zip(*models.path(*models.standardized(m)[:2], 0.5, 20), strict=True)], "lam double, " + ", ".join(f"{n} double" for n in names)))(
             models.gather(
-                bars(s, d).where(F.col("symbol") == SYMBOL).select("i", *[ind.ma_cross("x", a, b).alias(n) for (a, b), n in zip(pairs, names, strict=True)], "x", "symbol")
+                bars(s, d).where(F.col("symbol") == x).select("i", *[ind.ma_cross("x", a, b).alias(n) for (a, b), n in zip(pairs, names, strict=True)], "x", "symbol")
                 .withColumn("target", ind.targets("x")), names, "target",
             )[0]
-        ),
+        )),
     )
