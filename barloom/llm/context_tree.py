@@ -1,33 +1,39 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
 A byte is eight binary decisions, numbered 1 to 255 by the bits before them. Each
-decision has a tree of contexts: nothing, the last byte, the last two, and so on.
-A node's estimate is Krichevsky-Trofimov's, (n1 + 1/2) / (n0 + n1 + 1), and its
-weight halves between stopping there and its deeper contexts, by how well either
-would have coded the training bytes. A text ends with byte 0, and zero bytes
-stand before it.
-
-A node has a child of its own for each older byte whose context holds at least
-one in ``SHARE`` of all training bytes; all other bytes share one more child. So
-there are at most SHARE contexts a depth, whatever the size of the corpus, and
-still every training byte is counted in every node that it belongs to.
+decision has a tree of contexts: nothing, the last byte, the last two, and so on
+to ``DEPTH`` bytes. A node's estimate is Krichevsky-Trofimov's,
+(n1 + 1/2) / (n0 + n1 + 1), and its weight halves between stopping there and its
+deeper contexts, by how well either would have coded the training bytes. A text
+ends with byte 0, and zero bytes stand before it.
+
+The tree is never gathered: every context of the training texts has its node,
+and the nodes grow with the corpus. A text's score is the sum over its grams (the
+context's bytes and the byte after them) of one number each, so the tree is a
+table of grams: counted by a shuffle, solved by subtrees of ``TOP`` context bytes
+in tasks, and met by the texts again. Only the nodes above the subtrees, 65,536
+at most, are solved on the driver. Grams of texts that are not learnt from are in
+the table with count nought, so each place of each text meets a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import named, text_or_empty, written
 
+#: Context bytes. A gram has one byte more and is one number: the newest context byte highest, the byte itself lowest.
 DEPTH = 5
-SHARE = 64_000
+#: Context bytes that name a subtree. A task solves whole subtrees, about GRAMS_A_TASK rows of them.
+TOP = 2
+GRAMS_A_TASK = 400_000
 HALF = np.log(0.5)
 _PAD = b"\0" * DEPTH
 
@@ -47,27 +53,8 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
 
 
-def bit_counts(by_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n0, n1) of decisions 0..255 (0 unused) from counts by byte, over the last axis."""
-    heap = np.zeros((*by_byte.shape[:-1], 512))
-    heap[..., 256:] = by_byte
-    for level in range(7, -1, -1):
-        lo = 1 << level
-        heap[..., lo : 2 * lo] = heap[..., 2 * lo : 4 * lo : 2] + heap[..., 2 * lo + 1 : 4 * lo : 2]
-    n0, n1 = heap[..., 0::2].copy(), heap[..., 1::2].copy()
-    n0[..., 0] = n1[..., 0] = 0
-    return n0, n1
-
-
-def byte_logs(p1: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability from the chance of a one at each decision."""
-    out = np.zeros((*p1.shape[:-1], 1))
-    l0, l1 = np.log10(1 - p1), np.log10(p1)
-    for level in range(8):
-        lo = 1 << level
-        both = np.stack([out + l0[..., lo : 2 * lo], out + l1[..., lo : 2 * lo]], axis=-1)
-        out = both.reshape(*p1.shape[:-1], 2 * lo)
-    return out
+def estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return (n1 + 0.5) / (n0 + n1 + 1.0)
 
 
 def weigh(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,27 +64,6 @@ def weigh(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return total, np.exp(own - total)
 
 
-def _in_parts(f, *tables: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """``f`` of rows of tables, some at a time, so that its own copies stay small."""
-    if len(tables[0]) <= rows:
-        return f(*tables)
-    return np.concatenate([f(*(t[i : i + rows] for t in tables)) for i in range(0, len(tables[0]), rows)])
-
-
-def evidence(by_byte: np.ndarray) -> np.ndarray:
-    """ln of the KT probability of each decision's bits, from counts by byte."""
-    return _in_parts(lambda t: kt_log(*bit_counts(t)), by_byte)
-
-
-def chances(by_byte: np.ndarray) -> np.ndarray:
-    """The KT estimate of a one at each decision, from counts by byte."""
-    return _in_parts(lambda t: estimate(*bit_counts(t)), by_byte)
-
-
-def estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return (n1 + 0.5) / (n0 + n1 + 1.0)
-
-
 def buffer_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with pads, each text's first place, its length). A text's end is the pad byte after it."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -106,7 +72,7 @@ def buffer_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, sizes
 
 
-def batched(texts: Iterator[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
+def batched(texts: Iterator[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -118,174 +84,222 @@ def batched(texts: Iterator[bytes], most: int = 1 << 21) -> Iterator[list[bytes]
         yield held
 
 
-def grams_of(texts: list[bytes]) -> np.ndarray:
-    """Every place's context bytes, oldest first, and its byte, as one number."""
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(each place's gram, each text's number of places): the places are those of its bytes and its end."""
     data, starts, sizes = buffer_of(texts)
     n = len(data) - DEPTH
     code = np.zeros(n, dtype=np.int64)
-    for k in range(DEPTH + 1):
+    for back in range(1, DEPTH + 1):
+        code |= data[DEPTH - back : DEPTH - back + n]
         code <<= 8
-        code |= data[k : k + n]
+    code |= data[DEPTH:]
     keep = np.ones(n, dtype=bool)
     for k in range(1, DEPTH):  # the rest of the pad after each text's end byte
         at = starts + sizes - DEPTH + k
         keep[at[at < n]] = False
-    return code[keep]
+    return code[keep], sizes + 1
 
 
 def _lowered(values: list[str | None]) -> Iterator[bytes]:
     return ((v or "").encode("utf-8", "surrogatepass").lower() for v in values)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes = np.concatenate([c for c, _ in held])
-        counts = np.concatenate([n for _, n in held])
-        own, at = np.unique(codes, return_inverse=True)
-        return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+def _folded(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct numbers in order, and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
-    def rows(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["code", "n"])
 
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of gram, places, and places in training texts."""
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for texts in batched(_lowered(batch.column(0).to_pylist())):
-            held.append(np.unique(grams_of(texts), return_counts=True))
-            if len(held) >= 8:
-                held[:] = [merged()]
-                if len(held[0][0]) > 3_000_000:
-                    yield rows(*held.pop())
+        learnt = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        texts = list(_lowered(batch.column(1).to_pylist()))
+        for use in (True, False):
+            for part in batched(t for t, x in zip(texts, learnt.tolist(), strict=True) if x == use):
+                codes, n = np.unique(grams_of(part)[0], return_counts=True)
+                held.append((codes, n, n if use else np.zeros_like(n)))
+                if len(held) >= 8:
+                    held[:] = [_folded(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > 2_000_000:
+                        yield _gram_rows(held.pop())
     if held:
-        yield rows(*merged())
+        yield _gram_rows(_folded(*map(np.concatenate, zip(*held, strict=True))))
 
 
-def gram_counts(training: DataFrame, text_col: str) -> DataFrame:
-    """``code, n``: how often each byte follows each context of full depth, folded per task before the shuffle."""
-    rows = training.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_count_grams, "code long, n long")
-    return rows.groupBy("code").agg(F.sum("n").alias("n"))
+def _gram_rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["g", "n", "learnt"])
 
 
-def kept_grams(grams: DataFrame, share: int) -> pd.DataFrame:
-    """(depth, context, byte, n) of all contexts that have a node, for depths 0 to DEPTH.
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``g, n, learnt`` of all grams of ``rows`` (``learn, t``): places, and those to learn from; folded per task before the shuffle."""
+    found = rows.select("learn", "t").mapInArrow(_count_grams, "g long, n long, learnt long")
+    return found.groupBy("g").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
 
-    A context's bytes are its number's low bytes, the newest lowest. At most
-    ``share`` contexts a depth reach the count, hence the result is bounded.
-    """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // share))
-    low = lambda c, d: c.bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
-    out = []
-    for depth in range(DEPTH + 1):
-        by = grams.groupBy(low(F.col("code"), depth + 1).alias("g")).agg(F.sum("n").alias("n"))
-        by = by.select(F.shiftright("g", 8).alias("ctx"), low(F.col("g"), 1).cast("int").alias("byte"), "n")
-        big = by.groupBy("ctx").agg(F.sum("n").alias("_all")).where(F.col("_all") >= least).select("ctx")
-        out.append(by.join(F.broadcast(big), "ctx").select(F.lit(depth).alias("depth"), "ctx", "byte", "n"))
-    found = out[0]
-    for part in out[1:]:
-        found = found.unionByName(part)
-    return found.toPandas()
-
-
-class Tree:
-    """Nodes as rows: where each older byte leads, and log10 of all 256 bytes at the leaves.
-
-    Counts are kept as the sparse rows they came in; a depth's dense table is
-    made when that depth is worked on, so no more than two are there at a time.
+
+class _Level:
+    """The grams of contexts of one depth, in order, and which deeper gram belongs to which."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, up: np.ndarray | None):
+        self.codes, self.counts, self.up = codes, counts, up
+
+
+def levels(grams: np.ndarray, learnt: np.ndarray) -> list[_Level]:
+    """From full depth up to ``TOP``: a depth's grams lack the oldest byte of those one deeper."""
+    out = [_Level(grams, learnt.astype(np.float64), None)]
+    for _ in range(DEPTH - TOP):
+        deeper = out[-1]
+        codes, deeper.up = np.unique(deeper.codes >> 16 << 8 | deeper.codes & 255, return_inverse=True)
+        out.append(_Level(codes, np.bincount(deeper.up, weights=deeper.counts, minlength=len(codes)), None))
+    return out
+
+
+def solve(grams: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(chances, roots) of whole subtrees, given their distinct grams in order and the training counts.
+
+    ``chances[j, b]`` is the chance of a one, mixed over the depths from ``TOP``
+    on, at the b-th decision of gram j. ``roots`` has, for each newest byte and
+    decision, the counts of zeros and ones and the sum of ln weighted
+    probabilities over the subtrees.
     """
+    held = levels(grams, learnt)
+    chances = np.empty((len(grams), 8))
+    roots = []
+    for b in range(8):
+        below = None  # ln weighted probability of the nodes one deeper, and a gram of each
+        nodes = []
+        for at, level in enumerate(held):
+            key = level.codes >> (8 - b)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)
+            node = np.cumsum(new) - 1
+            total = np.add.reduceat(level.counts, first)
+            ones = np.add.reduceat(level.counts * (level.codes >> (7 - b) & 1), first)
+            weighted, stop = kt_log(total - ones, ones), None
+            if at:
+                deep, members = below
+                weighted, stop = weigh(weighted, np.bincount(node[held[at - 1].up[members]], weights=deep, minlength=len(first)))
+            nodes.append((node, estimate(total - ones, ones), stop))
+            below = weighted, first
+        weighted, first = below
+        code = held[-1].codes[first]
+        decision = (code >> 8 * TOP) << 8 | 1 << b | (code & 255) >> (8 - b)
+        roots.append(_folded(decision, total - ones, ones, weighted))
+        mixed = None  # from the top of the subtrees down
+        for at in range(len(held) - 1, -1, -1):
+            node, est, stop = nodes[at]
+            own = est[node] if stop is None else (stop * est)[node]
+            if mixed is None:
+                mixed, left = own, None if stop is None else (1 - stop)[node]
+            else:
+                up = held[at].up
+                mixed = mixed[up] + left[up] * own
+                left = None if stop is None else left[up] * (1 - stop)[node]
+        chances[:, b] = mixed
+    return chances, tuple(np.concatenate(c) for c in zip(*roots, strict=True))
+
+
+_SOLVED = "g long, n long, n0 double, n1 double, w double, " + ", ".join(f"q{b} double" for b in range(8))
+
+
+def _solve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of grams with their chances, and rows of roots with their decision, less 2^62, in place of the gram."""
+    parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if not parts:
+        return
+    grams, n, learnt = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(grams)
+    grams, n, learnt = grams[order], n[order], learnt[order]
+    chances, (decision, n0, n1, weighted) = solve(grams, learnt)
+    names = [c.split()[0] for c in _SOLVED.split(", ")]
+    none = lambda size: [pa.nulls(size, pa.float64())]
+    for at in range(0, len(grams), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        size = len(grams[part])
+        yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(n[part]), *none(size) * 3, *(pa.array(chances[part, b]) for b in range(8))], names=names)
+    size = len(decision)
+    yield pa.RecordBatch.from_arrays([pa.array(decision - (1 << 62)), pa.nulls(size, pa.int64()), pa.array(n0), pa.array(n1), pa.array(weighted), *none(size) * 8], names=names)
+
+
+def crown(decision: np.ndarray, n0: np.ndarray, n1: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(done, left) by newest byte and decision: what the depths above the subtrees say, and the weight they leave to them."""
+    done, left = np.zeros(1 << 16), np.ones(1 << 16)
+    if not len(decision):
+        return done, left
+    at = decision & 255
+    weighted, stop = weigh(kt_log(n0, n1), children)
+    sums = [np.bincount(at, weights=c, minlength=256) for c in (n0, n1, weighted)]
+    _, first = weigh(kt_log(sums[0], sums[1]), sums[2])
+    root = first * estimate(sums[0], sums[1])
+    done[decision] = root[at] + (1 - first[at]) * stop * estimate(n0, n1)
+    left[decision] = (1 - first[at]) * (1 - stop)
+    return done, left
+
+
+def logs_of(grams: np.ndarray, chances: np.ndarray, done: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 of each gram's byte after its context."""
+    out = np.zeros(len(grams))
+    byte, newest = grams & 255, (grams >> 8 * DEPTH) << 8
+    for b in range(8):
+        decision = newest | 1 << b | byte >> (8 - b)
+        one = done[decision] + left[decision] * chances[:, b]
+        out += np.log10(np.where(byte >> (7 - b) & 1, one, 1 - one))
+    return out
+
 
-    def __init__(self, grams: pd.DataFrame):
-        if grams.empty:
-            grams = pd.DataFrame({"depth": [0], "ctx": [0], "byte": [0], "n": [0]})
-        self._rows, ids, parents = [], [], []
-        for depth in range(DEPTH + 1):
-            own = grams[grams["depth"] == depth]
-            ctx, at = np.unique(own["ctx"].to_numpy(dtype=np.int64), return_inverse=True)
-            if not len(ctx):
-                break
-            self._rows.append((at.astype(np.int32), own["byte"].to_numpy(dtype=np.uint8), own["n"].to_numpy(dtype=np.int64), len(ctx)))
-            parents.append(np.searchsorted(ids[-1], ctx & ((1 << 8 * (depth - 1)) - 1)) if depth else np.zeros(1, dtype=np.int64))
-            ids.append(ctx)
-        self._build(ids, parents)
-        del self._rows
-
-    def _counts(self, depth: int) -> np.ndarray:
-        at, byte, n, size = self._rows[depth]
-        table = np.zeros((size, 256))
-        table[at, byte] = n
-        return table
-
-    def _rest(self, own: np.ndarray, has: np.ndarray, below: np.ndarray, up: np.ndarray) -> np.ndarray:
-        """Counts of inner nodes less those of their children that have a node."""
-        rest = own.copy()
-        np.subtract.at(rest, up, below)
-        return rest[has]
-
-    def _build(self, ids: list, parents: list) -> None:
-        depths = len(ids)
-        inner = []
-        for d in range(depths):
-            has = np.zeros(len(ids[d]), dtype=bool)
-            if d + 1 < depths:
-                has[parents[d + 1]] = True
-            inner.append(has)
-        stops: list = [None] * depths  # inner nodes' chance of stopping
-        below = deeper = None  # ln weighted probabilities and counts of the depth below, by node
-        for d in range(depths - 1, -1, -1):
-            counts, has = self._counts(d), inner[d]
-            total = evidence(counts)
-            if has.any():
-                deep = np.zeros_like(total)
-                np.add.at(deep, parents[d + 1], below)
-                total[has], stops[d] = weigh(total[has], deep[has] + evidence(self._rest(counts, has, deeper, parents[d + 1])))
-            below, deeper = total, counts
-        del below, deeper
-        # inner nodes are numbered from 0, leaves (each inner node's shared child among them) from the last inner one on
-        n_inner = [int(h.sum()) for h in inner]
-        inner_at = np.concatenate([[0], np.cumsum(n_inner)])
-        self.inner = int(inner_at[-1])
-        leaf_at = self.inner + np.concatenate([[0], np.cumsum([len(h) for h in inner])])  # per depth: own leaves, then shared children
-        numbers = []
-        for d, h in enumerate(inner):
-            number = np.empty(len(h), dtype=np.int64)
-            number[h] = inner_at[d] + np.arange(n_inner[d])
-            number[~h] = leaf_at[d] + np.arange(len(h) - n_inner[d])
-            numbers.append(number)
-        self.next = np.zeros((self.inner, 256), dtype=np.int32)
-        self.logs = np.zeros((int(leaf_at[-1]) - self.inner, 256), dtype=np.float32)
-        done, left = np.zeros((1, 256)), np.ones((1, 256))
-        for d in range(depths):
-            counts, has = self._counts(d), inner[d]
-            est = chances(counts)
-            at = numbers[d][~has] - self.inner
-            self.logs[at] = _in_parts(byte_logs, done[~has] + left[~has] * est[~has])
-            if not has.any():
-                break
-            said, passed = done[has] + left[has] * stops[d] * est[has], left[has] * (1 - stops[d])
-            stops[d] = None
-            shared = leaf_at[d + 1] - n_inner[d] + np.arange(n_inner[d])
-            rest = chances(self._rest(counts, has, self._counts(d + 1), parents[d + 1]))
-            self.logs[shared - self.inner] = _in_parts(byte_logs, said + passed * rest)
-            view = self.next[inner_at[d] : inner_at[d + 1]]
-            view[:] = shared[:, None]
-            up = numbers[d][parents[d + 1]] - inner_at[d]
-            view[up, (ids[d + 1] >> (8 * d)) & 255] = numbers[d + 1]
-            done, left = said[up], passed[up]
-        self.next, self.logs = self.next.reshape(-1), self.logs.reshape(-1)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Sum of log10 over each text's places and its end."""
-        data, starts, sizes = buffer_of(texts)
-        n = len(data) - DEPTH
-        node = np.zeros(n, dtype=np.int32)
-        alive = np.arange(n) if self.inner else np.zeros(0, dtype=np.int64)
-        for k in range(1, DEPTH + 1):
-            step = self.next[(node[alive] << 8) | data[alive + (DEPTH - k)]]
-            node[alive] = step
-            alive = alive[step < self.inner]
-        node -= self.inner
-        value = np.concatenate([[0.0], np.cumsum(self.logs[(node << 8) | data[DEPTH:]], dtype=np.float64)])
-        return value[starts - DEPTH + sizes + 1] - value[starts - DEPTH]
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """``g, n, v``: each gram's places and log10 of its byte after its context, under the whole tree."""
+    spark = counts.sparkSession
+    tasks = max(1, math.ceil(counts.count() / GRAMS_A_TASK))
+    subtree = F.shiftright("g", 8 * (DEPTH - TOP + 1))
+    solved = written(counts.repartition(tasks, subtree).mapInArrow(_solve_rows, _SOLVED), "solved")
+    roots = solved.where("g < 0").groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")]).toPandas()  # at most 65,536
+    above = spark.sparkContext.broadcast(crown(roots["g"].to_numpy(np.int64) + (1 << 62), *(roots[c].to_numpy(np.float64) for c in ("n0", "n1", "w"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, left = above.value
+        for batch in batches:
+            grams = batch.column(0).to_numpy()
+            chances = np.stack([batch.column(2 + b).to_numpy() for b in range(8)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs_of(grams, chances, done, left))], names=["g", "n", "v"])
+
+    return solved.where("g >= 0").select("g", "n", *[f"q{b}" for b in range(8)]).mapInArrow(run, "g long, n long, v double")
+
+
+class Head:
+    """The logs of some grams, found by a hash: grams are laid out by their slot, and a slot's follow each other."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        self._bits = max(1, int(2 * len(grams)).bit_length())
+        slots = self._slot(grams)
+        order = np.argsort(slots, kind="stable")
+        self._grams = np.concatenate([grams[order], [-1]])
+        self._logs = np.concatenate([logs[order], [0.0]]).astype(np.float32)
+        self._first = np.searchsorted(slots[order], np.arange((1 << self._bits) + 1)).astype(np.int32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of each gram, nought if it is not here; the places of those that are not)."""
+        slot = self._slot(grams)
+        at, end = self._first[slot], self._first[slot + 1]
+        out = np.zeros(len(grams))
+        waiting = np.arange(len(grams))
+        missing = []
+        while len(waiting):
+            over = at >= end
+            if over.any():
+                missing.append(waiting[over])
+                waiting, at, end = waiting[~over], at[~over], end[~over]
+            hit = self._grams[at] == grams[waiting]
+            out[waiting[hit]] = self._logs[at[hit]]
+            waiting, at, end = waiting[~hit], at[~hit] + 1, end[~hit]
+        return out, np.sort(np.concatenate(missing)) if missing else np.zeros(0, np.int64)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,41 +328,47 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def _score_rows(tree, words):
+def _score_rows(head, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = tree.value, words.value
+        model, known = Head(*head.value), words.value
         for batch in batches:
             at = 0
             for texts in batched(_lowered(batch.column(2).to_pylist())):
-                n_tokens, head, gain, tails = [], [], [], []
+                n_tokens, n_head, gain, tails = [], [], [], []
                 for t in texts:
                     found = t.split()
                     logs = list(map(known.get, found))
                     tail = [w for w, x in zip(found, logs, strict=True) if x is None]
                     n_tokens.append(len(found) + 1)
-                    head.append(len(found) - len(tail))
+                    n_head.append(len(found) - len(tail))
                     gain.append(sum(x for x in logs if x is not None) if tail else sum(logs))
                     tails.append(tail)
+                grams, places = grams_of(texts)
+                values, rare = model.find(grams)
+                ends = np.cumsum(places)
+                sums = np.concatenate([[0.0], np.cumsum(values)])
+                offsets = np.concatenate([[0], np.searchsorted(rare, ends)])
                 columns = [
                     batch.column(0).slice(at, len(texts)),
                     batch.column(1).slice(at, len(texts)),
-                    pa.array(model.score(texts)),
+                    pa.array(sums[ends] - sums[ends - places]),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(n_tokens, pa.int64()),
-                    pa.array(head, pa.int64()),
+                    pa.array(n_head, pa.int64()),
                     pa.array(gain, pa.float64()),
                     pa.array(tails, pa.list_(pa.binary())),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams[rare])),
                 ]
                 at += len(texts)
-                names = ["doc_id", "held_out", "score", "n_bytes", "n_tokens", "n_head", "gain", "tail"]
+                names = ["doc_id", "held_out", "score", "n_bytes", "n_tokens", "n_head", "gain", "tail", "rare"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _head(words: DataFrame, most: int) -> int:
-    """The least count, a power of two, that at most ``most`` words reach."""
-    bins = words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+def _least(counts: DataFrame, most: int) -> int:
+    """The least count ``n``, a power of two, that at most ``most`` rows reach."""
+    bins = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
     sizes, total, least = {r["b"]: r["k"] for r in bins}, 0, 1 << 62
     for b in sorted(sizes, reverse=True):
         total += sizes[b]
@@ -358,42 +378,51 @@ def _head(words: DataFrame, most: int) -> int:
     return least
 
 
-def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, share: int = SHARE) -> DataFrame:
+def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, head_grams: int = 2_000_000) -> DataFrame:
     """One row per input row with the text's log10 probability under the tree, and under a word unigram.
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes, bits_per_byte``. Null counts as empty: one end and nothing else.
     Training texts are all that are not held out; with none of them every
     decision is even and no word is known. Repeated rows stay; texts of any
-    length are read whole; an empty table gives an empty result.
+    length are read whole; other columns are not read; an empty table gives an
+    empty result.
 
-    What is broadcast has a bound that the corpus does not move: ``share``
-    contexts a depth (1 KB each) and ``head_words`` words. Rarer words are
-    counted through a join.
+    The tree has a node for every context of the training texts. What is
+    broadcast has a bound that the corpus does not move: the logs of the
+    ``head_grams`` commonest grams (12 bytes each) and ``head_words`` words.
+    Rarer ones are met by a join.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("t"))
+    rows = documents.select(named(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     training = rows.where(~F.col("held_out")).select("t")
 
-    tree = spark.sparkContext.broadcast(Tree(kept_grams(written(gram_counts(training, "t"), "grams"), share)))
+    counts = written(gram_counts(rows.select((~F.col("held_out")).alias("learn"), "t")), "grams")
+    logs = written(gram_logs(counts), "logs")
+    least = _least(logs, head_grams)
+    common = logs.where(F.col("n") >= least).select("g", F.col("v").cast("float").alias("v")).toArrow()
+    grams = spark.sparkContext.broadcast((common["g"].to_numpy(), common["v"].to_numpy()))
     words = written(word_counts(training, "t"), "words")
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     n_train, distinct = int((totals["n"] or 0) + ends), int(totals["v"] + (ends > 0))
-    least = _head(words, head_words)
+    least_word = _least(words, head_words)
     gain = lambda n: np.log10(n + 0.5) - np.log10(0.5)  # noqa: E731  over a word that was never seen
-    common = words.where(F.col("n") >= least).toArrow()
+    common = words.where(F.col("n") >= least_word).toArrow()
     head = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), gain(common["n"].to_numpy()).tolist(), strict=True)))
     del common
 
-    out = f"doc_id {kind}, held_out boolean, score double, n_bytes long, n_tokens long, n_head long, gain double, tail array<binary>"
-    scored = written(rows.mapInArrow(_score_rows(tree, head), out).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("rid", F.explode("tail").alias("word")).join(words.where(F.col("n") < least), "word")
+    out = f"doc_id {kind}, held_out boolean, score double, n_bytes long, n_tokens long, n_head long, gain double, tail array<binary>, rare array<long>"
+    scored = written(rows.mapInArrow(_score_rows(grams, head), out).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    tail = scored.select("rid", F.explode("tail").alias("word")).join(words.where(F.col("n") < least_word), "word")
     tail = tail.groupBy("rid").agg(F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("n") + 0.5) - F.lit(float(np.log10(0.5)))).alias("tail_gain"))
-    full = scored.drop("tail").join(tail, "rid", "left")
+    rare = scored.select("rid", F.explode("rare").alias("g")).join(logs.where(F.col("n") < least).select("g", "v"), "g")
+    rare = rare.groupBy("rid").agg(F.sum("v").alias("rare_score"))
+    full = scored.drop("tail", "rare").join(tail, "rid", "left").join(rare, "rid", "left")
     unseen = float(np.log10(0.5) - np.log10(n_train + 0.5 * (distinct + 1)))
     base = F.col("n_tokens") * F.lit(unseen) + F.col("gain") + F.coalesce("tail_gain", F.lit(0.0)) + F.lit(float(gain(ends)))
+    score = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
     return full.select(
         "doc_id",
         "held_out",
@@ -401,7 +430,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        (-F.col("score") / F.lit(float(np.log10(2.0))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (-score / F.lit(float(np.log10(2.0))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -3,7 +3,6 @@ import random
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from barloom.llm import context_tree as ct
@@ -11,20 +10,16 @@ from barloom.llm import context_tree as ct
 SCHEMA = "doc_id long, text string, score string, mark int"
 
 
-def grams(texts, share):
-    """All kept (depth, context, byte, n) rows by plain counting."""
+def grams(texts):
+    """All (depth, context): {byte: n} by plain counting."""
     counts = {}
-    total = 0
     for t in texts:
         data = bytes(ct.DEPTH) + t + b"\0"
         for i in range(ct.DEPTH, len(data)):
-            total += 1
             for d in range(ct.DEPTH + 1):
-                key = (d, data[i - d : i])
-                counts.setdefault(key, {}).setdefault(data[i], 0)
-                counts[key][data[i]] += 1
-    least = max(1, math.ceil(total / share))
-    return {k: v for k, v in counts.items() if sum(v.values()) >= least}
+                here = counts.setdefault((d, data[i - d : i]), {})
+                here[data[i]] = here.get(data[i], 0) + 1
+    return counts
 
 
 def kt(bits):
@@ -45,71 +40,86 @@ def decision(counts, node):
     return out
 
 
-def plain_log10(kept, context, byte):
-    """log10 P(byte | context) by recursion over the context tree, bit by bit."""
+def plain_log10(counts, context, byte):
+    """log10 P(byte | context) by recursion over the context tree, bit by bit; a context without counts has an even chance."""
 
     def children(key):
-        d, ctx = key
-        return [k for k in kept if k[0] == d + 1 and k[1][1:] == ctx]
-
-    def rest(key):
-        left = dict(kept[key])
-        for k in children(key):
-            for b, n in kept[k].items():
-                left[b] -= n
-        return left
+        return [k for k in counts if k[0] == key[0] + 1 and k[1][1:] == key[1]]
 
     def weighted(key, node):
-        own = kt(decision(kept[key], node))
-        kids = children(key)
-        if not kids:
+        own = kt(decision(counts[key], node))
+        if key[0] == ct.DEPTH:
             return own
-        deep = sum(weighted(k, node) for k in kids) + kt(decision(rest(key), node))
-        return float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + deep))
+        return float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weighted(k, node) for k in children(key))))
 
-    def one(key, node):
-        n0, n1 = decision(kept[key], node)
+    def one(depth, node):
+        key = (depth, context[len(context) - depth :])
+        n0, n1 = decision(counts.get(key, {}), node)
         own = (n1 + 0.5) / (n0 + n1 + 1)
-        if not children(key):
+        if depth == ct.DEPTH:
             return own
-        stop = math.exp(math.log(0.5) + kt((n0, n1)) - weighted(key, node))
-        deeper = (key[0] + 1, context[len(context) - key[0] - 1 :])
-        if deeper in kept:
-            below = one(deeper, node)
-        else:
-            m0, m1 = decision(rest(key), node)
-            below = (m1 + 0.5) / (m0 + m1 + 1)
-        return stop * own + (1 - stop) * below
+        stop = math.exp(math.log(0.5) + kt((n0, n1)) - weighted(key, node)) if key in counts else 0.5
+        return stop * own + (1 - stop) * one(depth + 1, node)
 
     total, node = 0.0, 1
     for k in range(7, -1, -1):
         bit = byte >> k & 1
-        p = one((0, b""), node)
+        p = one(0, node)
         total += math.log10(p if bit else 1 - p)
         node = 2 * node + bit
     return total
 
 
-def frame(kept):
-    return pd.DataFrame([(d, int.from_bytes(c, "big"), b, n) for (d, c), v in kept.items() for b, n in v.items()], columns=["depth", "ctx", "byte", "n"])
-
-
-@pytest.mark.parametrize("share", [3, 12, 40])
-def test_tree_matches_the_recursion(share):
-    rng = random.Random(share)
-    texts = ["".join(rng.choice("ab c") for _ in range(rng.randrange(30))).encode() for _ in range(6)]
-    kept = grams(texts, share)
-    tree = ct.Tree(frame(kept))
-    for t in [b"", b"a", b"abc ab", "é\0x".encode(), texts[0]]:
-        data = bytes(ct.DEPTH) + t + b"\0"
-        want = sum(plain_log10(kept, data[i - ct.DEPTH : i], data[i]) for i in range(ct.DEPTH, len(data)))
-        assert tree.score([b"zz", t, b""])[1] == pytest.approx(want, abs=1e-4)
+def plain_score(counts, text):
+    data = bytes(ct.DEPTH) + text + b"\0"
+    return sum(plain_log10(counts, data[i - ct.DEPTH : i], data[i]) for i in range(ct.DEPTH, len(data)))
 
 
-def test_every_leaf_is_a_distribution():
-    kept = grams([b"the cat sat on the mat", b"a cat"], 30)
-    logs = ct.Tree(frame(kept)).logs.reshape(-1, 256).astype(float)
-    assert np.allclose((10**logs).sum(axis=1), 1, atol=1e-5)
+@pytest.mark.parametrize("head", [0, 20, 10_000])
+def test_scores_match_the_recursion(spark, head, monkeypatch):
+    monkeypatch.setattr(ct, "GRAMS_A_TASK", 50)
+    rng = random.Random(head)
+    rows = [(i, "".join(rng.choice("ab c") for _ in range(rng.randrange(30)))) for i in range(14)] + [(20, "é\0x new"), (21, ""), (22, None)]
+    train = [(t or "").encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(train) < len(rows)
+    counts = grams(train)
+    found = ct.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), head_words=3, head_grams=head).collect()
+    texts = dict(rows)
+    for r in found:
+        assert r.score == pytest.approx(plain_score(counts, (texts[r.doc_id] or "").encode().lower()), abs=1e-5)
+
+
+def table(texts, more=()):
+    """{gram: log10} of the grams of ``texts``, learnt, and of ``more``, not learnt."""
+    codes = np.concatenate([ct.grams_of([t])[0] for t in [*texts, *more]])
+    learnt = np.concatenate([np.full(len(t) + 1, float(k < len(texts))) for k, t in enumerate([*texts, *more])])
+    codes, learnt = ct._folded(codes, learnt)
+    chances, roots = ct.solve(codes, learnt)
+    at, *sums = ct._folded(*roots)
+    return dict(zip(codes.tolist(), ct.logs_of(codes, chances, *ct.crown(at, *sums)), strict=True))
+
+
+def test_every_context_is_a_distribution():
+    texts, context = [b"the cat sat on the mat", b"a cat"], b"n the"
+    every = np.frombuffer(context[::-1], dtype=np.uint8).astype(np.int64)
+    code = 0
+    for byte in every.tolist():
+        code = code << 8 | byte
+    codes = np.concatenate([ct.grams_of([t])[0] for t in texts])
+    codes, learnt = ct._folded(np.concatenate([codes, (code << 8) + np.arange(256)]), np.concatenate([np.ones(len(codes)), np.zeros(256)]))
+    chances, roots = ct.solve(codes, learnt)
+    at, *sums = ct._folded(*roots)
+    logs = ct.logs_of(codes, chances, *ct.crown(at, *sums))
+    assert (10 ** logs[codes >> 8 == code]).sum() == pytest.approx(1)
+
+
+def test_head_finds_what_it_holds():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000))
+    held = ct.Head(codes[::2], np.arange(len(codes[::2]), dtype=float))
+    values, missing = held.find(codes)
+    assert missing.tolist() == list(range(1, len(codes), 2)) and values[::2].tolist() == list(range(len(codes[::2])))
+    assert ct.Head(np.zeros(0, np.int64), np.zeros(0)).find(codes)[1].tolist() == list(range(len(codes)))
 
 
 def plain_base(rows):
@@ -143,19 +153,22 @@ def test_base_and_score_over_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = check(spark, rows, head_words=500)
     train = [(t or "").encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    codes, n = np.unique(np.concatenate([ct.grams_of([t]) for t in train]), return_counts=True)
-    assert n.sum() == sum(len(t) + 1 for t in train)
-    parts, least = [], max(1, -(-int(n.sum()) // ct.SHARE))
-    for d in range(ct.DEPTH + 1):
-        g, at = np.unique(codes & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        m = np.bincount(at, weights=n)
-        _, up = np.unique(g >> 8, return_inverse=True)
-        keep = np.bincount(up, weights=m)[up] >= least
-        parts.append(pd.DataFrame({"depth": d, "ctx": (g >> 8)[keep], "byte": (g & 255)[keep], "n": m[keep]}))
-    tree = ct.Tree(pd.concat(parts))
-    want = dict(zip([i for i, _ in rows], tree.score([(t or "").encode().lower() for _, t in rows]), strict=True))
+    every = [(t or "").encode().lower() for _, t in rows]
+    logs = table(train, [t for t in every if t not in set(train)])
     for r in found:
-        assert r.score == pytest.approx(want[r.doc_id], rel=1e-6)
+        text = dict(rows)[r.doc_id]
+        assert r.score == pytest.approx(sum(logs[g] for g in ct.grams_of([(text or "").encode().lower()])[0].tolist()), rel=1e-6)
+
+
+def test_held_out_texts_are_coded_better_than_by_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = ct.score_documents(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
+
+
+def test_a_long_text(spark):
+    found = check(spark, [(1, "some words " * 200_000), (2, "x" * 300_000), (3, "other"), (4, None)])
+    assert all(r.score < 0 for r in found)
 
 
 def test_odd_rows(spark):
