@@ -57,27 +57,34 @@ def shard_rows(
     return df.withColumn(shard_col, rendezvous(F.col(key), shards))
 
 
+#: Equal rows of a task that are counted as one row of the numbering.
+RUN_BITS = 12
+
+
 def number_slots(df: DataFrame, shard_col: str, key: str, ties: Sequence[str], rows: int, n_shards: int, per_bucket: int = 2048) -> DataFrame:
-    """Gapless slots from 0 in each shard, without a shard ever meeting in one task.
+    """Gapless slots from 0 in each shard, without a shard or a key ever meeting in one task.
 
     A shard is cut into buckets by a second hash of the key; rows are numbered in
     their bucket and moved up by the rows of the buckets before it. ``rows`` is
-    the table's count and sets only how many buckets there are. Rows equal in
-    ``key`` and all ``ties`` are the same row, so whichever is numbered first
-    makes no difference.
+    the table's count and sets only how many buckets there are. Equal rows are
+    counted first, in runs of 4,096 at most, so the window over a bucket sees a
+    row for each run, and a run becomes rows again in a task of its own: a key
+    may hold a third of all rows. Equal rows take slots in any order, for they
+    can't be told apart.
     """
     buckets = max(1, math.ceil(rows / (n_shards * per_bucket)))
-    held = df.withColumn("_bucket", (stable_hash(F.col(key), "slot") % F.lit(buckets)).cast("long"))
-    sizes = held.groupBy(F.col(shard_col).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    bucket = (stable_hash(F.col(key), "slot") % F.lit(buckets)).cast("long")
+    runs = df.withColumn("_run", F.shiftright(F.monotonically_increasing_id(), RUN_BITS)).groupBy(*df.columns, "_run").agg(F.count(F.lit(1)).alias("_c"))
+    runs = runs.withColumn("_bucket", bucket)
+    sizes = runs.groupBy(F.col(shard_col).alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("_c").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard_col, "_bucket").orderBy(key, *ties)
-    numbered = held.withColumn("_rank", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(starts, (F.col(shard_col) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_bucket", "_rank", "_s", "_b", "_start")
-    )
+    inside = Window.partitionBy(shard_col, "_bucket").orderBy(key, *ties, "_run").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = runs.withColumn("_rank", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    placed = numbered.join(starts, (F.col(shard_col) == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_first", F.col("_start") + F.col("_rank"))
+    single = placed.where("_c = 1").select(*df.columns, F.col("_first").cast("long").alias("slot"))
+    many = placed.where("_c > 1").repartition(key, "_run")
+    return single.unionByName(many.select(*df.columns, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_c") - 1)).alias("slot")))
 
 
 def shard_manifest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16) -> DataFrame:
@@ -86,8 +93,9 @@ def shard_manifest(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     One row per input row: id, ``size`` (UTF-8 bytes of the text, none for null,
     plus 1), ``text_crc32`` (null counts as empty), ``law`` ("key"), ``shard``,
     ``slot`` and ``grown_shard``. A null id hashes as the empty text; repeated
-    rows stay and take slots of their own; equal texts need not meet. The text
-    itself never leaves the scan: only the digest columns are shuffled.
+    rows stay and take slots of their own; equal texts need not meet. Texts of
+    any length are read whole and never leave the scan: only the digest columns
+    are shuffled. Other columns are not read; an empty table gives an empty result.
     """
     now = [(s, 1.0) for s in range(n_shards)]
     grown = [(s, 1.0) for s in range(n_shards + 1)]

@@ -59,3 +59,13 @@ def test_weights_share_the_keys(spark):
 def test_no_python_on_the_executors(spark):
     plan = sharding.shard_manifest(spark.createDataFrame([(1, "a", "x", 1)], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equal_rows_and_long_texts(spark):
+    df = spark.range(9000).selectExpr("IF(id < 6000, NULL, id % 50) AS doc_id", "'x' AS text").unionByName(spark.createDataFrame([(77, "long " * 300_000)], "doc_id long, text string"))
+    out = sharding.shard_manifest(df).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 9001 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(r.size for r in out) == 1_500_001
