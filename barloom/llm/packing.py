@@ -185,22 +185,29 @@ def _packer(capacity: int, open_bins: int):
 def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 64, per_group: int = 16_384) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
-    Pieces are dealt by a hash of id and piece number to groups of about
-    ``per_group``, each packed on its own in hash order, so a stream of any size
-    keeps all machines busy, no source or group of copies meets in one task, and
-    at most ``open_bins`` sequences a group end partly filled. Repeated rows are
-    packed as often as they come. An empty table gives an empty result.
+    Pieces are stored and dealt by a hash of their content and their place in
+    that table to groups of about ``per_group``, each packed on its own in hash
+    order, so a stream of any size keeps all machines busy, no source and no group
+    of copies or repeated rows meets in one task, and at most ``open_bins``
+    sequences a group end partly filled. Repeated rows are packed as often as they
+    come. An empty table gives an empty result.
     """
     stored = written(pieces, "pieces")
     groups = max(1, math.ceil(stored.count() / per_group))
-    at = F.xxhash64("doc_id", "piece", "ids_crc32")
+    at = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = stored.withColumn("_at", at).withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups)))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("_group").applyInPandas(_packer(capacity, open_bins), out)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 64) -> DataFrame:
-    """Tokenize, cut and pack all documents."""
+    """Tokenize, cut and pack all documents: a row of ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece.
+
+    Null and empty texts are one piece, the end id alone; texts of any length are
+    encoded whole. Null ids stay null. Repeated rows are packed as often as they
+    come, and equal sizes take the bins in the order of their hashes. Other
+    columns are not read; an empty table gives an empty result.
+    """
     return pack(token_pieces(documents, tokenizer_path, capacity, end_id), capacity, open_bins)
 
 

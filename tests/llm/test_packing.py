@@ -84,3 +84,18 @@ def test_groups_are_packed_apart(spark):
         held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
     assert len(out) == 2000 and max(held.values()) <= 4096
     assert len({s >> 32 for s in held}) > 3
+
+
+def test_equal_pieces_are_dealt_to_many_groups(spark):
+    pieces = spark.range(8000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "700L AS length", "5L AS ids_crc32")
+    sizes = {}
+    for r in packing.pack(pieces, per_group=500).collect():
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert sum(sizes.values()) == 8000 and len(sizes) == 16 and max(sizes.values()) < 1000
+
+
+def test_ties_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 50_000), (1, "word " * 50_000), (2, "same"), (3, "same")], "doc_id long, text string")
+    out = packing.pack_documents(df, packing.default_tokenizer()).collect()
+    assert sum(r.length for r in out) == 2 * 50_001 + 4 and max(r.length for r in out) == 4096
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
