@@ -14,18 +14,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of letters (and of other signs that count as alphabetic).
-_WORDS = re.compile(r"[^\W\d_]+").findall
+from .common import named
+
+#: A word is a run of letters (and of other signs that count as alphabetic). Of a longer run every WORD_CHARS
+#: letters are a word, so scripts without blanks and very long runs are read whole as well.
+WORD_CHARS = 40
+_WORDS = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}").findall
+#: Slots of the words' lengths.
+LENGTHS = 16
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """How the field is fitted. ``sample_docs`` bounds the labelled rows it sees, ``sample_chars`` what it sees of each."""
+    """How the field is fitted. ``sample_docs`` is the number of labelled texts, about, that it sees, whole."""
 
     sample_docs: int = 2000
-    sample_chars: int = 20_000
-    words_per_doc: int = 96
     sequences: int = 2400
     length: int = 48
     epochs: int = 3
@@ -54,19 +58,17 @@ class Field:
         return held.hexdigest()
 
 
-def features(word: str, table: int, lexicon: dict[str, int]) -> list[int]:
-    """Slots of a lower-cased word: affixes, inner n-grams, and its places in the lexicons.
+def features(word: str, table: int, lexicon: dict[str, int], langs: int) -> list[int]:
+    """Slots of a lower-cased word: affixes, inner n-grams, its length, and its places in the languages' lexicons.
 
     Affixes are n-grams that touch a mark at the word's start or end.
     """
-    if len(word) > 40:  # affixes and the first n-grams tell enough of a run that long
-        word = word[:20] + word[-20:]
     marked = f"^{word}$"
     grams = [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
     slots = [zlib.crc32(g.encode("utf-8", "surrogatepass")) % table for g in grams]
     known = lexicon.get(word, 0)
     slots += [table + k for k in range(known.bit_length()) if known >> k & 1]
-    slots.append(table + 32 + min(len(word), 15))
+    slots.append(table + langs + min(len(word), LENGTHS - 1))
     return slots
 
 
@@ -124,49 +126,50 @@ def fit(samples: list[tuple[str, str]], settings: Settings = Settings()) -> Fiel
     """A field from (text, language) rows.
 
     Training sequences splice short spans of different texts, as code-switched
-    text does, so the transitions learn how long a language lasts.
+    text does, so the transitions learn how long a language lasts. A span is
+    taken from any place of any text of its language.
     """
     rng = np.random.default_rng(settings.seed)
     langs = tuple(sorted({lang for _, lang in samples}))
-    spans: list[tuple[list[str], int]] = []
+    label_of = {lang: k for k, lang in enumerate(langs)}
+    numbers = _Numbers()  # texts are kept as the numbers of their words
+    by_label: list[list[np.ndarray]] = [[] for _ in langs]
     counts: list[dict[str, int]] = [{} for _ in langs]
     for text, lang in samples:
-        words = _WORDS(text.lower())
-        label = langs.index(lang)
+        words, label = _WORDS(text.lower()), label_of[lang]
         for w in words:
             counts[label][w] = counts[label].get(w, 0) + 1
         if words:
-            at = int(rng.integers(0, max(1, len(words) - settings.words_per_doc + 1)))
-            spans.append((words[at : at + settings.words_per_doc], label))
+            by_label[label].append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+    vocabulary = list(numbers)
     lexicon: dict[str, int] = {}
-    for label, seen in enumerate(counts[:32]):
+    for label, seen in enumerate(counts):
         for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: settings.lexicon]:
             lexicon[w] = lexicon.get(w, 0) | 1 << label
-    k, size = max(1, len(langs)), settings.table + 32 + 16
+    k = max(1, len(langs))
+    size = settings.table + k + LENGTHS
     weights, moves, starts = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
-    if k < 2 or not spans:
+    able = [label for label in range(k) if by_label and by_label[label]]
+    if k < 2 or not able:
         return Field(langs, weights.astype(np.float32), moves, starts, lexicon)
-    by_label = [[s for s, label in spans if label == want] for want in range(k)]
-    slots: dict[str, list[int]] = {}
+    slots: dict[int, list[int]] = {}
     batch, n = 48, settings.length
     for epoch in range(settings.epochs):
         rate = settings.rate / (1 + epoch)
         for _ in range(settings.sequences // batch):
             words, labels = [], []
             for _ in range(batch):
-                own: list[str] = []
+                own: list[int] = []
                 tags: list[int] = []
                 while len(own) < n:
-                    want = int(rng.integers(k))
-                    if not by_label[want]:
-                        continue
-                    span = by_label[want][int(rng.integers(len(by_label[want])))]
-                    at, take = int(rng.integers(len(span))), int(rng.integers(4, 24))
-                    own += span[at : at + take]
-                    tags += [want] * len(span[at : at + take])
+                    want = able[int(rng.integers(len(able)))]
+                    text = by_label[want][int(rng.integers(len(by_label[want])))]
+                    at, take = int(rng.integers(len(text))), int(rng.integers(4, 24))
+                    own += text[at : at + take].tolist()
+                    tags += [want] * len(text[at : at + take])
                 words += own[:n]
                 labels += tags[:n]
-            rows = [slots.get(w) or slots.setdefault(w, features(w, settings.table, lexicon)) for w in words]
+            rows = [slots.get(w) or slots.setdefault(w, features(vocabulary[w], settings.table, lexicon, k)) for w in words]
             flat = np.fromiter((s for r in rows for s in r), dtype=np.int64)
             sizes = np.array([len(r) for r in rows])
             emit = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / np.sqrt(sizes)[:, None]
@@ -183,6 +186,14 @@ def fit(samples: list[tuple[str, str]], settings: Settings = Settings()) -> Fiel
     return Field(langs, weights.astype(np.float32), moves, starts, lexicon)
 
 
+class _Numbers(dict):
+    """A number for each word, in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 def _expected(moves: np.ndarray, starts: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (sequence, word, label) and expected transitions of equally long sequences."""
     batch, n, k = emit.shape
@@ -211,8 +222,9 @@ class _Emissions(dict):
 
     def __init__(self, field: Field):
         super().__init__()
-        self._field, self._table = field, len(field.weights) - 48
-        self.rows = np.empty((1 << 12, max(1, len(field.langs))), dtype=np.float32)
+        self._field, self._langs = field, max(1, len(field.langs))
+        self._table = len(field.weights) - self._langs - LENGTHS
+        self.rows = np.empty((1 << 12, self._langs), dtype=np.float32)
         self._new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -227,7 +239,7 @@ class _Emissions(dict):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
         at = len(self) - len(self._new)
         for i in range(0, len(self._new), 20_000):
-            part = [features(w, self._table, self._field.lexicon) for w in self._new[i : i + 20_000]]
+            part = [features(w, self._table, self._field.lexicon, self._langs) for w in self._new[i : i + 20_000]]
             sizes = np.array([len(r) for r in part])
             flat = np.fromiter((s for r in part for s in r), dtype=np.int64, count=int(sizes.sum()))
             sums = np.add.reduceat(self._field.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
@@ -296,33 +308,34 @@ class Tagger:
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Every fifth document by crc32 of its id as text is never learnt from."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Field:
-    """A field fitted on about ``settings.sample_docs`` documents with a language, chosen by a hash of id and text.
+    """A field fitted on about ``settings.sample_docs`` different texts, the same number of each language as far as it has them.
 
-    The hash must lie below the share of documents wanted, so each task sends
-    its few and the driver gets the sample, whatever the number of tasks; a row
-    that is repeated counts once. Of a long text a stretch at a hashed place is
-    taken. Only fitting samples; prediction reads every text whole.
+    A language's texts are chosen by a hash that must lie below the share of its
+    different texts that is wanted. Copies share one hash, so they count once
+    and no group of copies moves the share; each task sends its few, whatever the
+    number of tasks. The chosen texts are read whole. Only fitting samples;
+    prediction reads every row. Rows without text or language teach nothing.
     """
-    labelled = documents.where(~held_out(id_col) & F.col(lang_col).isNotNull())
-    share = settings.sample_docs / max(1, labelled.count())
-    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    rows = labelled.where(F.col(text_col).isNotNull()).select(mark.alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
-    if share < 1:
-        rows = rows.where(F.col("h") < int((2 * share - 1) * float(1 << 63)))
-    room = F.greatest(F.length("t") - settings.sample_chars, F.lit(0))
-    stretch = F.substring(F.col("t"), (F.pmod(F.col("h"), room + 1) + 1).cast("int"), F.lit(settings.sample_chars))
-    chosen = rows.select("h", stretch.alias("t"), "l").distinct().collect()
+    text, lang = (named(c).cast("string") for c in (text_col, lang_col))
+    rows = documents.where(~held_out(id_col)).select(F.xxhash64(text).alias("h"), text.alias("t"), lang.alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not sizes:
+        return fit([], settings)
+    each = max(1, settings.sample_docs // len(sizes))
+    below = {x: (1 << 63) - 1 if n <= each else int((2 * each / n - 1) * float(1 << 63)) for x, n in sizes.items()}
+    limits = documents.sparkSession.createDataFrame(list(below.items()), "l string, _below long")
+    chosen = rows.join(F.broadcast(limits), "l").where("h <= _below").select("h", "l", "t").dropDuplicates(["h", "l"]).collect()
     return fit([(r.t, r.l) for r in sorted(chosen)], settings)
 
 
 def predict(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row; the text is all that a prediction sees."""
     model = documents.sparkSession.sparkContext.broadcast(field)
-    rows = documents.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
+    rows = documents.select(named(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), named(text_col).cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,15 +351,22 @@ def predict(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
     """Train on the documents that are not held out and predict all.
 
-    One row per input row. A text that is null or has no letter is ``und`` with
-    score 0, as are all texts when no document carries a language. Texts of any
-    length are read whole; ties between languages go to the first by name.
+    One row per input row; repeated rows stay and null ids stay null. A text that
+    is null or has no letter is ``und`` with score 0, as are all texts when no
+    document carries a language. Texts of any length are read whole; ties between
+    languages go to the first by name. Other columns are not read; an empty table
+    gives an empty result.
     """
     return predict(documents, train(documents, id_col, text_col, lang_col, settings), id_col, text_col)
 
 
 def keep_identified(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
-    """The rows whose language is found with a score of ``least`` or more, as they came."""
+    """The rows whose language is found with a score of ``least`` or more, with all their columns as they came.
+
+    Null texts and texts without a letter go. Null ids, repeated rows and extra
+    columns of any name are allowed; without one labelled text no row stays; an
+    empty table gives an empty result.
+    """
     model = documents.sparkSession.sparkContext.broadcast(train(documents, id_col, text_col, lang_col, settings))
     at = documents.columns.index(text_col)
 

@@ -73,3 +73,23 @@ def test_odd_rows(spark, field):
 def test_nothing_but_the_text_is_read(field):
     tagger = lang.Tagger(field)
     assert tagger.texts(["the and with"])[0] == tagger.texts([None, "the and with", ""])[1]
+
+
+def test_copies_of_one_text_leave_every_language_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lang, "fit", lambda samples, settings: seen.append(samples))
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "the same words again", "en") for i in ids[:2000]] + [(i, f"quelques mots numéro {i}", "fr") for i in ids[2000:2040]] + [(9001, None, "de"), (9002, "ohne", None)]
+    lang.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), settings=lang.Settings(sample_docs=30))
+    found = [x for _, x in seen[0]]
+    assert found.count("en") == 1 and 5 <= found.count("fr") <= 30 and len(found) == found.count("en") + found.count("fr")
+
+
+def test_many_languages_and_long_runs():
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmn"]
+    samples = [(" ".join(words[(7 * k + j) % len(words)] + "qxzw"[k % 4] * (k // 4 + 1) for j in range(40)), f"l{k:02}") for k in range(36)]
+    field = lang.fit(samples, lang.Settings(sequences=960, epochs=3))
+    assert len(field.langs) == 36 and {bit for w in field.lexicon.values() for bit in range(36) if w >> bit & 1} == set(range(36))
+    found = lang.Tagger(field).texts([t for t, _ in samples])
+    assert sum(x == y for (x, _), (_, y) in zip(found, samples, strict=True)) >= 30
+    assert "".join(lang._WORDS("ab" * 500)) == "ab" * 500 and max(map(len, lang._WORDS("ab" * 500))) == lang.WORD_CHARS
