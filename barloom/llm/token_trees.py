@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, written
+
 #: Characters a leaf has at least; it then ends at the next place where pre-tokens must part.
 LEAF_CHARS = 160
 #: Pre-token runs whose counts a worker remembers.
@@ -180,25 +182,49 @@ def _build(path: str):
 def build(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_tokens, leaf_chars, leaf_tokens``: each document with its tree's leaves.
 
-    Null counts as empty (no token, one empty leaf) and stays null. Repeated
-    rows stay; an empty table gives an empty result.
+    Null counts as empty (no token, one empty leaf) and stays null. Texts of any
+    length are read whole. Repeated rows and null ids stay; other columns are not
+    read; an empty table gives an empty result.
     """
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_build(vocabulary), f"doc_id {kind}, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
+    return rows.mapInArrow(_build(vocabulary), f"doc_id {kind}, {STATE}")
+
+
+def merged_edits(edits: list[tuple[int, int, int, str]], chars: int) -> list[tuple[int, int, str]]:
+    """(place, delete, insert) that touch different characters, the last place first, from ``(seq, place, delete, insert)``.
+
+    Places are characters of the stored text of ``chars``; a place outside it is
+    moved to its nearer end and a deletion stops there. What any edit deletes
+    goes; insertions stand where they were put, in the order of place and ``seq``,
+    even inside a stretch that another edit deletes.
+    """
+    out: list[list] = []
+    for place, seq, delete, insert in sorted((min(max(p, 0), chars), s, d, x) for s, p, d, x in edits):
+        end = min(place + max(delete, 0), chars)
+        if out and (place == out[-1][0] or place < out[-1][1]):
+            out[-1][1] = max(end, out[-1][1])
+            out[-1][2] += insert
+        else:
+            out.append([place, end, insert])
+    return [(place, end - place, insert) for place, end, insert in reversed(out)]
+
+
+STATE = "text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
 
 
-def _edit(path: str):
+def _edit(path: str, edits_of: Callable[[int | None, int, list[dict] | None], list[tuple[int, int, int, str]]]):
+    """Applies edits to kept trees; ``edits_of`` gives a row's edits from its id, its characters and its ``edits``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).stretch
         for batch in batches:
-            names = batch.schema.names
-            held = {n: batch.column(names.index(n)).to_pylist() for n in ("text", "leaf_chars", "leaf_tokens", "edits")}
+            held = [batch.column(batch.schema.names.index(n)).to_pylist() for n in ("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")]
             texts, totals, chars, tokens, again = [], [], [], [], []
-            for text, sizes, counts, edits in zip(*held.values(), strict=True):
+            for doc_id, text, sizes, counts, edits in zip(*held, strict=True):
                 tree, redone = Tree(sizes, counts), 0
-                for e in sorted(edits or [], key=lambda e: (-e["place"], -e["seq"])):  # places are those of the stored text
-                    text, n = tree.edit(text or "", e["place"], e["delete"], e["insert"] or "", count)
+                for place, delete, insert in merged_edits(edits_of(doc_id, tree.chars, edits), tree.chars):
+                    text, n = tree.edit(text or "", place, delete, insert, count)
                     redone += n
                 texts.append(text)
                 totals.append(tree.tokens)
@@ -206,27 +232,33 @@ def _edit(path: str):
                 chars.append(own[0])
                 tokens.append(own[1])
                 again.append(redone)
-            columns = [batch.column(names.index("doc_id")), pa.array(texts, pa.string()), pa.array(totals, pa.int64())]
+            columns = [batch.column(batch.schema.names.index("doc_id")), pa.array(texts, pa.string()), pa.array(totals, pa.int64())]
             columns += [pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array(again, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", "encoded_again"])
 
     return run
 
 
+def _listed(doc_id: int | None, chars: int, edits: list[dict] | None) -> list[tuple[int, int, int, str]]:
+    return [(e["seq"] or 0, e["place"] or 0, e["delete"] or 0, e["insert"] or "") for e in edits or []]
+
+
 def apply_edits(state: DataFrame, edits: DataFrame, vocabulary: str) -> DataFrame:
-    """``state`` after ``edits`` (``doc_id, seq, place, delete, insert``), with ``encoded_again``.
+    """``state`` (as ``build`` made it) after ``edits`` (``doc_id, seq, place, delete, insert``), with ``encoded_again``.
 
     Places are characters of the stored text, so edits of a document do not
-    depend on each other's order; where several begin at one place, they apply by
-    ``seq``. A document's edits become one list beside its text, which a text
-    bounds in use. Documents without edits pass through, edits without a document
-    have no effect.
+    depend on each other's order. ``merged_edits`` says what overlapping edits,
+    edits at one place and edits outside the text do; a null number counts as 0
+    and a null insertion as empty. A null text counts as empty, and stays null
+    without edits. A null id is edited by edits with a null id; rows that share
+    an id are all edited. Documents without edits pass through, edits without a
+    document have no effect. A document's edits become one list beside its text:
+    they change one text, so they meet in one task however many they are.
     """
     lists = edits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("seq", "place", "delete", "insert")).alias("edits"))
-    held = state.join(lists, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    held = state.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     kind = state.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>, encoded_again long"
-    return held.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(_edit(vocabulary), out)
+    return held.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(_edit(vocabulary, _listed), f"doc_id {kind}, {STATE}, encoded_again long")
 
 
 def script(doc_id: int | None, chars: int) -> list[tuple[int, int, str]]:
@@ -237,35 +269,33 @@ def script(doc_id: int | None, chars: int) -> list[tuple[int, int, str]]:
     return [(high, min(9, chars - high), "it's\n done"), first]
 
 
-def _count_and_edit(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).stretch
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                tree = Tree.of(text, count)
-                before, size, n = tree.tokens, tree.chars, tree.n
-                again = 0
-                for place, delete, insert in script(doc_id, size):
-                    text, redone = tree.edit(text, place, delete, insert, count)
-                    again += redone
-                rows.append((size, n, before, tree.tokens, again))
-            columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            names = ["doc_id", "n_chars", "n_leaves", "n_tokens", "edited_tokens", "encoded_again"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
-
-    return run
+def _scripted(doc_id: int | None, chars: int, edits: list[dict] | None) -> list[tuple[int, int, int, str]]:
+    return [(-k, *edit) for k, edit in enumerate(script(doc_id, chars))]
 
 
 def count_and_edit(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: its tokens, and its tokens after two edits (``script``) through its tree.
+    """One row per input row: its tokens, and its tokens after two edits (``script``) of its kept tree.
 
-    One scan and no shuffle; trees live as long as their row. Null counts as empty.
+    ``doc_id, n_chars, n_leaves, n_tokens, edited_tokens, encoded_again``. Trees
+    are built and stored beside their texts first; the edits then read the stored
+    leaves and encode again only what they touch. No shuffle. Null counts as
+    empty; texts of any length are read whole; repeated rows stay; other columns
+    are not read; an empty table gives an empty result.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    state = written(build(documents.withColumn(id_col, named(id_col).cast("long")), vocabulary, id_col, text_col), "trees")
+    held = state.select("doc_id", "text", "leaf_chars", "leaf_tokens", F.lit(None).cast("array<int>").alias("edits"), "n_tokens")
     out = "doc_id long, n_chars long, n_leaves long, n_tokens long, edited_tokens long, encoded_again long"
-    return rows.mapInArrow(_count_and_edit(vocabulary), out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edit = _edit(vocabulary, _scripted)
+        for batch in batches:
+            sizes = batch.column(2)
+            chars = [sum(x) for x in sizes.to_pylist()]
+            for done in edit(iter([batch])):
+                columns = [batch.column(0), pa.array(chars, pa.int64()), pa.array([len(x) for x in sizes], pa.int64()), batch.column(5), done.column(2), done.column(5)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in out.split(", ")])
+
+    return held.mapInArrow(run, out)
 
 
 def default_vocabulary() -> str:

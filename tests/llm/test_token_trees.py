@@ -74,3 +74,40 @@ def test_query_matches_full_counts(spark, sf_dir, count):
             text = text[:place] + insert + text[place + delete :]
         assert r.edited_tokens == count.whole(text)
     assert tt.count_and_edit(docs.limit(0), tt.default_vocabulary()).count() == 0
+
+
+def plain_edits(text, edits):
+    """Character by character: what any edit covers goes, insertions stand before the character at their place."""
+    n = len(text)
+    gone, put = set(), {}
+    for seq, place, delete, insert in sorted(edits):
+        place = min(max(place, 0), n)
+        gone |= set(range(place, min(n, place + max(delete, 0))))
+        put[place] = put.get(place, "") + insert
+    return "".join(put.get(k, "") + (text[k] if k < n and k not in gone else "") for k in range(n + 1))
+
+
+def test_overlapping_equal_and_outlying_edits(spark, count):
+    text = "abcdefghijklmno"
+    cases = [
+        [(1, 5, 10, ""), (2, 8, 3, "")],
+        [(1, 3, 3, "X"), (2, 3, 0, "YYY")],
+        [(1, 99, 4, "end"), (2, -7, 2, "start")],
+        [(1, 0, 99, "all"), (2, 4, 2, "in"), (3, 4, 0, "side")],
+        [(1, 2, 2, "p"), (2, 4, 2, "q")],
+    ]
+    rng = random.Random(6)
+    cases += [[(k, rng.randrange(-2, 18), rng.randrange(-1, 9), random_text(rng, rng.randrange(3))) for k in range(6)] for _ in range(30)]
+    state = tt.build(spark.createDataFrame([(k, text) for k in range(len(cases))] + [(None, "no id"), (None, None)], "doc_id long, text string"), tt.default_vocabulary())
+    rows = [(k, *e) for k, edits in enumerate(cases) for e in edits] + [(None, 1, 0, 2, "an"), (None, 2, None, None, None)]
+    edits = spark.createDataFrame(rows, "doc_id long, seq int, place int, delete int, insert string")
+    out = tt.apply_edits(state, edits, tt.default_vocabulary()).collect()
+    assert {r.doc_id: r.text for r in out if r.doc_id is not None} == {k: plain_edits(text, e) for k, e in enumerate(cases)}
+    assert sorted(r.text for r in out if r.doc_id is None) == ["an", "an id"]
+    assert all(r.n_tokens == count.whole(r.text) and sum(r.leaf_chars) == len(r.text) for r in out)
+
+
+def test_a_very_long_text(spark, count):
+    text = "some plain words here " * 60_000
+    row = tt.count_and_edit(spark.createDataFrame([(3, text)], "doc_id long, text string"), tt.default_vocabulary()).first()
+    assert row.n_tokens == count.whole(text) and row.encoded_again < 20 * tt.LEAF_CHARS
