@@ -5,21 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import boxed, named, text_or_empty, unboxed, written
+from .common import named, text_or_empty, written
 
 WILDCARD = b"<*>"
 #: Leading tokens below the token count on a line's path through the tree.
 DEPTH = 3
 #: Bands that the tokens after the path fall into; one of them may vary.
 BANDS = 4
-#: Lines of fewer tokens have no varying band: they generalise by their digits only.
-BAND_TOKENS = 12
-#: Lines of fewer tokens are never dropped.
-MIN_TOKENS = 3
 #: A template that so many different texts hold recurs.
 MIN_TEXTS = 3
 #: A line that so many different texts hold word for word recurs, as does a long line by any of its templates.
@@ -31,25 +29,27 @@ _DIGIT = re.compile(rb"[0-9]")
 
 
 def templates(line: bytes) -> list[bytes]:
-    """The templates of a line: paths through the tree, most general leaves last.
+    """The templates of a line of any length: paths through the tree and their leaves; a blank line has none.
 
     A token with a digit is a variable field. The path is the token count and
     the leading tokens; at the leaf the rest falls into four bands, and there is
     one template for each band that may vary. So two lines meet when they have
     equally many tokens, the same leading ones, and differ in one band at most.
+    A line that has no more tokens than its path is its own template.
     """
     tokens = line.split()
-    if len(tokens) < MIN_TOKENS:
+    if not tokens:
         return []
     if _DIGIT.search(line):
         tokens = [WILDCARD if _DIGIT.search(t) else t for t in tokens]
-    if len(tokens) < BAND_TOKENS:
-        return [b"%d %s" % (len(tokens), b" ".join(tokens))]
     rest = tokens[DEPTH:]
     cuts = [len(rest) * k // BANDS for k in range(BANDS + 1)]
+    filled = [k for k in range(BANDS) if cuts[k + 1] > cuts[k]]
+    if not filled:
+        return [b"%d %s" % (len(tokens), b" ".join(tokens))]
     bands = [b" ".join(rest[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     path = b"%d %s " % (len(tokens), b" ".join(tokens[:DEPTH]))
-    return [path + b" ".join([*bands[:k], WILDCARD, *bands[k + 1 :]]) for k in range(BANDS)]
+    return [path + b" ".join([*bands[:k], WILDCARD, *bands[k + 1 :]]) for k in filled]
 
 
 def exact_templates(line: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -61,36 +61,78 @@ def exact_templates(line: bytes) -> tuple[list[bytes], list[bytes]]:
     return [whole], [] if found == [whole] else found
 
 
+def _line_keys(text: str, exact: bool) -> Iterator[tuple[int, int]]:
+    """(line number, key) of a text's templates; with ``exact`` the keys of those that two texts suffice for are odd and the others even."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        if exact:
+            few, many = exact_templates(line)
+            for t in few:
+                yield n, (digest(t) | 1) - (1 << 63)
+            for t in many:
+                yield n, (digest(t) >> 1 << 1) - (1 << 63)
+        else:
+            for t in templates(line):
+                yield n, digest(t) - (1 << 63)
+
+
 def _keys(exact: bool):
-    """Rows of template keys; with ``exact`` those that two texts suffice for are odd and the others even."""
+    """Rows of template keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             docs, marks, lines, keys = [], [], [], []
             for doc_id, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    if exact:
-                        few, many = exact_templates(line)
-                        found = [digest(t) | 1 for t in few] + [digest(t) >> 1 << 1 for t in many]
-                    else:
-                        found = [digest(t) for t in templates(line)]
-                    for key in found:
-                        docs.append(doc_id)
-                        marks.append(mark)
-                        lines.append(n)
-                        keys.append(key - (1 << 63))
+                for n, key in _line_keys(text, exact):
+                    docs.append(doc_id)
+                    marks.append(mark)
+                    lines.append(n)
+                    keys.append(key)
             columns = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_mark", "_line", "_key"])
 
     return run
 
 
+#: Rows of which the line keys are held at once.
+SLICE = 512
+
+
+def _gone(found, exact: bool):
+    """Appends the numbers of the lines that go to rows of ``_id, _text``; ``found`` has the recurring templates in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, firsts, without = found.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                ids, texts = (part.column(part.schema.names.index(c)).to_pylist() for c in ("_id", "_text"))
+                rows, lines, keys = [], [], []
+                for k, text in enumerate(texts):
+                    for n, key in _line_keys(text, exact):
+                        rows.append(k)
+                        lines.append(n)
+                        keys.append(key)
+                lost: list[set[int]] = [set() for _ in ids]
+                if len(known) and keys:
+                    wanted = np.array(keys, dtype=np.int64)
+                    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                    for j in np.flatnonzero(known[at] == wanted).tolist():
+                        first = None if without[at[j]] else int(firsts[at[j]])
+                        if ids[rows[j]] != first:
+                            lost[rows[j]].add(lines[j])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(x) for x in lost], pa.list_(pa.int32()))], names=[*part.schema.names, "_dropped"])
+
+    return run
+
+
 def _held(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``_row`` (all columns but the text), ``_id``, ``_text``, ``_null`` (was there no text) and ``_mark``."""
     text = text_or_empty(text_col)
-    return boxed(documents, _id=named(id_col).cast("long"), _text=text, _mark=F.xxhash64(text))
+    rest = [named(c) for c in documents.columns if c != text_col] or [F.lit(0).alias("_none")]
+    return documents.select(F.struct(*rest).alias("_row"), named(id_col).cast("long").alias("_id"), text.alias("_text"), named(text_col).isNull().alias("_null"), F.xxhash64(text).alias("_mark"))
 
 
 def recurring(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, exact_texts: int | None = None) -> DataFrame:
@@ -125,33 +167,46 @@ def drop_lines(
     A document that loses all its words goes, unless ``report`` is set; then all
     rows stay, with ``_lines`` (how many there were) and ``_dropped`` (the numbers of those that went). A null
     text counts as empty and comes back as it was; a null id is never first.
-    Rows repeated in id and text are treated alike. Lines of under three words
-    always stay. An empty table gives an empty result.
+    Rows repeated in id and text are treated alike. Blank lines always stay.
+    Texts of any length are read whole. An empty table gives an empty result.
 
-    Up to ``broadcast_templates`` recurring templates (24 bytes each) are
-    broadcast to the second scan; beyond that they are joined by a shuffle.
+    Up to ``broadcast_templates`` recurring templates (17 bytes each) are
+    broadcast to the second scan, which drops lines where it reads them, so no
+    text is shuffled. Beyond that templates meet lines by a join, and the numbers
+    of the lines that go meet their documents by another.
     """
     columns = documents.columns
+    exact = exact_texts is not None
     held = _held(documents, id_col, text_col)
     found = written(recurring(documents, id_col, text_col, min_texts, exact_texts), "templates").select("_key", "_first")
-    rows = held.select("_id", "_mark", "_text").mapInArrow(_keys(exact_texts is not None), "_id long, _mark long, _line int, _key long")
-    hits = rows.join(F.broadcast(found) if found.count() <= broadcast_templates else found, "_key")
-    gone = hits.where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_mark").agg(F.collect_set("_line").alias("_dropped"))
-    gone = gone.select(F.col("_id").alias("_gid"), F.col("_mark").alias("_gmark"), "_dropped")
-    same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_mark") == F.col("_gmark"))
-    joined = held.join(gone, same, "left")
-    left = F.array_join(F.filter(F.split("_text", "\n"), lambda s, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
-    done = joined.withColumn("_new", F.when(F.col("_dropped").isNull(), F.col("_row").getField(text_col)).otherwise(left))
+    if found.count() <= broadcast_templates:
+        table = found.orderBy("_key").toArrow()
+        firsts = table["_first"].combine_chunks() if table.num_rows else pa.array([], pa.int64())
+        shared = documents.sparkSession.sparkContext.broadcast((table["_key"].to_numpy(), firsts.fill_null(0).to_numpy(), firsts.is_null().to_numpy(zero_copy_only=False)))
+        wide = held.drop("_mark")
+        done = wide.mapInArrow(_gone(shared, exact), T.StructType([*wide.schema.fields, T.StructField("_dropped", T.ArrayType(T.IntegerType()))]))
+    else:
+        rows = held.select("_id", "_mark", "_text").mapInArrow(_keys(exact), "_id long, _mark long, _line int, _key long")
+        gone = rows.join(found, "_key").where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_mark").agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
+        gone = gone.select(F.col("_id").alias("_gid"), F.col("_mark").alias("_gmark"), "_dropped")
+        same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_mark") == F.col("_gmark"))
+        done = held.join(gone, same, "left").withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
+    untouched = F.size("_dropped") == 0
+    lines = F.split("_text", "\n")
+    left = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
+    done = done.withColumn("_new", F.when(untouched, F.when(~F.col("_null"), F.col("_text"))).otherwise(left))
+    out = [(F.col("_new") if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns]
     if report:
-        done = done.withColumn("_lines", F.size(F.split("_text", "\n"))).withColumn("_dropped", F.coalesce(F.array_sort("_dropped"), F.array().cast("array<int>")))
-        return done.select(*[(F.col("_new") if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns], "_lines", "_dropped")
-    done = done.where(F.col("_dropped").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    return unboxed(done, columns, **{text_col: F.col("_new")})
+        return done.select(*out, F.size(lines).alias("_lines"), "_dropped")
+    return done.where(untouched | F.col("_new").rlike(r"[^\x20\x09-\x0D]")).select(*out)
 
 
 def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_texts: int | None = None) -> DataFrame:
-    """One row per input row: id, lines, lines dropped and where, and a digest of what stays."""
-    held = drop_lines(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", report=True, exact_texts=exact_texts)
+    """One row per input row: id, lines, lines dropped and where, and a digest of what stays.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in ``drop_lines``; other columns are not read.
+    """
+    held = drop_lines(documents.select(named(id_col).alias("doc_id"), named(text_col).alias("text")), "doc_id", "text", report=True, exact_texts=exact_texts)
     return held.select(
         "doc_id",
         F.col("_lines").cast("long").alias("n_lines"),

@@ -26,8 +26,8 @@ def plain(rows):
 
 
 def test_templates_generalise_digits_and_one_band():
-    assert lt.templates(b"a b") == []
-    assert lt.templates(b"Page 12 of 30") == lt.templates(b"Page 7 of 31") == [b"4 Page <*> of <*>"]
+    assert lt.templates(b" \t") == [] and lt.templates(b"a  b") == [b"2 a b"]
+    assert lt.templates(b"Page 12 of 30") == lt.templates(b"Page 7 of two") == [b"4 Page <*> of    <*>"]
     one = b"user logged in from host alpha with role admin at the main site today"
     two = b"user logged in from host omega with role admin at the main site today"
     assert set(lt.templates(one)) & set(lt.templates(two))
@@ -35,10 +35,10 @@ def test_templates_generalise_digits_and_one_band():
 
 
 def test_drops_recurring_templates_but_keeps_the_first(spark):
-    rows = [(k, f"own line of document {'abcdefgh'[k]}\nVisit number {k} of this page\nok") for k in range(5)]
+    rows = [(k, f"{'abcdefgh'[k]} own line of a document\nVisit number {k} of this page\nsigned in from {'abcdefgh'[k]}\nok {'abcdefgh'[k]}") for k in range(5)]
     out = {r.doc_id: r.text for r in run(spark, rows).collect()}
     assert out[0] == rows[0][1]
-    assert out[3] == "own line of document d\nok"
+    assert out[3] == "d own line of a document\nok d"
     # twice only, or in copies of one text, is not recurring
     few = rows[:2] + [rows[0], rows[0]]
     assert sorted(r.text for r in run(spark, few).collect()) == sorted(t for _, t in few)
@@ -66,6 +66,17 @@ def test_a_document_without_words_left_goes(spark):
     assert sorted((r.doc_id, r.text) for r in run(spark, rows).collect()) == [(1, "the very same line"), (3, "and more of it")]
 
 
+def test_long_texts_and_clashing_columns(spark):
+    lines = [f"line {'abcdefgh'[k % 8]}{k} has words of its own" for k in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x " * 200_000, *lines[:2]])), (3, lines[5] + "\nz" * 20_000)]
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, _row string, _dropped string, _text string")
+    out = lt.drop_lines(df, exact_texts=2)
+    assert out.columns == df.columns and {r._dropped for r in out.collect()} == {"b"}
+    got = {r.doc_id: r.text for r in out.collect()}
+    # digits are fields, so document 1 keeps its lines as the first and the others lose theirs; a line of one word is the first's as well
+    assert got[1] == rows[0][1] and got[2] == "x " * 200_000 and got[3].count("z") == 20_000
+
+
 def test_shuffled_templates_give_the_same(spark):
     rows = [(k, f"own {'abcdefgh'[k]} line\nVisit number {k} of this page") for k in range(5)]
     a = sorted(map(tuple, run(spark, rows).collect()))
