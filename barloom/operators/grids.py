@@ -42,37 +42,58 @@ def crossover_returns(df: DataFrame, x: str = "x", most: int = 20, own_start: bo
     return out.select(*s.by, s.i, "short", "long", signal.alias("signal"), (signal * F.col("_next")).alias("ret"))
 
 
+CRITERIA = ("mean", "profit_factor", "sharpe")
+
+
+def criteria(ret: Column, traded: Column | None = None) -> list[Column]:
+    """Total, mean, profit factor and Sharpe ratio of returns, or of those where ``traded`` holds, and their number.
+
+    Without ``traded`` every row counts, and the ratio's guard is added to the
+    deviation; with it the guards keep a system without trades at 0.
+    """
+    r = ret if traded is None else F.when(traded, ret).otherwise(F.lit(0.0))
+    total, squares = F.sum(r), F.sum(r * r)
+    wins, losses = F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))
+    if traded is None:
+        n = F.count(F.lit(1))
+        mean = total / n
+        sharpe = mean / (F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))) + 1e-8)
+    else:
+        n = F.sum(traded.cast("long"))
+        mean = total / (n + F.lit(1e-30))
+        sharpe = mean / F.sqrt(F.greatest(squares / (n + F.lit(1e-30)) - mean * mean, F.lit(1e-20)))
+    pf = (wins + F.lit(1e-60)) / (losses + F.lit(1e-60))
+    return [total.alias("total"), mean.alias("mean"), pf.alias("profit_factor"), sharpe.alias("sharpe"), n.alias("n_bars")]
+
+
 def crossover_grid(df: DataFrame, x: str = "x", most: int = 20, side: str = "both", s: Series = MARKET, **kw) -> DataFrame:
     """One row a series and pair: total, mean, profit factor, Sharpe and trade counts.
 
-    ``side`` keeps both, the long or the short positions; the other bars return 0.
+    With ``side`` long or short only the bars of such positions count.
     """
     rows = crossover_returns(df, x, most, s=s, **kw)
-    if side != "both":
-        rows = rows.withColumn("ret", F.when(F.col("signal") == (1 if side == "long" else -1), F.col("ret")).otherwise(F.lit(0.0)))
-    r = F.col("ret")
-    wins, losses = F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))
+    traded = None if side == "both" else F.col("signal") == (1 if side == "long" else -1)
     return rows.groupBy(*s.by, "short", "long").agg(
-        F.sum(r).alias("total"),
-        F.avg(r).alias("mean"),
-        ((wins + 1e-60) / (losses + 1e-60)).alias("profit_factor"),
-        (F.avg(r) / (F.sqrt(F.avg(r * r)) + 1e-8)).alias("sharpe"),
+        *criteria(F.col("ret"), traded)[:-1],
         F.sum((F.col("signal") == 1).cast("long")).alias("n_long"),
         F.sum((F.col("signal") == -1).cast("long")).alias("n_short"),
     )
 
 
 def best(df: DataFrame, value: str, ties: list[str], by: list[str], keep: list[str]) -> DataFrame:
-    """The row with the highest value of each group; the first in tie order wins."""
-    order = F.struct(F.col(value), *[-F.col(t) for t in ties])
+    """The row with the highest value of each group; of equal ones, to ten places, the first in tie order wins.
+
+    Equal systems have equal sums but for the order in which they were added up.
+    """
+    order = F.struct(F.round(value, 10), *[-F.col(t) for t in ties])
     return df.groupBy(*by).agg(F.max_by(F.struct(*keep), order).alias("_best")).select(*by, "_best.*")
 
 
 def breakout(df: DataFrame, x: str = "x", most: int = 20, steps: int = 10, s: Series = MARKET) -> DataFrame:
-    """``by, look, k, i, pos, ret``: in the market above (1 + k/100) times the mean, out below it, else as before.
+    """``by, look, k, i, pos, since, ret``: in the market above (1 + k/100) times the mean, out below it, else as before.
 
-    The position is the last decision that was made: a running last value that
-    skips bars without one.
+    The position is the last decision that was made, at bar ``since``: a running
+    last value that skips bars without one.
     """
     held = with_means(df, x, most, s).withColumn("_next", s.lead(x) - F.col(x)).where(F.col(s.i) >= most - 1)
     grid = F.array(*[F.struct(F.lit(lo).alias("look"), F.lit(k).alias("k")) for lo in range(2, most + 1) for k in range(1, steps + 1)])
@@ -80,12 +101,23 @@ def breakout(df: DataFrame, x: str = "x", most: int = 20, steps: int = 10, s: Se
     mean = F.expr("element_at(m, look)")
     decided = F.when(F.col("_x") > (F.col("k") * 0.01 + 1) * mean, 1).when(F.col("_x") < mean, 0)
     order = Window.partitionBy(*s.by, "look", "k").orderBy(s.i).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_d", decided).withColumn("pos", F.coalesce(F.last("_d", ignorenulls=True).over(order), F.lit(0)))
-    return rows.select(*s.by, "look", "k", s.i, "pos", "_x", F.col("_next"), (F.col("pos") * F.col("_next")).alias("ret"))
+    made = F.when(decided.isNotNull(), F.struct(decided.alias("d"), F.col(s.i).alias("i")))
+    rows = rows.withColumn("_d", F.last(made, ignorenulls=True).over(order)).withColumn("pos", F.coalesce("_d.d", F.lit(0)))
+    return rows.select(*s.by, "look", "k", s.i, "pos", F.col("_d.i").alias("since"), "_x", F.col("_next"), (F.col("pos") * F.col("_next")).alias("ret"))
+
+
+def restarted(rows: DataFrame, start: Column) -> DataFrame:
+    """Breakout rows as if the system had been started out of the market at bar ``start``."""
+    pos = F.when(F.col("since") >= start, F.col("pos")).otherwise(F.lit(0))
+    return rows.withColumn("pos", pos).withColumn("ret", F.col("pos") * F.col("_next"))
 
 
 def breakout_returns(rows: DataFrame, kind: int, keys: list[str], i: str = "i") -> DataFrame:
-    """Returns of breakout positions: 0 all bars, 1 bars in the market, 2 completed trades (the last is closed)."""
+    """Returns of breakout positions: 0 all bars, 1 bars in the market, 2 completed trades.
+
+    A trade that is open at the end is closed there, unless it was opened by the
+    last bar's own decision.
+    """
     rows = rows.where(F.col("_next").isNotNull())
     if kind == 0:
         return rows.select(*keys, i, "ret")
@@ -93,8 +125,9 @@ def breakout_returns(rows: DataFrame, kind: int, keys: list[str], i: str = "i")
         return rows.where("pos <> 0").select(*keys, i, "ret")
     order = Window.partitionBy(*keys).orderBy(i)
     held = rows.withColumn("_opens", ((F.col("pos") == 1) & (F.coalesce(F.lag("pos").over(order), F.lit(0)) == 0)).cast("int"))
-    held = held.withColumn("trade", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("pos = 1")
-    return held.groupBy(*keys, "trade").agg(F.max(i).alias(i), F.sum("ret").alias("ret")).drop("trade")
+    held = held.withColumn("trade", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_end", F.max(i).over(Window.partitionBy(*keys)))
+    trades = held.where("pos = 1").groupBy(*keys, "trade").agg(F.min(i).alias("_from"), F.max(i).alias(i), F.sum("ret").alias("ret"), F.max("_end").alias("_end"))
+    return trades.where("_from < _end").drop("trade", "_from", "_end")
 
 
 def reversal_grid(df: DataFrame, lookback: int, opens: str = "lo", closes: str = "x", rises: int = 50, drops: int = 50, s: Series = MARKET) -> DataFrame:
@@ -144,25 +177,56 @@ def penalized(total: Column, trades: Column, least: int) -> Column:
     return F.when(trades < least, F.lit(-1e20)).otherwise(total)
 
 
-def folds(n: int, n_train: int, n_test: int) -> list[tuple[int, int, int, int]]:
-    """(fold, training start, test start, test end) of a walk forward; the last test may be shorter."""
-    return [(k, at, at + n_train, min(at + n_train + n_test, n)) for k, at in enumerate(range(0, n - n_train, n_test))]
+def folds(n: int, n_train: int, n_test: int, omit: int = 0, extra: int = 0) -> list[tuple[int, int, int, int]]:
+    """(fold, training start, test start, test end) of a walk forward; the last test may be shorter, ``extra`` cases are skipped after each."""
+    return [(k, at, at + n_train, min(at + n_train + n_test, n)) for k, at in enumerate(range(0, n - n_train, n_test + extra))]
+
+
+def training_folds(rows: DataFrame, n_train: int, n_test: int, warm: int | Column = 0, i: str = "i") -> DataFrame:
+    """Each row with each ``fold`` in whose training slice its return lies.
+
+    Fold f trains on the prices [f n_test, f n_test + n_train): the first
+    ``warm`` of them only feed means, and the return from the last one is the first
+    out of sample. A row belongs to n_train / n_test folds at most, so it is dealt to just those.
+    """
+    warm = warm if isinstance(warm, Column) else F.lit(warm)
+    last = F.floor((F.col(i) - warm) / n_test)
+    first = F.greatest(F.ceil((F.col(i) - (n_train - 2)) / n_test), F.lit(0))
+    return rows.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
+
+
+def test_folds(rows: DataFrame, n_train: int, n_test: int, i: str = "i") -> DataFrame:
+    """The rows that some fold tests, with that ``fold``: decisions from the last training price on."""
+    return rows.where(F.col(i) >= n_train - 1).withColumn("fold", F.floor((F.col(i) - (n_train - 1)) / n_test).cast("int"))
+
+
+def walk_forward(returns: DataFrame, n_train: int, n_test: int, keys: list[str], by: list[str], warm: int | Column = 0, ties: list[str] | None = None, score: Column | None = None, i: str = "i") -> DataFrame:
+    """Out-of-sample returns of the system that was best in each fold's training slice: all folds in one job.
+
+    ``returns`` has a row a series, system and bar. ``score`` is an aggregate of
+    a system's training rows, the mean of ``ret`` if left out; of equal ones the
+    first by ``ties`` wins.
+    """
+    score = F.avg("ret") if score is None else score
+    scored = training_folds(returns, n_train, n_test, warm, i).groupBy(*by, "fold", *keys).agg(score.alias("in_sample"))
+    chosen = best(scored, "in_sample", ties or keys[::-1], [*by, "fold"], [*keys, "in_sample"])
+    return test_folds(returns, n_train, n_test, i).join(chosen, [*by, "fold", *keys])
 
 
-def walk_forward(returns: DataFrame, n_train: int, n_test: int, keys: list[str], by: list[str], i: str = "i") -> DataFrame:
-    """Out-of-sample returns of the system that was best in each fold's training bars: all folds in one job.
+def breakout_walk_forward(rows: DataFrame, most: int, n_train: int, n_test: int, criterion: str = "mean", all_bars: bool = False, by: list[str] = ("symbol",), i: str = "i") -> DataFrame:
+    """Breakout rows of each fold's test by the system that was best in its training slice.
 
-    ``returns`` has a row a series, system and bar. A bar belongs to the training
-    part of at most n_train / n_test folds, so it is dealt to just those.
+    A fold starts out of the market at its first bar with all means, and the
+    position at the end of training is carried into the test. ``criterion`` is one
+    of CRITERIA, over all bars or over those in the market.
     """
-    test_fold = F.floor((F.col(i) - n_train) / n_test)
-    last = F.floor(F.col(i) / n_test)
-    first = F.greatest(F.ceil((F.col(i) - n_train + 1) / n_test), F.lit(0))
-    train = returns.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    score = train.groupBy(*by, "fold", *keys).agg(F.sum("ret").alias("in_sample"))
-    chosen = best(score, "in_sample", keys[::-1], [*by, "fold"], [*keys, "in_sample"])
-    test = returns.where(F.col(i) >= n_train).withColumn("fold", test_fold.cast("int"))
-    return test.join(chosen, [*by, "fold", *keys])
+    start = F.col("fold") * n_test + (most - 1)
+    train = restarted(training_folds(rows.where("_next IS NOT NULL"), n_train, n_test, most - 1, i), start)
+    traded = F.lit(True) if all_bars else F.col("pos") == 1
+    scores = train.groupBy(*by, "fold", "look", "k").agg(*criteria(F.col("ret"), traded))
+    chosen = best(scores, criterion, ["look", "k"], [*by, "fold"], ["look", "k", criterion]).withColumnRenamed(criterion, "in_sample")
+    test = test_folds(rows.where("_next IS NOT NULL"), n_train, n_test, i).join(chosen, [*by, "fold", "look", "k"])
+    return restarted(test, start)
 
 
 def crunch(df: DataFrame, ret: str, order: str, size: int = 10, by: list[str] = ()) -> DataFrame:

@@ -14,48 +14,49 @@ from .indicators import MARKET, Series
 from .stats import order_quantile
 
 
-def draws(spark, n: int, reps: int, seed: int, size: int | None = None) -> DataFrame:
-    """``rep, j, i``: for each replication, places drawn with replacement from 0 to n-1."""
-    size = size or n
-    held = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
-    return held.withColumn("i", (rng.bits(seed, "rep", "j") % n).cast("int"))
+def draws(df: DataFrame, by: list[str], reps: int, seed: int, size: int | None = None) -> DataFrame:
+    """``by, rep, j, i``: for each series and replication, places drawn with replacement from 0 to n-1, as many or ``size``.
 
+    Series of equal length draw the same places, as hashes of (seed, replication, j).
+    """
+    held = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    held = held.select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") if size is None else F.lit(size)).cast("int") - 1)).alias("j"))
+    return held.withColumn("i", (rng.bits(seed, "rep", "j") % F.col("_n")).cast("int")).drop("_n")
+
+
+def bootstrap(df: DataFrame, x: str, by: list[str], reps: int, seed: int, stat: Column, i: str = "i") -> DataFrame:
+    """``by, rep, stat`` of each resample of each series (``i`` from 0 to n-1)."""
+    held = draws(df, by, reps, seed).join(df.select(*by, i, x), [*by, i])
+    return held.groupBy(*by, "rep").agg(stat.alias("stat"))
 
-def bootstrap(df: DataFrame, x: str, n: int, reps: int, seed: int, stat: Column, i: str = "i") -> DataFrame:
-    """``rep, stat`` of each resample of one series (``i`` from 0 to n-1)."""
-    held = draws(df.sparkSession, n, reps, seed).join(df.select(i, x), i)
-    return held.groupBy("rep").agg(stat.alias("stat"))
 
+def percentile(sorted_stats: Column, prob: Column) -> tuple[Column, Column]:
+    """The k-th statistic from either end, k = floor(p (B + 1)), 1 at least."""
+    k = F.greatest(F.floor(prob * (F.size(sorted_stats) + 1)).cast("int"), F.lit(1))
+    return F.element_at(sorted_stats, k), F.element_at(sorted_stats, F.size(sorted_stats) + 1 - k)
 
-def bounds(stats: DataFrame, probs: tuple[float, ...] = (0.025, 0.05, 0.10)) -> DataFrame:
-    """``prob, low, high`` by the percentile rule: the k-th from either end, k = floor(p (B + 1)), 1 at least."""
-    held = stats.agg(F.array_sort(F.collect_list("stat")).alias("s"))
-    levels = F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")
-    held = held.select("s", levels)
-    k = F.greatest(F.floor(F.col("prob") * (F.size("s") + 1)).cast("int"), F.lit(1))
-    return held.select("prob", F.element_at("s", k).alias("low"), F.element_at("s", F.size("s") + 1 - k).alias("high"))
 
+def bounds(stats: DataFrame, probs: tuple[float, ...] = (0.025, 0.05, 0.10), by: list[str] = ()) -> DataFrame:
+    """``by, prob, low, high`` by the percentile rule."""
+    held = stats.groupBy(*by).agg(F.array_sort(F.collect_list("stat")).alias("s"))
+    held = held.select(*by, "s", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    low, high = percentile(F.col("s"), F.col("prob"))
+    return held.select(*by, "prob", low.alias("low"), high.alias("high"))
 
-def pivot(found: DataFrame, estimate: Column) -> DataFrame:
+
+def pivot(found: DataFrame, estimate: Column, by: list[str] = ()) -> DataFrame:
     """The pivot interval: percentile bounds mirrored at the estimate."""
-    return found.select("prob", (estimate * 2 - F.col("high")).alias("low"), (estimate * 2 - F.col("low")).alias("high"))
-
-
-def bca_of_mean(df: DataFrame, x: str, stats: DataFrame, probs: tuple[float, ...] = (0.025, 0.05, 0.10)) -> DataFrame:
-    """BCa bounds of the mean: bias from the share of resamples below it, acceleration from leave-one-out means."""
-    base = df.agg(F.avg(x).alias("theta"), F.count(x).alias("n"), F.sum(x).alias("sx"))
-    jack = df.join(base, F.lit(True)).withColumn("_j", (F.col("sx") - F.col(x)) / (F.col("n") - 1))
-    # the mean of the leave-one-out means is the mean itself
-    dev = F.col("theta") - F.col("_j")
-    acc = jack.agg(F.sum(dev * dev * dev).alias("c3"), F.sum(dev * dev).alias("c2"), F.max("theta").alias("theta"))
-    acc = acc.withColumn("accel", F.col("c3") / (F.pow(F.sqrt("c2"), 3.0) * 6 + 1e-60))
-    held = stats.join(acc, F.lit(True)).groupBy("theta", "accel").agg(
-        F.array_sort(F.collect_list("stat")).alias("s"), F.sum((F.col("stat") < F.col("theta")).cast("int")).alias("below")
-    )
+    return found.select(*by, "prob", (estimate * 2 - F.col("high")).alias("low"), (estimate * 2 - F.col("low")).alias("high"))
+
+
+def bca(held: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, low, high``: BCa bounds of any statistic, from rows of ``s`` (sorted resamples), ``theta``, ``accel`` and ``prob``.
+
+    The bias comes from the share of resamples below the estimate.
+    """
     size = F.size("s")
-    share = F.greatest(F.least(F.col("below"), size - 1), F.lit(1)) / size
-    held = held.withColumn("share", share).withColumn("z0", F.expr(dist.inverse_normal_sql("share")))
-    held = held.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    below = F.size(F.filter("s", lambda v: v < F.col("theta")))
+    held = held.withColumn("share", F.greatest(F.least(below, size - 1), F.lit(1)) / size).withColumn("z0", F.expr(dist.inverse_normal_sql("share")))
     for name, p in (("zl", "prob"), ("zh", "(1.0E0 - prob)")):
         held = held.withColumn(name, F.expr(dist.inverse_normal_sql(p)))
     for name, z in (("al", "zl"), ("ah", "zh")):
@@ -63,24 +64,43 @@ def bca_of_mean(df: DataFrame, x: str, stats: DataFrame, probs: tuple[float, ...
         held = held.withColumn("_a", adj).withColumn(name, F.expr(dist.normal_cdf_sql("_a"))).drop("_a")
     low = F.greatest(F.floor(F.col("al") * (size + 1)).cast("int"), F.lit(1))
     high = F.greatest(F.floor((1 - F.col("ah")) * (size + 1)).cast("int"), F.lit(1))
-    return held.select("prob", F.element_at("s", F.least(low, size)).alias("low"), F.element_at("s", F.greatest(size + 1 - high, F.lit(1))).alias("high"))
+    return held.select(*keep, F.element_at("s", F.least(low, size)).alias("low"), F.element_at("s", F.greatest(size + 1 - high, F.lit(1))).alias("high"))
+
+
+def acceleration(left_out: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, accel`` from leave-one-out statistics."""
+    mean = left_out.groupBy(*by).agg(F.avg(value).alias("_m"))
+    held = left_out.join(mean, list(by))
+    dev = F.col("_m") - F.col(value)
+    return held.groupBy(*by).agg((F.sum(dev * dev * dev) / (F.pow(F.sqrt(F.sum(dev * dev)), 3.0) * 6 + 1e-60)).alias("accel"))
+
 
+def bca_of_mean(df: DataFrame, x: str, stats: DataFrame, probs: tuple[float, ...] = (0.025, 0.05, 0.10), by: list[str] = ("symbol",)) -> DataFrame:
+    """``by, prob, low, high``: BCa bounds of the mean, whose leave-one-out values follow from the sum."""
+    by = list(by)
+    base = df.groupBy(*by).agg(F.avg(x).alias("theta"), F.count(x).alias("_n"), F.sum(x).alias("_sx"))
+    left_out = df.join(base, by).select(*by, ((F.col("_sx") - F.col(x)) / (F.col("_n") - 1)).alias("_j"))
+    held = stats.groupBy(*by).agg(F.array_sort(F.collect_list("stat")).alias("s")).join(base.select(*by, "theta"), by).join(acceleration(left_out, "_j", by), by)
+    return bca(held.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")), [*by, "prob"])
 
-def permuted(df: DataFrame, reps: int, seed: int, first: int, x: str = "x", s: Series = MARKET, joint: bool = False) -> DataFrame:
+
+def permuted(df: DataFrame, reps: int, seed: int, first: int, x: str = "x", s: Series = MARKET, joint: bool = False, cuts: tuple[int, ...] = ()) -> DataFrame:
     """``by, rep, i, x``: replication 0 as it is, the others with their changes after bar ``first`` in random order.
 
     Order is a hash of replication and place: replications do not depend on each
     other. With ``joint`` all series of a replication share one order, so their
-    correlations stay.
+    correlations stay. Changes into the bars before, and from, each bar of ``cuts``
+    stay on their side of it.
     """
     steps = df.withColumn("_step", F.col(x) - s.lag(x))
     reps_of = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     long = steps.select(*s.by, s.i, F.col(x).alias("_x"), "_step", reps_of)
-    moved = long.where(F.col(s.i) > first)
+    segment = sum(((F.col(s.i) >= c).cast("int") for c in cuts), F.lit(0))
+    moved = long.where(F.col(s.i) > first).withColumn("_seg", segment)
     keys = [*s.by, "rep"]
     parts = ("rep", s.i) if joint else (*s.by, "rep", s.i)
     shuffled = F.when(F.col("rep") == 0, F.col(s.i).cast("long")).otherwise(rng.bits(seed, *parts))
-    moved = moved.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(shuffled, s.i)) + first)
+    moved = moved.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_seg", shuffled, s.i)) + first)
     upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     base = df.where(F.col(s.i) == first).select(*s.by, F.col(x).alias("_base"))
     rebuilt = moved.join(base, list(s.by)).select(*keys, F.col("_at").cast("int").alias(s.i), (F.col("_base") + F.sum("_step").over(upto)).alias(x))
@@ -152,38 +172,26 @@ def mcpt_bars(df: DataFrame, lookback: int, reps: int, seed: int, s: Series = MA
     return mcpt_summary(held.select(*s.by, "rep", F.col("total").alias("value"), trend.alias("trend")), list(s.by))
 
 
-def blocks_of(n: int, blocks: int) -> list[tuple[int, int]]:
-    """(start, end) of an even number of nearly equal blocks."""
-    blocks = blocks // 2 * 2
-    out, at = [], 0
-    for k in range(blocks):
-        size = (n - at) // (blocks - k)
-        out.append((at, at + size))
-        at += size
-    return out
+def block_of(place: Column, n: Column, blocks: int) -> Column:
+    """The block of a place when n places are cut into nearly equal blocks, the longer ones last."""
+    size = F.floor(n / blocks)
+    short = (F.lit(blocks) - n % blocks) * size
+    return F.when(place < short, F.floor(place / size)).otherwise(F.lit(blocks) - n % blocks + F.floor((place - short) / (size + 1))).cast("int")
 
 
-def cscv(returns: DataFrame, n: int | None, blocks: int, first: int, by: str = "symbol", keys: tuple[str, ...] = ("long", "short")) -> DataFrame:
+def cscv(returns: DataFrame, blocks: int, first: int, by: str = "symbol", keys: tuple[str, ...] = ("long", "short")) -> DataFrame:
     """``by, n_splits, probability``: how often the best system of half the blocks is at or below the median of the rest.
 
-    Sums by system and block are all that the splits need; the splits are the
-    halves of a small number of blocks, a bounded relation. Blocks are cut over
-    the first ``n`` returns, without ``n`` over all returns of each series.
+    An even number of blocks is cut over all returns of each series, from bar
+    ``first`` on. Sums by system and block are all that the splits need; the splits
+    are the halves of a small number of blocks, a bounded relation.
     """
-    cut = blocks_of(n or blocks, blocks)
-    spark = returns.sparkSession
-    place = F.col("i") - first
-    block = F.lit(None).cast("int")
-    if n is None:
-        whole = returns.groupBy(by).agg((F.max("i") - first + 1).alias("_whole"))
-        cuts = F.udf(lambda m: [b for _, b in blocks_of(m, blocks)], "array<int>")
-        returns = returns.join(whole.select(by, cuts("_whole").alias("_ends")), by)
-        block = F.size(F.filter("_ends", lambda end: end <= place))
-    for k, (a, b) in enumerate(cut if n is not None else []):
-        block = F.when((place >= a) & (place < b), F.lit(k)).otherwise(block)
-    sums = returns.withColumn("block", block).where("block IS NOT NULL").groupBy(by, *keys, "block").agg(F.sum("ret").alias("s"), F.count(F.lit(1)).alias("c"))
-    splits = [(k, b, b in inside) for k, inside in enumerate(combinations(range(len(cut)), len(cut) // 2)) for b in range(len(cut))]
-    halves = spark.createDataFrame(splits, "split int, block int, inside boolean")
+    blocks = blocks // 2 * 2
+    sizes = returns.groupBy(by).agg((F.max("i") - first + 1).alias("_n"))
+    placed = returns.join(sizes, by).withColumn("block", block_of(F.col("i") - first, F.col("_n"), blocks))
+    sums = placed.groupBy(by, *keys, "block").agg(F.sum("ret").alias("s"), F.count(F.lit(1)).alias("c"))
+    splits = [(k, b, b in inside) for k, inside in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
+    halves = returns.sparkSession.createDataFrame(splits, "split int, block int, inside boolean")
     joined = sums.join(F.broadcast(halves), "block")
     mean = lambda side: F.sum(F.when(side, F.col("s"))) / F.sum(F.when(side, F.col("c")))
     scored = joined.groupBy(by, "split", *keys).agg(mean(F.col("inside")).alias("in_s"), mean(~F.col("inside")).alias("out_s"))
@@ -192,7 +200,7 @@ def cscv(returns: DataFrame, n: int | None, blocks: int, first: int, by: str = "
     for k in keys:
         mine = mine & (F.col(k) == F.col(f"_{k}"))
     ranked = scored.join(top, [by, "split"]).groupBy(by, "split").agg(
-        F.sum((mine | (F.col("_best") >= F.col("out_s"))).cast("int")).alias("rank"), F.count(F.lit(1)).alias("systems")
+        F.sum((mine | (F.round("_best", 10) >= F.round("out_s", 10))).cast("int")).alias("rank"), F.count(F.lit(1)).alias("systems")
     )
     less = (F.col("rank") / (F.col("systems") + 1) <= 0.5).cast("double")
     return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n_splits"), F.avg(less).alias("probability"))
@@ -209,36 +217,57 @@ def stochastic_bias(returns: DataFrame, by: list[str], i: str = "i", keys: tuple
     return out.withColumn("bias", F.col("is_sum") - F.col("oos_sum"))
 
 
-def drawdown_quantiles(df: DataFrame, x: str, n: int, size: int, reps: int, seed: int, probs: tuple[float, ...] = (0.999, 0.99, 0.95, 0.90), i: str = "i") -> DataFrame:
-    """``prob, drawdown``: quantiles of the worst drawdown of resampled paths of ``size`` returns."""
-    path = draws(df.sparkSession, n, reps, seed, size).join(df.select(i, x), i)
-    upto = Window.partitionBy("rep").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("_c", F.sum(x).over(upto)).withColumn("_p", F.max("_c").over(upto))
-    worst = path.groupBy("rep").agg(F.max(F.col("_p") - F.col("_c")).alias("dd"))
-    held = worst.agg(*[order_quantile("dd", p).alias(f"q{k}") for k, p in enumerate(probs)])
+def drawdown_quantiles(df: DataFrame, x: str, by: list[str], size: int, reps: int, seed: int, probs: tuple[float, ...] = (0.999, 0.99, 0.95, 0.90), i: str = "i") -> DataFrame:
+    """``by, prob, drawdown``: quantiles of the worst drawdown of resampled paths of ``size`` returns of each series."""
+    path = draws(df, by, reps, seed, size).join(df.select(*by, i, x), [*by, i])
+    return quantile_rows(worst_drawdowns(path, x, [*by, "rep"]), by, probs)
+
+
+def worst_drawdowns(path: DataFrame, x: str, keys: list[str], order: str = "j") -> DataFrame:
+    """``keys, dd``: the worst fall from a peak, which starts at the first value, of each path of changes."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    held = path.withColumn("_c", F.sum(x).over(upto)).withColumn("_p", F.max("_c").over(upto))
+    return held.groupBy(*keys).agg(F.max(F.col("_p") - F.col("_c")).alias("dd"))
+
+
+def quantile_rows(worst: DataFrame, by: list[str], probs: tuple[float, ...]) -> DataFrame:
+    held = worst.groupBy(*by).agg(*[order_quantile("dd", p).alias(f"q{k}") for k, p in enumerate(probs)])
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"q{k}").alias("drawdown")) for k, p in enumerate(probs)])).alias("_q")
-    return held.select(rows).select("_q.*")
+    return held.select(*by, rows).select(*by, "_q.*")
+
+
+#: Criteria by which a market is chosen, in the order in which the first of equals wins.
+CHOICES = ("total", "sharpe", "profit_factor")
 
 
-def chooser(df: DataFrame, window: int, out_window: int, x: str = "x", by: str = "symbol", i: str = "i") -> DataFrame:
-    """Nested walk-forward choice of a market, as windows and two arg-max aggregates.
+def criterion_picks(df: DataFrame, window: int, x: str = "x", by: str = "symbol", i: str = "i", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, i, criterion, market, ret``: the best market by each criterion of its last ``window`` prices, and its next return.
 
-    At each bar the best market by each criterion of its last ``window`` returns
-    is held for one bar; the criterion whose picks earned most over the last
-    ``out_window`` bars then picks the market for the next. Rows: ``i, criterion,
-    market, ret`` of the final choice.
+    The series must share their time axis ``i``. Of equal markets the first by name wins.
     """
-    order = Window.partitionBy(by).orderBy(i)
-    last = order.rowsBetween(-(window - 1), 0)
+    order = Window.partitionBy(*keys, by).orderBy(i)
+    n = window - 1
+    last = order.rowsBetween(1 - n, 0)
     held = df.withColumn("_r", F.col(x) - F.lag(x).over(order)).withColumn("_next", F.lead(x).over(order) - F.col(x))
     total, sq = F.sum("_r").over(last), F.sum(F.col("_r") * F.col("_r")).over(last)
     wins, losses = F.sum(F.greatest("_r", F.lit(0.0))).over(last), F.sum(F.greatest(-F.col("_r"), F.lit(0.0))).over(last)
-    mean = total / window
-    sharpe = mean / F.sqrt(F.greatest(sq / window - mean * mean, F.lit(0.0)) + 1e-60)
-    scored = held.select(by, i, "_next", F.array(F.round(total, 10), F.round(sharpe, 10), F.round((wins + 1e-60) / (losses + 1e-60), 10)).alias("_c")).where((F.col(i) >= window) & F.col("_next").isNotNull())
-    rows = scored.select(by, i, "_next", F.posexplode("_c").alias("criterion", "_v"))
-    picks = rows.groupBy(i, "criterion").agg(F.max_by(F.struct(F.col("_next").alias("ret"), F.col(by).alias("market")), F.struct("_v", by)).alias("_b")).select(i, "criterion", "_b.*")
-    past = Window.partitionBy("criterion").orderBy(i).rowsBetween(-out_window, -1)
+    mean = total / n
+    sharpe = mean / F.sqrt(F.greatest(sq / n - mean * mean, F.lit(0.0)) + 1e-60)
+    scores = F.array(F.round(total, 10), F.round(sharpe, 10), F.round((wins + 1e-60) / (losses + 1e-60), 10))
+    scored = held.select(*keys, by, i, "_next", scores.alias("_c")).where((F.col(i) >= n) & F.col("_next").isNotNull())
+    rows = scored.select(*keys, by, i, "_next", F.posexplode("_c").alias("criterion", "_v"))
+    best = F.min_by(F.struct(F.col("_next").alias("ret"), F.col(by).alias("market")), F.struct(-F.col("_v"), F.col(by)))
+    return rows.groupBy(*keys, i, "criterion").agg(best.alias("_b")).select(*keys, i, "criterion", "_b.*")
+
+
+def final_picks(picks: DataFrame, out_window: int, i: str = "i", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, i, criterion, market, ret``: of ``criterion_picks`` those of the criterion that earned most over the last ``out_window`` bars."""
+    past = Window.partitionBy(*keys, "criterion").orderBy(i).rowsBetween(-out_window, -1)
     ranked = picks.withColumn("_sum", F.round(F.sum("ret").over(past), 10)).withColumn("_n", F.count("ret").over(past)).where(F.col("_n") == out_window)
-    chosen = ranked.groupBy(i).agg(F.max_by(F.struct("criterion", "market", "ret"), F.struct("_sum", -F.col("criterion"))).alias("_b"))
-    return chosen.select(i, "_b.*")
+    chosen = ranked.groupBy(*keys, i).agg(F.max_by(F.struct("criterion", "market", "ret"), F.struct("_sum", -F.col("criterion"))).alias("_b"))
+    return chosen.select(*keys, i, "_b.*")
+
+
+def chooser(df: DataFrame, window: int, out_window: int, x: str = "x", by: str = "symbol", i: str = "i", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Nested walk-forward choice of a market: at each bar the criterion that lately chose best chooses the next bar's market."""
+    return final_picks(criterion_picks(df, window, x, by, i, keys), out_window, i, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, grids, indicators as ind, resample
 from ..sources import tables
-from . import catalog
+from . import catalog, tools
 from .indicator_queries import O, sql, w
 
 MOST = 12
@@ -23,9 +23,77 @@ rows_ AS (SELECT a.symbol, a.i, CAST(a.k AS INTEGER) AS short, CAST(b.k AS INTEG
 
 
 WINS, LOSSES = "sum(greatest(ret, 0.0))", "sum(greatest(-ret, 0.0))"
-GRID = f"grid AS (SELECT symbol, short, long, sum(ret) AS total, avg(ret) AS mean, ({WINS} + 1e-60) / ({LOSSES} + 1e-60) AS profit_factor, avg(ret) / (sqrt(avg(ret * ret)) + 1e-8) AS sharpe, CAST(sum(CASE WHEN sg = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(CASE WHEN sg = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_short FROM rows2 GROUP BY 1, 2, 3)"
+GRID = f"grid AS (SELECT symbol, short, long, sum(ret) AS total, avg(ret) AS mean, ({WINS} + 1e-60) / ({LOSSES} + 1e-60) AS profit_factor, avg(ret) / (sqrt(greatest(avg(ret * ret) - avg(ret) * avg(ret), 0.0)) + 1e-8) AS sharpe, CAST(sum(CASE WHEN sg = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(CASE WHEN sg = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_short FROM rows2 GROUP BY 1, 2, 3)"
 GRID_OUT = "symbol, short, long, round(total, 6) AS total, round(mean, 6) AS mean, round(profit_factor, 6) AS profit_factor, round(sharpe, 6) AS sharpe, n_long, n_short"
 
+
+
+def criteria_sql(ret: str, traded: str) -> str:
+    """The criteria of the rows where ``traded`` holds."""
+    r, n = f"(CASE WHEN {traded} THEN {ret} ELSE 0.0 END)", f"sum(CASE WHEN {traded} THEN 1 ELSE 0 END)"
+    mean = f"(sum({r}) / ({n} + 1e-30))"
+    return (
+        f"round(sum({r}), 6) AS total, round({mean}, 6) AS mean, round((sum(greatest({r}, 0.0)) + 1e-60) / (sum(greatest(-{r}, 0.0)) + 1e-60), 6) AS profit_factor, "
+        f"round({mean} / sqrt(greatest(sum({r} * {r}) / ({n} + 1e-30) - {mean} * {mean}, 1e-20)), 6) AS sharpe, CAST({n} AS BIGINT) AS n_bars"
+    )
+
+
+def breakout_sql(look: int, steps: int) -> str:
+    """``pos``: symbol, look, k, i, x, nx, pos and the bar ``since`` when it was decided."""
+    run = "(PARTITION BY symbol, look, k ORDER BY i ROWS UNBOUNDED PRECEDING)"
+    return f"""sums AS (SELECT symbol, i, x, sum(x) OVER {PRE} AS s, lead(x) OVER {O} - x AS nx FROM bars),
+means AS (SELECT symbol, i, x, nx, CAST(k AS INTEGER) AS look, (s - coalesce(lag(s, CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY i), 0.0)) / k AS m FROM sums, range(2, {look + 1}) g(k)),
+dec AS (SELECT symbol, look, CAST(k AS INTEGER) AS k, i, x, nx, CASE WHEN x > (1 + k * 0.01) * m THEN 1 WHEN x < m THEN 0 END AS d FROM means, range(1, {steps + 1}) h(k) WHERE i >= {look - 1}),
+pos AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER {run}, 0) AS pos, max(CASE WHEN d IS NOT NULL THEN i END) OVER {run} AS since FROM dec)"""
+
+
+def breakout_folds_sql(most: int, steps: int, n_train: int, n_test: int, criterion: str = "mean", traded: str = "p = 1") -> str:
+    """``tst``: symbol, fold, i, nx, p (the position) of each fold's test by the system best in its training slice."""
+    best = {
+        "mean": "sum(p * nx * w) / (sum(w) + 1e-30)",
+        "profit_factor": "(sum(greatest(p * nx * w, 0.0)) + 1e-60) / (sum(greatest(-p * nx * w, 0.0)) + 1e-60)",
+        "sharpe": "sum(p * nx * w) / (sum(w) + 1e-30) / sqrt(greatest(sum(pow(p * nx * w, 2)) / (sum(w) + 1e-30) - pow(sum(p * nx * w) / (sum(w) + 1e-30), 2), 1e-20))",
+    }[criterion]
+    return f"""{breakout_sql(most, steps)}, fd AS (SELECT CAST(k AS INTEGER) AS fold, k * {n_test} AS a FROM range(0, 1000) g(k)),
+trn AS (SELECT symbol, fold, look, k, i, nx, CASE WHEN since >= a + {most - 1} THEN pos ELSE 0 END AS p FROM pos JOIN fd ON i >= a + {most - 1} AND i <= a + {n_train - 2} WHERE nx IS NOT NULL),
+trw AS (SELECT *, CASE WHEN {traded} THEN 1 ELSE 0 END AS w FROM trn),
+sco AS (SELECT symbol, fold, look, k, round({best}, 10) AS c FROM trw GROUP BY 1, 2, 3, 4),
+bst AS (SELECT symbol, fold, look, k FROM sco QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY c DESC, look, k) = 1),
+tst AS (SELECT p.symbol, b.fold, p.i, p.nx, CASE WHEN since >= a + {most - 1} THEN pos ELSE 0 END AS p FROM pos p JOIN bst b USING (symbol, look, k) JOIN fd ON fd.fold = b.fold WHERE p.nx IS NOT NULL AND p.i >= a + {n_train - 1} AND p.i < a + {n_train - 1 + n_test})"""
+
+
+def kind_sql(kind: int, source: str = "tst") -> str:
+    """Rows ``symbol, fold, i, ret`` of all bars, bars in the market, or completed trades."""
+    if kind < 2:
+        return f"SELECT symbol, fold, i, p * nx AS ret FROM {source}" + (" WHERE p = 1" if kind else "")
+    opened = f"SELECT *, CASE WHEN p = 1 AND coalesce(lag(p) OVER (PARTITION BY symbol, fold ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS o, max(i) OVER (PARTITION BY symbol, fold) AS e FROM {source}"
+    return f"SELECT symbol, fold, max(i) AS i, sum(nx) AS ret FROM (SELECT *, sum(o) OVER (PARTITION BY symbol, fold ORDER BY i ROWS UNBOUNDED PRECEDING) AS t FROM ({opened})) WHERE p = 1 GROUP BY symbol, fold, t HAVING min(i) < max(e)"
+
+
+def crossover_folds_sql(most: int, n_train: int, n_test: int, own: bool = False) -> str:
+    """``oos``: the out-of-sample rows by the pair that was best in each fold; with ``own`` each pair has its own first bar and divisor."""
+    warm, mean = ("long - 1", f"sum(ret) / ({n_train} - long)") if own else (str(most - 1), "avg(ret)")
+    return f"""{rows_sql(most, own, own)}, fd AS (SELECT CAST(k AS INTEGER) AS fold, k * {n_test} AS a FROM range(0, 1000) g(k)),
+ins AS (SELECT symbol, fold, short, long, round({mean}, 10) AS s FROM rows2 JOIN fd ON i >= a + {warm} AND i <= a + {n_train - 2} GROUP BY 1, 2, 3, 4),
+bst AS (SELECT * FROM ins QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY s DESC, long, short) = 1),
+oos AS (SELECT r.symbol, b.fold, r.short, r.long, r.i, r.ret, b.s FROM rows2 r JOIN bst b USING (symbol, short, long) JOIN fd ON fd.fold = b.fold WHERE r.i >= a + {n_train - 1} AND r.i < a + {n_train - 1 + n_test})"""
+
+
+ALIGNED = "al AS (SELECT symbol, x, CAST(row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS INTEGER) AS i FROM bars WHERE dt IN (SELECT dt FROM bars GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)))"
+
+
+def chooser_sql(window: int, out_window: int, source: str = "al", key: str = "") -> str:
+    """``p`` (picks by criterion) and ``z`` (ranked by what the criteria earned); ``key`` is a further key with its comma."""
+    n = window - 1
+    by = f"{key}symbol"
+    return f"""h AS (SELECT {by}, i, x - lag(x) OVER (PARTITION BY {by} ORDER BY i) AS r, lead(x) OVER (PARTITION BY {by} ORDER BY i) - x AS nx FROM {source}),
+s AS (SELECT {by}, i, nx, round(sum(r) OVER w, 10) AS c0, round((sum(r) OVER w / {n}) / sqrt(greatest(sum(r * r) OVER w / {n} - pow(sum(r) OVER w / {n}, 2), 0.0) + 1e-60), 10) AS c1, round((sum(greatest(r, 0.0)) OVER w + 1e-60) / (sum(greatest(-r, 0.0)) OVER w + 1e-60), 10) AS c2 FROM h WINDOW w AS (PARTITION BY {by} ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+l AS (SELECT {by}, i, nx, CAST(c AS INTEGER) AS criterion, [c0, c1, c2][c + 1] AS v FROM s, range(3) g(c) WHERE i >= {n} AND nx IS NOT NULL),
+p AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY {key}i, criterion ORDER BY v DESC, symbol) = 1),
+o AS (SELECT *, round(sum(nx) OVER w, 10) AS sm, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY {key}criterion ORDER BY i ROWS BETWEEN {out_window} PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, row_number() OVER (PARTITION BY {key}i ORDER BY sm DESC, criterion) AS kk FROM o WHERE n = {out_window})"""
+
+
 SIGNAL_ARGS = dict(long=20, short_pct=40.0, short_thr=8.0, long_thr=8.0)
 SIGNALS = f"sgn AS (SELECT symbol, i, x, CASE WHEN i < 20 THEN 0 WHEN c > 0.0008 THEN 1 WHEN c < -0.0008 THEN -1 ELSE 0 END AS signal FROM (SELECT *, avg(x) OVER {w(8, -1)} / avg(x) OVER {w(20, -1)} - 1 AS c FROM bars) q)"
 C = 0.001
@@ -53,7 +121,10 @@ def register(add) -> None:
     grid = lambda **kw: lambda s, d: q(grids.crossover_grid(tables.bars(s, d), "x", MOST, **kw))
     add("crossover_grid", grid(), sql(GRID_OUT, f"{rows_sql(MOST)}, {GRID}", "grid"))
     add("crossover_grid_own_start", grid(own_start=True, exclusive=True), sql(GRID_OUT, f"{rows_sql(MOST, True, True)}, {GRID}", "grid"))
-    one_side = f"{rows_sql(MOST).replace('rows2 AS (SELECT *', 'rows2 AS (SELECT * REPLACE (CASE WHEN sg = 1 THEN ret ELSE 0.0 END AS ret)')}, {GRID}"
+    r1 = "CASE WHEN sg = 1 THEN ret ELSE 0.0 END"
+    n1 = "(sum(CASE WHEN sg = 1 THEN 1 ELSE 0 END) + 1e-30)"
+    one_side = f"""{rows_sql(MOST)}, grid AS (SELECT symbol, short, long, sum({r1}) AS total, sum({r1}) / {n1} AS mean, (sum(greatest({r1}, 0.0)) + 1e-60) / (sum(greatest(-{r1}, 0.0)) + 1e-60) AS profit_factor,
+  sum({r1}) / {n1} / sqrt(greatest(sum(pow({r1}, 2)) / {n1} - pow(sum({r1}) / {n1}, 2), 1e-20)) AS sharpe, CAST(sum(CASE WHEN sg = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(CASE WHEN sg = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_short FROM rows2 GROUP BY 1, 2, 3)"""
     add("crossover_grid_long_only", grid(side="long"), sql(GRID_OUT, one_side, "grid"))
     add(
         "crossover_best",
@@ -66,19 +137,17 @@ def register(add) -> None:
         sql("symbol, i, short, long, round(ret, 8) AS ret", rows_sql(6), "rows2"),
     )
     look = 6
-    brk = f"""sums AS (SELECT symbol, i, x, sum(x) OVER {PRE} AS s, lead(x) OVER {O} - x AS nx FROM bars),
-means AS (SELECT symbol, i, x, nx, CAST(k AS INTEGER) AS look, (s - coalesce(lag(s, CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY i), 0.0)) / k AS m FROM sums, range(2, {look + 1}) g(k)),
-dec AS (SELECT symbol, look, CAST(k AS INTEGER) AS k, i, x, nx, CASE WHEN x > (1 + k * 0.01) * m THEN 1 WHEN x < m THEN 0 END AS d FROM means, range(1, 4) h(k) WHERE i >= {look - 1}),
-pos AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol, look, k ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS pos FROM dec)"""
+    brk = breakout_sql(look, 3)
     breakout = lambda s, d: grids.breakout(tables.bars(s, d), "x", look, 3)
-    add(
-        "breakout_grid",
-        lambda s, d: q(breakout(s, d).where("_next IS NOT NULL").groupBy("symbol", "look", "k").agg(F.sum("ret").alias("total"), F.sum("pos").cast("long").alias("bars_in"))),
-        sql("symbol, look, k, round(sum(pos * nx), 6) AS total, CAST(sum(pos) AS BIGINT) AS bars_in", brk, "pos", "WHERE nx IS NOT NULL GROUP BY symbol, look, k"),
-    )
-    kinds = f"{brk}, p2 AS (SELECT * FROM pos WHERE nx IS NOT NULL), opn AS (SELECT *, CASE WHEN pos = 1 AND coalesce(lag(pos) OVER (PARTITION BY symbol, look, k ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS o FROM p2), trd AS (SELECT *, sum(o) OVER (PARTITION BY symbol, look, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS trade FROM opn)"
+    for name, all_bars, flag in (("breakout_grid", False, "pos = 1"), ("breakout_grid_all_bars", True, "true")):
+        add(
+            name,
+            lambda s, d, all_bars=all_bars: q(breakout(s, d).where("_next IS NOT NULL").groupBy("symbol", "look", "k").agg(*grids.criteria(F.col("ret"), F.lit(True) if all_bars else F.col("pos") == 1))),
+            sql(f"symbol, look, k, {criteria_sql('pos * nx', flag)}", brk, "pos", "WHERE nx IS NOT NULL GROUP BY symbol, look, k"),
+        )
+    kinds = f"{brk}, p2 AS (SELECT * FROM pos WHERE nx IS NOT NULL), opn AS (SELECT *, CASE WHEN pos = 1 AND coalesce(lag(pos) OVER (PARTITION BY symbol, look, k ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS o, max(i) OVER (PARTITION BY symbol) AS e FROM p2), trd AS (SELECT *, sum(o) OVER (PARTITION BY symbol, look, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS trade FROM opn)"
     keys = ["symbol", "look", "k"]
-    add("breakout_trades", lambda s, d: q(grids.breakout_returns(breakout(s, d), 2, keys), 8), sql("symbol, look, k, max(i) AS i, round(sum(nx), 8) AS ret", kinds, "trd", "WHERE pos = 1 GROUP BY symbol, look, k, trade"))
+    add("breakout_trades", lambda s, d: q(grids.breakout_returns(breakout(s, d), 2, keys), 8), sql("symbol, look, k, max(i) AS i, round(sum(nx), 8) AS ret", kinds, "trd", "WHERE pos = 1 GROUP BY symbol, look, k, trade HAVING min(i) < max(e)"))
     add("breakout_open_bars", lambda s, d: q(grids.breakout_returns(breakout(s, d), 1, keys), 8), sql("symbol, look, k, i, round(nx, 8) AS ret", kinds, "p2", "WHERE pos <> 0"))
     rev = f"b AS (SELECT symbol, x - lag(x, 5) OVER {O} AS rise, lag(x) OVER {O} - x AS drp, lead(lo, 2) OVER {O} - lead(lo, 1) OVER {O} AS ret FROM bars), c AS (SELECT * FROM b WHERE rise IS NOT NULL AND ret IS NOT NULL)"
     add(
@@ -118,31 +187,22 @@ pos AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol,
         ),
         sql("symbol, round(ln(final_budget / 10000.0), 5) AS log_growth, num_trades, num_wins, num_losses, round(num_wins * 100.0 / (num_wins + num_losses), 5) AS win_rate, round(ln(total_costs), 5) AS log_costs, round(max_drawdown, 5) AS max_drawdown, round(sharpe_ratio, 5) AS sharpe_ratio", SUMMARY, "sm JOIN dd USING (symbol)"),
     )
-    wf = f"""{rows_sql(8)}, rs AS (SELECT symbol, i, short, long, ret FROM rows2),
-fd AS (SELECT k AS fold, k * 100 AS a, k * 100 + 400 AS b FROM range(0, 100) g(k)),
-ins AS (SELECT symbol, fold, short, long, sum(ret) AS s FROM rs JOIN fd ON i >= a AND i < b GROUP BY 1, 2, 3, 4),
-bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY s DESC, short, long) AS k FROM ins) WHERE k = 1)"""
+    wf = crossover_folds_sql(8, 400, 100)
     add(
         "walk_forward",
         lambda s, d: q(
-            grids.walk_forward(grids.crossover_returns(tables.bars(s, d), "x", 8), 400, 100, ["short", "long"], ["symbol"]).groupBy("symbol", "fold", "short", "long")
+            grids.walk_forward(grids.crossover_returns(tables.bars(s, d), "x", 8), 400, 100, ["short", "long"], ["symbol"], 7).groupBy("symbol", "fold", "short", "long")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("out_of_sample"), F.max("in_sample").alias("in_sample"))
         ),
-        sql("r.symbol, CAST(b.fold AS INTEGER) AS fold, r.short, r.long, count(*) AS n, round(sum(r.ret), 6) AS out_of_sample, round(max(b.s), 6) AS in_sample", wf, "rs r JOIN bst b ON b.symbol = r.symbol AND b.short = r.short AND b.long = r.long AND r.i >= b.fold * 100 + 400 AND r.i < b.fold * 100 + 500", "GROUP BY 1, 2, 3, 4"),
+        sql("symbol, fold, short, long, count(*) AS n, round(sum(ret), 6) AS out_of_sample, round(max(s), 6) AS in_sample", wf, "oos", "GROUP BY 1, 2, 3, 4"),
     )
     add(
         "crunched_returns",
         lambda s, d: q(grids.crunch(tables.bars(s, d).withColumn("ret", ind.targets("x")).where("ret IS NOT NULL"), "ret", "i", 10, ["symbol"]), 8),
         sql("symbol, CAST((i // 10) AS BIGINT) AS grp, round(avg(r), 8) AS ret", f"q AS (SELECT symbol, i, lead(x) OVER {O} - x AS r FROM bars)", "q", "WHERE r IS NOT NULL GROUP BY 1, 2"),
     )
-    ch = f"""h AS (SELECT symbol, i, x - lag(x) OVER {O} AS r, lead(x) OVER {O} - x AS nx FROM bars),
-s AS (SELECT symbol, i, nx, round(sum(r) OVER w, 10) AS c0, round((sum(r) OVER w / 60) / sqrt(greatest(sum(r * r) OVER w / 60 - pow(sum(r) OVER w / 60, 2), 0.0) + 1e-60), 10) AS c1, round((sum(greatest(r, 0.0)) OVER w + 1e-60) / (sum(greatest(-r, 0.0)) OVER w + 1e-60), 10) AS c2 FROM h WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
-l AS (SELECT symbol, i, nx, 0 AS criterion, c0 AS v FROM s WHERE i >= 60 AND nx IS NOT NULL UNION ALL SELECT symbol, i, nx, 1, c1 FROM s WHERE i >= 60 AND nx IS NOT NULL UNION ALL SELECT symbol, i, nx, 2, c2 FROM s WHERE i >= 60 AND nx IS NOT NULL),
-p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, criterion ORDER BY v DESC, symbol DESC) AS k FROM l) WHERE k = 1),
-o AS (SELECT *, round(sum(nx) OVER w, 10) AS sm, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY criterion ORDER BY i ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sm DESC, criterion) AS kk FROM o WHERE n = 40)"""
     add(
         "market_chooser",
-        lambda s, d: q(resample.chooser(tables.bars(s, d), 60, 40).select("i", "criterion", "market", "ret"), 8),
-        sql("i, criterion, symbol AS market, round(nx, 8) AS ret", ch, "z", "WHERE kk = 1"),
+        lambda s, d: q(resample.chooser(tools.aligned(tables.bars(s, d)), 60, 40).select("i", "criterion", "market", "ret"), 8),
+        sql("i, criterion, symbol AS market, round(nx, 8) AS ret", f"{ALIGNED}, {chooser_sql(60, 40)}", "z", "WHERE kk = 1"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dist, symbols
 from ..operators import indicators as ind, stats
 from ..sources import tables
-from . import catalog
+from . import catalog, tail_sql
 from .indicator_queries import O, slope_sql, sql
 
 RETURNS = f"ret AS (SELECT symbol, i, x, lead(x) OVER {O} - x AS r FROM bars), rr AS (SELECT * FROM ret WHERE r IS NOT NULL)"
@@ -60,17 +60,23 @@ def register(add) -> None:
         lambda s, d: s.range(1, 20).select("id", F.round(dist.gamma_half(F.col("id").cast("int")), 4).alias("gamma_half"), F.round(dist.combinations(F.lit(20.0), F.col("id")), 2).alias("choose")),
         "SELECT id, round(gamma(id / 2.0), 4) AS gamma_half, round(CAST(factorial(20) AS DOUBLE) / (CAST(factorial(CAST(id AS INTEGER)) AS DOUBLE) * CAST(factorial(CAST(20 - id AS INTEGER)) AS DOUBLE)), 2) AS choose FROM range(1, 20) t(id)",
     )
+    tails = {
+        "t_cdf": (lambda: dist.t_cdf(F.lit(9.0), F.col("id") / 20.0), tail_sql.t_cdf("9.0", "id / 20.0")),
+        "inverse_t": (lambda: dist.inverse_t(F.lit(9.0), F.col("id") / 100.0), tail_sql.inverse(lambda x: tail_sql.t_cdf("9.0", x), "id / 100.0", "-1e4", "1e4", 70)),
+        "f_cdf": (lambda: dist.f_cdf(F.lit(3.0), F.lit(20.0), F.col("id") / 10.0), tail_sql.f_cdf("3.0", "20.0", "id / 10.0")),
+        "igamma": (lambda: dist.incomplete_gamma(F.lit(2.5), F.col("id") / 10.0), tail_sql.igamma("2.5", "id / 10.0")),
+        "ibeta": (lambda: dist.incomplete_beta(F.lit(2.0), F.lit(3.5), F.col("id") / 100.0), tail_sql.ibeta("2.0", "3.5", "id / 100.0")),
+        "inverse_ibeta": (lambda: dist.inverse_beta(F.col("id") / 100.0, F.lit(2.0), F.lit(3.5)), tail_sql.inverse(lambda x: tail_sql.ibeta("2.0", "3.5", x), "id / 100.0")),
+        "binomial": (lambda: dist.binomial_tail(F.lit(100.0), F.lit(0.3), F.col("id").cast("double")), tail_sql.binomial_tail("100.0", "0.3", "CAST(id AS DOUBLE)")),
+        "order_tail": (lambda: dist.order_tail(F.lit(1000.0), F.col("id") / 1000.0, F.lit(50.0)), tail_sql.order_tail("1000.0", "id / 1000.0", "50.0")),
+        "quantile_conf": (lambda: dist.quantile_confidence(F.lit(1000.0), F.col("id").cast("double"), F.lit(0.95)), tail_sql.quantile_confidence("1000.0", "CAST(id AS DOUBLE)", "0.95")),
+        "chi2_tail": (lambda: dist.chi2_tail(F.lit(4.0), F.col("id") / 5.0), tail_sql.chi2_tail("4.0", "id / 5.0")),
+    }
     add(
         "distribution_tails",
-        lambda s, d: s.range(1, 100).select(
-            "id",
-            dist.t_cdf(F.lit(9.0), F.col("id") / 20.0).alias("t_cdf"), dist.inverse_t(F.lit(9.0), F.col("id") / 100.0).alias("inverse_t"),
-            dist.f_cdf(F.lit(3.0), F.lit(20.0), F.col("id") / 10.0).alias("f_cdf"), dist.incomplete_gamma(F.lit(2.5), F.col("id") / 10.0).alias("igamma"),
-            dist.incomplete_beta(F.lit(2.0), F.lit(3.5), F.col("id") / 100.0).alias("ibeta"), dist.inverse_beta(F.col("id") / 100.0, F.lit(2.0), F.lit(3.5)).alias("inverse_ibeta"),
-            dist.binomial_tail(F.lit(100.0), F.lit(0.3), F.col("id").cast("double")).alias("binomial"), dist.order_tail(F.lit(1000.0), F.col("id") / 1000.0, F.lit(50.0)).alias("order_tail"),
-            dist.quantile_confidence(F.lit(1000.0), F.col("id").cast("double"), F.lit(0.95)).alias("quantile_conf"), dist.chi2_tail(F.lit(4.0), F.col("id") / 5.0).alias("chi2_tail"),
-        ),
-    )
+        lambda s, d: q(s.range(1, 100).select("id", *[c().alias(n) for n, (c, _) in tails.items()])),
+        "SELECT id, " + ", ".join(f"round({e}, 6) AS {n}" for n, (_, e) in tails.items()) + " FROM range(1, 100) t(id)",
+    )
     add("t_one_sample", lambda s, d: q(stats.t_one(returns(s, d), "r", ["symbol"])), sql("symbol, count(r) AS n, round(avg(r), 6) AS mean, round(avg(r) / (sqrt(var_samp(r) / count(r)) + 1e-60), 6) AS t", RETURNS, "rr", "GROUP BY symbol"))
     pooled = "sqrt((v1 * n1 + v2 * n2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))"
     add(
@@ -103,7 +109,11 @@ def register(add) -> None:
         lambda s, d: q(stats.anova(tables.table(s, d, "customer"), "c_acctbal", "c_mktsegment").drop("p"), 6),
         f"WITH c AS ({cells}), t AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, (sum(s * m) - sum(s) * sum(s) / sum(n)) / (count(*) - 1) AS b, sum(v * n) / (sum(n) - count(*)) AS w FROM c) SELECT k, n, round(b / (w + 1e-60), 6) AS f, round(b / (b + w + 1e-60), 6) AS account FROM t",
     )
-    add("anova_p", lambda s, d: stats.anova(tables.table(s, d, "customer"), "c_acctbal", "c_mktsegment"))
+    add(
+        "anova_p",
+        lambda s, d: q(stats.anova(tables.table(s, d, "customer"), "c_acctbal", "c_mktsegment").select("p")),
+        f"WITH c AS ({cells}), t AS (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS n, (sum(s * m) - sum(s) * sum(s) / sum(n)) / (count(*) - 1) AS b, sum(v * n) / (sum(n) - count(*)) AS w FROM c), f AS (SELECT k - 1 AS d1, n - k AS d2, b / (w + 1e-60) AS f FROM t) SELECT round({tail_sql.ibeta('0.5 * d2', '0.5 * d1', 'd2 / (d2 + d1 * f)')}, 6) AS p FROM f",
+    )
     add(
         "kruskal_wallis",
         lambda s, d: q(stats.kruskal_wallis(lineitem(s, d), "l_quantity", "l_linestatus", ["l_returnflag"]).drop("p"), 5),
@@ -120,7 +130,11 @@ def register(add) -> None:
         f"WITH {table}, s AS (SELECT sum(pow(n - nr * nc / t, 2) / (nr * nc / t)) + max(t) - sum(nr * nc / t) AS chi2, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS DOUBLE) AS df, max(t) AS t, least(count(DISTINCT r), count(DISTINCT c)) AS k FROM m) "
         "SELECT round(chi2, 5) AS chi2, round(df, 5) AS df, round(sqrt(chi2 / (chi2 + t)), 5) AS contingency, round(sqrt(chi2 / (t * (k - 1))), 5) AS cramer_v FROM s",
     )
-    add("chi_square_p", lambda s, d: stats.chi_square(lineitem(s, d), "l_returnflag", "l_linestatus"))
+    add(
+        "chi_square_p",
+        lambda s, d: q(stats.chi_square(lineitem(s, d), "l_returnflag", "l_linestatus").select("p")),
+        f"WITH {table}, s AS (SELECT sum(pow(n - nr * nc / t, 2) / (nr * nc / t)) + max(t) - sum(nr * nc / t) AS chi2, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS DOUBLE) AS df FROM m) SELECT round(exp(-chi2 / 2), 6) AS p FROM s",
+    )
     add(
         "nominal_lambda",
         lambda s, d: q(stats.nominal_lambda(lineitem(s, d), "l_returnflag", "l_linestatus")),
@@ -193,7 +207,15 @@ def register(add) -> None:
         lambda s, d: q(stats.performance(returns(s, d).withColumn("q", (F.exp("r") - 1) / 100), "q", "i", ["symbol"]).withColumn("total_return", F.log1p("total_return")), 5),
         sql("symbol, round(sum(ln(1 + q)), 5) AS total_return, round(stddev_samp(q) * sqrt(252.0), 5) AS volatility, round(avg(q) * 252.0 / (stddev_samp(q) * sqrt(252.0)), 5) AS sharpe, round(max(1 - e / pk), 5) AS max_drawdown", perf, "k", "GROUP BY symbol"),
     )
-    add("t_summary", lambda s, d: stats.t_summary(returns(s, d), "r", ["symbol"]))
+    inverse_t = tail_sql.inverse(lambda x: tail_sql.t_cdf("n - 1.0", x), "0.9", "-10", "10")
+    add(
+        "t_summary",
+        lambda s, d: q(stats.t_summary(returns(s, d), "r", ["symbol"])),
+        sql(
+            f"symbol, n, round(m, 6) AS mean, round(sd, 6) AS sd, round(t, 6) AS t, round(1 - {tail_sql.t_cdf('n - 1.0', 't')}, 6) AS p, round(m - sd / sqrt(n) * {inverse_t}, 6) AS lower",
+            f"{RETURNS}, u AS (SELECT symbol, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM rr GROUP BY symbol), tt AS (SELECT *, m / (sd / sqrt(n) + 1e-60) AS t FROM u)", "tt",
+        ),
+    )
     names = "SELECT upper(replace(p_brand, '#', '')) || CASE WHEN p_partkey % 7 = 0 THEN 'XAUUSDT' WHEN p_partkey % 7 = 1 THEN 'SPXUSDT' WHEN p_partkey % 7 = 2 THEN 'EUR' WHEN p_partkey % 7 = 3 THEN 'XUSDT' ELSE 'USDT' END AS symbol FROM part"
     likes = lambda c, parts: "(" + " OR ".join(f"contains({c}, '{p}')" for p in parts) + ")"
     classes = "CASE " + " ".join(f"WHEN {likes('symbol', p)} THEN '{n}'" for n, p in symbols.CLASSES) + " WHEN length(symbol) < 15 AND NOT contains(symbol, 'USDT') THEN 'possible stock' ELSE 'other' END"

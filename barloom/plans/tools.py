@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,106 +50,161 @@ def stationarity_report(bars: DataFrame, lookback: int = 10, fractile: float = 0
     return out
 
 
-def selection_report(bars: DataFrame, n: int | None, blocks: int = 10, most: int = 20) -> DataFrame:
+def selection_report(bars: DataFrame, blocks: int = 10, most: int = 20) -> DataFrame:
     """Best criterion (x 1000) over all bars, and the chance that the best in-sample is mediocre out of it."""
     rows = grids.crossover_returns(bars, "x", most)
-    found = resample.cscv(rows, n, blocks, most - 1)
+    found = resample.cscv(rows, blocks, most - 1)
     score = rows.groupBy("symbol", "short", "long").agg(F.avg("ret").alias("m")).groupBy("symbol").agg((F.max("m") * 1000).alias("best_x1000"))
     return found.join(score, "symbol")
 
 
-def walk_forward_breakout(bars: DataFrame, most: int = 20, n_train: int = 400, n_test: int = 200, kind: int = 2, criterion: str = "mean") -> DataFrame:
-    """Out-of-sample returns of the breakout system that was best in each fold."""
-    rows = grids.breakout(bars, "x", most).where("_next IS NOT NULL")
-    test = grids.walk_forward(rows, n_train, n_test, ["look", "k"], ["symbol"])
+def walk_forward_breakout(bars: DataFrame, most: int = 20, n_train: int = 400, n_test: int = 200, kind: int = 2, criterion: str = "mean", all_bars: bool = False, steps: int = 10) -> DataFrame:
+    """Out-of-sample returns of the breakout system that was best by a criterion in each fold."""
+    test = grids.breakout_walk_forward(grids.breakout(bars, "x", most, steps), most, n_train, n_test, criterion, all_bars)
     return grids.breakout_returns(test, kind, ["symbol", "fold"])
 
 
-def performance_report(bars: DataFrame, kind: int = 2, **kw) -> DataFrame:
-    """Yearly mean, profit factor and Sharpe ratio of the breakout system's out-of-sample returns."""
-    out = walk_forward_breakout(bars, kind=kind, **kw)
-    r = F.col("ret")
-    wins, losses = F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))
-    return out.groupBy("symbol").agg(
-        F.count("ret").alias("n"), (F.avg("ret") * YEAR).alias("mean_x25200"), ((wins + 1e-60) / (losses + 1e-60)).alias("profit_factor"), (F.avg("ret") / (F.stddev_pop("ret") + 1e-60)).alias("sharpe")
-    )
-
-
-def mean_bounds(bars: DataFrame, symbol: str, reps: int = 200, seed: int = 5, most: int = 12, n_train: int = 400, n_test: int = 200) -> DataFrame:
-    """Lower 10 % bounds of the mean return by t, percentile, pivot and BCa, for three kinds of returns."""
-    one = bars.where(F.col("symbol") == symbol)
-    kinds = {"open": walk_forward_breakout(one, most, n_train, n_test, 1), "complete": walk_forward_breakout(one, most, n_train, n_test, 2)}
-    kinds["grouped"] = grids.crunch(walk_forward_breakout(one, most, n_train, n_test, 0), "ret", "i", 10)
-    out = None
-    for name, rows in kinds.items():
-        held = rows.select("ret", F.row_number().over(Window.orderBy(*[c for c in rows.columns if c in ("fold", "i", "grp")], "ret")).alias("i")).withColumn("i", F.col("i") - 1)
-        n = held.count()
-        if n < 3:
-            continue
-        draws = resample.bootstrap(held, "ret", n, reps, seed, F.avg("ret"))
-        pct = resample.bounds(draws, (0.10,)).select(F.col("low").alias("percentile"), "high", "prob")
-        base = stats.t_summary(held, "ret").select("n", "mean", F.col("lower").alias("t_bound"))
-        bca = resample.bca_of_mean(held, "ret", draws, (0.10,)).select(F.col("low").alias("bca"))
-        row = base.join(pct, F.lit(True)).join(bca, F.lit(True))
-        row = row.select(F.lit(name).alias("kind"), "n", "mean", "t_bound", "percentile", (F.col("mean") * 2 - F.col("high")).alias("pivot"), "bca")
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else bars.sparkSession.createDataFrame([], "kind string, n long, mean double, t_bound double, percentile double, pivot double, bca double")
+def performance_report(bars: DataFrame, kinds: tuple[int, ...] = (1, 2), all_bars: bool = False, **kw) -> DataFrame:
+    """``symbol, criterion, kind``: yearly mean, profit factor and Sharpe ratio of the out-of-sample returns, for each criterion of choice and kind of return."""
+    made = [
+        walk_forward_breakout(bars, kind=kind, criterion=c, all_bars=all_bars, **kw).select("symbol", F.lit(c).alias("criterion"), F.lit(kind).alias("kind"), "ret")
+        for c in grids.CRITERIA for kind in kinds
+    ]
+    held = reduce(DataFrame.unionByName, made).groupBy("symbol", "criterion", "kind").agg(*grids.criteria(F.col("ret"), F.lit(True)))
+    return held.select("symbol", "criterion", "kind", F.col("n_bars").alias("n"), (F.col("mean") * YEAR).alias("mean_x25200"), "profit_factor", "sharpe")
+
+
+def mean_bounds(bars: DataFrame, reps: int = 200, seed: int = 5, most: int = 12, n_train: int = 400, n_test: int = 200, steps: int = 10) -> DataFrame:
+    """``symbol, kind``: lower 10 % bounds of the mean return by t, percentile, pivot and BCa, for three kinds of returns.
+
+    The kinds are bars in the market, completed trades, and all bars in groups of
+    ten. Series with fewer than three returns have no bound.
+    """
+    rows = {kind: walk_forward_breakout(bars, most, n_train, n_test, kind, steps=steps) for kind in (0, 1, 2)}
+    order = Window.partitionBy("symbol").orderBy("fold", "i")
+    kinds = {"open": rows[1], "complete": rows[2], "grouped": grids.crunch(rows[0], "ret", "i", 10, ["symbol"]).select("symbol", F.lit(0).alias("fold"), F.col("grp").alias("i"), "ret")}
+    made = [df.select("symbol", F.lit(name).alias("kind"), "ret", (F.row_number().over(order) - 1).alias("i")) for name, df in kinds.items()]
+    keys = ["symbol", "kind"]
+    held = reduce(DataFrame.unionByName, made).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 2").drop("_n").persist()
+    draws = resample.bootstrap(held, "ret", keys, reps, seed, F.avg("ret"))
+    pct = resample.bounds(draws, (0.10,), keys).select(*keys, F.col("low").alias("percentile"), "high")
+    bca = resample.bca_of_mean(held, "ret", draws, (0.10,), keys).select(*keys, F.col("low").alias("bca"))
+    base = stats.t_summary(held, "ret", keys).select(*keys, "n", "mean", F.col("lower").alias("t_bound"))
+    return base.join(pct, keys).join(bca, keys).select(*keys, "n", "mean", "t_bound", "percentile", (F.col("mean") * 2 - F.col("high")).alias("pivot"), "bca")
+
+
+def fold_returns(bars: DataFrame, most: int = 10, n_train: int = 400, n_test: int = 100) -> DataFrame:
+    """``symbol, fold, ret``: each fold's mean out-of-sample return of the crossover that was best in it, times 25,200.
+
+    A system's first bar is the first with its own long mean, and its training total is divided by the prices from there on.
+    """
+    rows = grids.crossover_returns(bars, "x", most, own_start=True, exclusive=True)
+    score = F.sum("ret") / (F.lit(n_train) - F.max("long"))
+    out = grids.walk_forward(rows, n_train, n_test, ["short", "long"], ["symbol"], F.col("long") - 1, score=score)
+    return out.groupBy("symbol", "fold").agg((F.avg("ret") * YEAR).alias("ret"))
 
 
 def return_bounds(bars: DataFrame, most: int = 10, n_train: int = 400, n_test: int = 100, lower: float = 0.1, upper: float = 0.1, p_of_q: float = 0.05) -> DataFrame:
-    """Order-statistic bounds of walk-forward crossover returns and how far their failure rates may be off."""
-    rows = grids.crossover_returns(bars, "x", most, own_start=True, exclusive=True)
-    out = grids.walk_forward(rows, n_train, n_test, ["short", "long"], ["symbol"])
-    held = out.groupBy("symbol").agg(F.array_sort(F.collect_list("ret")).alias("s"))
+    """``symbol, side``: order-statistic bounds of the folds' mean returns, and how far their failure rates may be off.
+
+    ``optimistic`` is the chance that the true failure rate is at most 0.9 times
+    the wanted one, ``pessimistic`` that it is at least 1.1 times; ``low_q`` and
+    ``high_q`` are the rates that it is below, or above, with chance ``p_of_q``.
+    """
+    held = fold_returns(bars, most, n_train, n_test).groupBy("symbol").agg(F.array_sort(F.collect_list("ret")).alias("s"))
     n = F.size("s")
-    low, high = F.greatest(F.floor(F.lit(lower) * (n + 1)).cast("int"), F.lit(1)), F.greatest(F.floor(F.lit(upper) * (n + 1)).cast("int"), F.lit(1))
-    held = held.select("symbol", n.alias("n"), low.alias("m"), F.element_at("s", low).alias("lower_bound"), F.element_at("s", n + 1 - high).alias("upper_bound"))
-    nn, m = F.col("n").cast("double"), F.col("m").cast("double")
-    held = held.withColumn("low_q", dist.quantile_confidence(nn, m, F.lit(p_of_q))).withColumn("high_q", dist.quantile_confidence(nn, m, F.lit(1 - p_of_q)))
-    return held.withColumn("p_low_rate", 1 - dist.order_tail(nn, F.lit(lower * 0.9), m)).withColumn("p_high_rate", dist.order_tail(nn, F.lit(lower * 1.1), m))
+    place = lambda rate: F.greatest(F.floor(F.lit(rate) * (n + 1)).cast("int"), F.lit(1))
+    side = lambda name, rate, at: F.struct(F.lit(name).alias("side"), F.lit(rate).alias("rate"), place(rate).alias("m"), F.element_at("s", at).alias("bound"))
+    sides = F.explode(F.array(side("lower", lower, place(lower)), side("upper", upper, n + 1 - place(upper)))).alias("_b")
+    held = held.select("symbol", n.alias("n"), sides).select("symbol", "n", "_b.*")
+    nn, m, rate = F.col("n").cast("double"), F.col("m").cast("double"), F.col("rate")
+    held = held.withColumn("optimistic", 1 - dist.order_tail(nn, rate * 0.9, m)).withColumn("pessimistic", dist.order_tail(nn, rate * 1.1, m))
+    return held.withColumn("low_q", dist.quantile_confidence(nn, m, F.lit(p_of_q))).withColumn("high_q", dist.quantile_confidence(nn, m, F.lit(1 - p_of_q))).drop("rate")
+
+
+#: The statistics whose bounds ``coverage_study`` tests: aggregates over a column of returns.
+def log_profit_factor(r: Column) -> Column:
+    return F.log((F.sum(F.greatest(r, F.lit(0.0))) + 1e-10) / (F.sum(F.greatest(-r, F.lit(0.0))) + 1e-10))
+
+
+def sharpe_ratio(r: Column) -> Column:
+    sd = F.stddev_pop(r)
+    return F.when(sd > 0, F.avg(r) / sd).otherwise(F.lit(1e30))
+
+
+def steps_of(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
 def coverage_study(spark: SparkSession, samples: int = 30, reps: int = 50, tries: int = 40, prob: float = 0.6, seed: int = 9) -> DataFrame:
-    """How often percentile, pivot and BCa bounds of log profit factor miss its true value: tries are keys, all in one job."""
-    truth = math.log(prob / (1 - prob))
-    keys = spark.range(tries).select(F.col("id").alias("try"))
-    data = keys.select("try", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("i"))
-    size = F.abs(rng.normal(seed + 3, "try", "i"))
-    data = data.withColumn("r", F.when(rng.uniform(seed, "try", "i") < prob, size).otherwise(-size))
-    picks = keys.select("try", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
+    """``statistic, method, level, low, high``: how often percentile, BCa and pivot bounds miss the true value on either side.
+
+    Trades win with chance ``prob`` and are 0.01 + 0.002 z large; the statistics
+    are the log profit factor, whose true value is known, and the Sharpe ratio,
+    which is that of all trades together. Tries are keys, all in one job.
+    """
+    data = spark.range(tries).select(F.col("id").alias("try"), steps_of(samples).alias("i"))
+    size = rng.normal(seed + 3, "try", "i") * 0.002 + 0.01
+    data = data.withColumn("r", F.when(rng.uniform(seed, "try", "i") <= prob, size).otherwise(-size))
+    picks = spark.range(tries).select(F.col("id").alias("try"), steps_of(reps).alias("rep")).select("*", steps_of(samples).alias("j"))
     picks = picks.withColumn("i", (rng.bits(seed + 7, "try", "rep", "j") % samples).cast("int"))
-    pf = lambda: F.log((F.sum(F.greatest("r", F.lit(0.0))) + 1e-10) / (F.sum(F.greatest(-F.col("r"), F.lit(0.0))) + 1e-10))
-    stat = picks.join(data, ["try", "i"]).groupBy("try", "rep").agg(pf().alias("stat"))
-    theta = data.groupBy("try").agg(pf().alias("theta"))
-    held = stat.join(theta, "try").groupBy("try", "theta").agg(F.array_sort(F.collect_list("stat")).alias("s"))
-    held = held.select("*", F.explode(F.array(*[F.lit(p) for p in (0.025, 0.05, 0.10)])).alias("level"))
-    k = F.greatest(F.floor(F.col("level") * (reps + 1)).cast("int"), F.lit(1))
-    held = held.withColumn("lo", F.element_at("s", k)).withColumn("hi", F.element_at("s", F.lit(reps + 1) - k))
-    rate = lambda c: F.avg(c.cast("double"))
-    return held.groupBy("level").agg(
-        rate(F.col("lo") > truth).alias("percentile_low"), rate(F.col("hi") < truth).alias("percentile_high"),
-        rate(F.col("theta") * 2 - F.col("hi") > truth).alias("pivot_low"), rate(F.col("theta") * 2 - F.col("lo") < truth).alias("pivot_high"),
-    )
+    drawn = picks.join(data, ["try", "i"])
+    left_out = data.select("try", F.col("i").alias("out")).join(data, "try").where("i <> out")  # samples x samples rows a try
+    whole = data.agg(sharpe_ratio(F.col("r")).alias("sharpe")).withColumn("log_pf", F.lit(math.log(prob / (1 - prob))))
+    out = None
+    for name, stat in (("log_pf", log_profit_factor), ("sharpe", sharpe_ratio)):
+        stats_of = drawn.groupBy("try", "rep").agg(stat(F.col("r")).alias("stat")).groupBy("try").agg(F.array_sort(F.collect_list("stat")).alias("s"))
+        accel = resample.acceleration(left_out.groupBy("try", "out").agg(stat(F.col("r")).alias("_j")), "_j", ["try"])
+        held = stats_of.join(data.groupBy("try").agg(stat(F.col("r")).alias("theta")), "try").join(accel, "try")
+        held = held.select("*", F.explode(F.array(*[F.lit(p) for p in (0.025, 0.05, 0.10)])).alias("prob"))
+        low, high = resample.percentile(F.col("s"), F.col("prob"))
+        pct = held.select("prob", low.alias("low"), high.alias("high"), "theta")
+        made = pct.select(F.lit("percentile").alias("method"), "prob", "low", "high")
+        made = made.unionByName(pct.select(F.lit("pivot").alias("method"), "prob", (F.col("theta") * 2 - F.col("high")).alias("low"), (F.col("theta") * 2 - F.col("low")).alias("high")))
+        made = made.unionByName(resample.bca(held, ["prob"]).withColumn("method", F.lit("bca")))
+        missed = made.join(F.broadcast(whole.select(F.col(name).alias("truth"))), F.lit(True)).groupBy("method", F.col("prob").alias("level")).agg(
+            F.avg((F.col("low") > F.col("truth")).cast("double")).alias("low"), F.avg((F.col("high") < F.col("truth")).cast("double")).alias("high")
+        )
+        part = missed.select(F.lit(name).alias("statistic"), "method", "level", "low", "high")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def drawdown_study(spark: SparkSession, n_changes: int = 60, n_trades: int = 40, win: float = 0.6, reps: int = 40, tests: int = 60, prob: float = 0.95, seed: int = 21) -> DataFrame:
-    """How often later drawdowns exceed the bound from one resampled sample, and the bound of bounds."""
-    sign = lambda *k: F.when(rng.uniform(seed, *k) < win, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.abs(rng.normal(seed + 2, *k))
-
-    def worst(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-        held = df.withColumn("_c", F.sum(value).over(upto)).withColumn("_p", F.max("_c").over(upto))
-        return held.groupBy(*keys).agg(F.max(F.col("_p") - F.col("_c")).alias("dd"))
-
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sample = spark.range(tests).select(F.col("id").alias("try")).select("try", steps(n_changes).alias("i")).withColumn("r", sign("try", "i"))
-    picks = spark.range(tests).select(F.col("id").alias("try")).select("try", steps(reps).alias("rep")).select("*", steps(n_trades).alias("j")).withColumn("i", (rng.bits(seed + 5, "try", "rep", "j") % n_changes).cast("int"))
-    bound = worst(picks.join(sample, ["try", "i"]), ["try", "rep"], "r").groupBy("try").agg(stats.order_quantile("dd", prob).alias("bound"))
-    fresh = spark.range(tests).select(F.col("id").alias("try")).select("try", steps(n_trades).alias("j")).withColumn("r", sign((F.col("try") + 10_000), "j"))
-    seen = worst(fresh, ["try"], "r").join(bound, "try")
-    outer = bound.agg(stats.order_quantile("bound", prob).alias("bound_of_bounds"))
-    return seen.join(outer, F.lit(True)).agg(
-        F.avg((F.col("dd") > F.col("bound")).cast("double")).alias("exceeds_bound"), F.avg((F.col("dd") > F.col("bound_of_bounds")).cast("double")).alias("exceeds_bound_of_bounds"), F.lit(1 - prob).alias("expected")
+RATES = (0.001, 0.01, 0.05, 0.1)
+
+
+def drawdown_study(
+    spark: SparkSession, n_changes: int = 40, n_trades: int = 20, win: float = 0.6, reps: int = 20, inner: int = 20, tests: int = 10, paths: int = 50, conf: float = 0.8, seed: int = 21
+) -> DataFrame:
+    """``rate, mean_worse, drawdown_worse, bounded_worse``: how often later trades are worse than bounds from one sample of changes.
+
+    For each test the simple bounds are quantiles of the mean return and of the
+    drawdown over resamples of the sample. The bound on a bound takes resamples
+    of the sample, the drawdown quantiles over ``inner`` resamples of each, and of
+    these the quantile at ``conf`` (halfway to 1 for the two rarest rates). Fresh
+    trades, ``paths`` of them a test, are held against all.
+    """
+    signed = lambda seed, *k: F.when(rng.uniform(seed, *k) < win, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.abs(rng.normal(seed + 2, *k))
+    tries = spark.range(tests).select(F.col("id").alias("try"))
+    sample = tries.select("try", steps_of(n_changes).alias("i")).withColumn("r", signed(seed, "try", "i"))
+    pick = lambda n, seed, *k: (rng.bits(seed, *k) % n).cast("int")
+    once = tries.select("try", steps_of(reps).alias("rep")).select("*", steps_of(n_trades).alias("j")).withColumn("i", pick(n_changes, seed + 5, "try", "rep", "j")).join(sample, ["try", "i"])
+    means = once.groupBy("try", "rep").agg(F.avg("r").alias("m")).groupBy("try").agg(*[stats.order_quantile("m", p).alias(f"m{k}") for k, p in enumerate(RATES)])
+    falls = resample.worst_drawdowns(once, "r", ["try", "rep"]).groupBy("try").agg(*[stats.order_quantile("dd", 1 - p).alias(f"d{k}") for k, p in enumerate(RATES)])
+    again = tries.select("try", steps_of(reps).alias("rep")).select("*", steps_of(n_changes).alias("j")).withColumn("i", pick(n_changes, seed + 6, "try", "rep", "j"))
+    again = again.join(sample, ["try", "i"]).select("try", "rep", F.col("j").alias("i"), "r")
+    nested = tries.select("try", steps_of(reps).alias("rep")).select("*", steps_of(inner).alias("b")).select("*", steps_of(n_trades).alias("j"))
+    nested = nested.withColumn("i", pick(n_changes, seed + 7, "try", "rep", "b", "j")).join(again, ["try", "rep", "i"])
+    inner_q = resample.worst_drawdowns(nested, "r", ["try", "rep", "b"]).groupBy("try", "rep").agg(*[stats.order_quantile("dd", 1 - p).alias(f"q{k}") for k, p in enumerate(RATES)])
+    levels = [1 - (1 - conf) / 2, 1 - (1 - conf) / 2, conf, conf]
+    outer = inner_q.groupBy("try").agg(*[stats.order_quantile(f"q{k}", p).alias(f"b{k}") for k, p in enumerate(levels)])
+    fresh = tries.select("try", steps_of(paths).alias("path")).select("*", steps_of(n_trades).alias("j")).withColumn("r", signed(seed + 8, "try", "path", "j"))
+    seen = resample.worst_drawdowns(fresh, "r", ["try", "path"]).join(fresh.groupBy("try", "path").agg(F.avg("r").alias("mean")), ["try", "path"])
+    held = seen.join(means, "try").join(falls, "try").join(outer, "try")
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("rate"), F.col(f"m{k}").alias("m"), F.col(f"d{k}").alias("d"), F.col(f"b{k}").alias("b")) for k, p in enumerate(RATES)])).alias("_r")
+    share = lambda c: F.avg(c.cast("double"))
+    return held.select("mean", "dd", rows).select("mean", "dd", "_r.*").groupBy("rate").agg(
+        share(F.col("mean") < F.col("m")).alias("mean_worse"), share(F.col("dd") > F.col("d")).alias("drawdown_worse"), share(F.col("dd") > F.col("b")).alias("bounded_worse")
     )
 
 
@@ -162,11 +218,15 @@ def order_statistic_check(spark: SparkSession, samples: int = 100, rate: float =
     return found.withColumn("theory_low", dist.order_tail(n, F.lit(low_q), mm)).withColumn("theory_high", 1 - dist.order_tail(n, F.lit(high_q), mm))
 
 
-def random_walks(spark: SparkSession, reps: int, n: int, trend: float = 0.0, seed: int = 41) -> DataFrame:
-    """``rep, i, x``: normal walks whose drift changes sign every 50 bars."""
+def random_walks(spark: SparkSession, reps: int, n: int, trend: float = 0.0, seed: int = 41, phase: int = 0) -> DataFrame:
+    """``rep, i, x``: walks from 0 whose steps are two uniforms less two others, plus a drift that changes sign every 50 bars.
+
+    The sign first changes at the bar 50 - ``phase``.
+    """
     held = spark.range(reps).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    drift = F.when(F.floor(F.col("i") / 50) % 2 == 0, F.lit(trend)).otherwise(F.lit(-trend))
-    held = held.withColumn("_s", F.when(F.col("i") == 0, F.lit(0.0)).otherwise(rng.normal(seed, "rep", "i") * 0.01 + drift))
+    drift = F.when(F.floor((F.col("i") + phase) / 50) % 2 == 0, F.lit(trend)).otherwise(F.lit(-trend))
+    u = [rng.uniform(seed + k, "rep", "i") for k in range(4)]
+    held = held.withColumn("_s", F.when(F.col("i") == 0, F.lit(0.0)).otherwise(drift + u[0] + u[1] - u[2] - u[3]))
     upto = Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return held.select("rep", "i", F.sum("_s").over(upto).alias("x"))
 
@@ -175,62 +235,95 @@ REPS = Series(("rep",), "i")
 
 
 def training_bias(spark: SparkSession, reps: int = 10, n: int = 200, trend: float = 0.0, most: int = 10, criterion: str = "mean", side: str = "both", seed: int = 41) -> DataFrame:
-    """In-sample mean of the best crossover of each walk, its mean on a fresh walk, and the difference."""
-    keep = ["short", "long", "mean"]
+    """``rep, short, long, in_sample, out_of_sample, bias``: mean returns of the crossover that is best by ``criterion`` on a walk, and of the same on a fresh one."""
 
     def grid(which: int) -> DataFrame:
-        return grids.crossover_grid(random_walks(spark, reps, n, trend, which), "x", most, side, REPS)
+        return grids.crossover_grid(random_walks(spark, reps, n, trend, which), "x", most, side, REPS, own_start=True)
 
+    keep = list(dict.fromkeys(["short", "long", "mean"]))
     best = grids.best(grid(seed), criterion, ["long", "short"], ["rep"], keep).withColumnRenamed("mean", "in_sample")
     out = grid(seed + 500).select("rep", "short", "long", F.col("mean").alias("out_of_sample"))
     return best.join(out, ["rep", "short", "long"]).withColumn("bias", F.col("in_sample") - F.col("out_of_sample"))
 
 
-def selection_bias(spark: SparkSession, reps: int = 10, n: int = 200, trend: float = 0.0, most: int = 10, seed: int = 61) -> DataFrame:
-    """The better of the long and the short system on a second walk, and what it earns on a third."""
-    keep = ["short", "long"]
-    out = None
+def selection_bias(spark: SparkSession, reps: int = 10, n: int = 200, trend: float = 0.0, most: int = 10, criterion: str = "mean", seed: int = 61) -> DataFrame:
+    """``rep, long_bias, short_bias, side, oos1, oos2, bias``: the long-only or the short-only system is chosen on a second walk and judged on a third.
+
+    Each system is the crossover that is best by ``criterion`` on the first walk;
+    its training bias is its mean there less that on the second. The long system
+    is chosen if it did better there.
+    """
+    sides = []
     for side in ("long", "short"):
-        grid = lambda which, side=side: grids.crossover_grid(random_walks(spark, reps, n, trend, which), "x", most, side, REPS)
-        top = grids.best(grid(seed), "mean", ["long", "short"], ["rep"], keep)
-        second = grid(seed + 500).select("rep", "short", "long", F.col("mean").alias("oos1"))
-        third = grid(seed + 900).select("rep", "short", "long", F.col("mean").alias("oos2"))
-        part = top.join(second, ["rep", *keep]).join(third, ["rep", *keep]).select("rep", F.lit(side).alias("side"), "oos1", "oos2")
-        out = part if out is None else out.unionByName(part)
-    best = out.groupBy("rep").agg(F.max_by(F.struct("side", "oos1", "oos2"), F.struct("oos1", "side")).alias("b")).select("rep", "b.*")
-    return best.withColumn("bias", F.col("oos1") - F.col("oos2"))
+        grid = lambda which, side=side: grids.crossover_grid(random_walks(spark, reps, n, trend, which, 1), "x", most, side, REPS, own_start=True)
+        top = grids.best(grid(seed), criterion, ["long", "short"], ["rep"], ["short", "long", "mean"]).withColumnRenamed("mean", f"{side}_is")
+        second = grid(seed + 500).select("rep", "short", "long", F.col("mean").alias(f"{side}_1"))
+        third = grid(seed + 900).select("rep", "short", "long", F.col("mean").alias(f"{side}_2"))
+        sides.append(top.join(second, ["rep", "short", "long"]).join(third, ["rep", "short", "long"]).select("rep", f"{side}_is", f"{side}_1", f"{side}_2"))
+    both = sides[0].join(sides[1], "rep")
+    long = F.col("long_1") > F.col("short_1")
+    pick = lambda k: F.when(long, F.col(f"long_{k}")).otherwise(F.col(f"short_{k}"))
+    return both.select(
+        "rep", (F.col("long_is") - F.col("long_1")).alias("long_bias"), (F.col("short_is") - F.col("short_1")).alias("short_bias"),
+        F.when(long, F.lit("long")).otherwise(F.lit("short")).alias("side"), pick(1).alias("oos1"), pick(2).alias("oos2"), (pick(1) - pick(2)).alias("bias"),
+    )
 
 
-def overlap_study(spark: SparkSession, reps: int = 9, n: int = 600, lookback: int = 20, ahead: int = 10, n_train: int = 100, n_test: int = 20, omit: int = 0, seed: int = 71) -> DataFrame:
-    """t of walk-forward predictions on pure noise: overlap of training targets with the test inflates it unless omitted."""
-    walk = random_walks(spark, reps, n, 0.0, seed)
+def cases_of(walk: DataFrame, lookback: int, ahead: int) -> DataFrame:
+    """``rep, k, a, b``: indicator and target of each bar that has both, numbered from 0."""
     held = walk.withColumn("a", ind.slope("x", lookback, REPS) * (lookback - 1) / 2).withColumn("b", ind.targets("x", ahead, REPS)).dropna(subset=["a", "b"])
-    held = held.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("i")) - 1)
-    cases = n - lookback - ahead
-    folds = [(f, a, b, e) for f, a, b, e in grids.folds(cases, n_train, n_test)]
-    table = spark.createDataFrame(folds, "fold int, first int, test int, last int")
-    inside = (F.col("k") >= F.col("first")) & (F.col("k") < F.col("test") - omit)
-    fit = stats.regression(held.join(F.broadcast(table), inside), "a", "b", ["rep", "fold"])
-    test = held.join(F.broadcast(table), (F.col("k") >= F.col("test")) & (F.col("k") < F.col("last"))).join(fit, ["rep", "fold"])
-    test = test.withColumn("r", F.signum(F.col("a") * F.col("beta") + F.col("constant")) * F.col("b"))
-    return stats.t_summary(test, "r", ["rep"])
+    return held.select("rep", (F.col("i") - (lookback - 1)).alias("k"), "a", "b")
+
+
+def walked(cases: DataFrame, n: int, n_train: int, n_test: int, omit: int, extra: int = 0) -> DataFrame:
+    """``rep, r``: out-of-sample returns of a regression that is fitted anew in each fold, on all its cases but the last ``omit``."""
+    table = F.broadcast(cases.sparkSession.createDataFrame(grids.folds(n, n_train, n_test, extra=extra), "fold int, first int, test int, last int"))
+    k = F.col("k")
+    fit = stats.regression(cases.join(table, (k >= F.col("first")) & (k < F.col("test") - omit)), "a", "b", ["rep", "fold"])
+    return predicted_returns(cases.join(table, (k >= F.col("test")) & (k < F.col("last"))).join(fit, ["rep", "fold"]))
+
+
+def predicted_returns(test: DataFrame) -> DataFrame:
+    """The target where the prediction is above 0, else its negative."""
+    return test.select("rep", F.when(F.col("a") * F.col("beta") + F.col("constant") > 0, F.col("b")).otherwise(-F.col("b")).alias("r"))
+
+
+def overlap_study(spark: SparkSession, reps: int = 9, n: int = 600, lookback: int = 20, ahead: int = 10, n_train: int = 100, n_test: int = 20, omit: int = 0, extra: int = 0, seed: int = 71) -> DataFrame:
+    """``rep, n, mean, sd, t, p, median_t, share``: t of walk-forward predictions on pure noise.
+
+    Overlap of training targets with the test inflates t unless cases are omitted.
+    The number of walks is made odd; ``median_t`` and ``share`` (of p at 0.1 or less) are those of all walks.
+    """
+    reps = reps // 2 * 2 + 1
+    cases = cases_of(random_walks(spark, reps, n, 0.0, seed), lookback, ahead)
+    held = walked(cases, n - lookback - ahead + 1, n_train, n_test, omit, extra).groupBy("rep").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.sqrt(F.greatest(F.var_pop("r"), F.lit(1e-20))).alias("sd")
+    )
+    held = held.withColumn("t", F.sqrt(F.col("n")) * F.col("mean") / F.col("sd")).withColumn("p", 1 - F.expr(dist.normal_cdf_sql("t")))
+    total = held.agg(F.element_at(F.array_sort(F.collect_list("t")), reps // 2 + 1).alias("median_t"), F.avg((F.col("p") <= 0.1).cast("double")).alias("share"))
+    return held.join(F.broadcast(total), F.lit(True))
+
+
+def even_cuts(n: int, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end): each takes the whole share of what the parts before it left."""
+    out, at = [], 0
+    for k in range(min(parts, n)):
+        size = (n - at) // (min(parts, n) - k)
+        out.append((k, at, at + size))
+        at += size
+    return out
 
 
 def validation_study(spark: SparkSession, reps: int = 5, n: int = 400, lookback: int = 20, ahead: int = 5, folds: int = 5, omit: int = 5, n_train: int = 100, n_test: int = 50, trend: float = 0.0, seed: int = 81) -> DataFrame:
-    """k-fold against walk-forward on the same walks: mean sign return of each, and their t."""
-    walk = random_walks(spark, reps, n, trend, seed)
-    held = walk.withColumn("a", ind.slope("x", lookback, REPS) * (lookback - 1) / 2).withColumn("b", ind.targets("x", ahead, REPS)).dropna(subset=["a", "b"])
-    held = held.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("i")) - 1)
-    cases = n - lookback - ahead + 1
-    cut = spark.createDataFrame([(f, a, b) for f, (a, b) in enumerate((cases * j // folds, cases * (j + 1) // folds) for j in range(folds))], "fold int, a0 int, b0 int")
-    outside = (F.col("k") < F.col("a0") - omit) | (F.col("k") >= F.col("b0") + omit)
-    fit = stats.regression(held.join(F.broadcast(cut), outside), "a", "b", ["rep", "fold"])
-    pred = F.signum(F.col("a") * F.col("beta") + F.col("constant")) * F.col("b")
-    xval = held.join(F.broadcast(cut), (F.col("k") >= F.col("a0")) & (F.col("k") < F.col("b0"))).join(fit, ["rep", "fold"]).select("rep", F.lit("xval").alias("method"), pred.alias("r"))
-    steps = spark.createDataFrame(grids.folds(cases, n_train, n_test), "fold int, first int, test int, last int")
-    wfit = stats.regression(held.join(F.broadcast(steps), (F.col("k") >= F.col("first")) & (F.col("k") < F.col("test") - omit)), "a", "b", ["rep", "fold"])
-    walkf = held.join(F.broadcast(steps), (F.col("k") >= F.col("test")) & (F.col("k") < F.col("last"))).join(wfit, ["rep", "fold"]).select("rep", F.lit("walk").alias("method"), pred.alias("r"))
-    return stats.t_summary(xval.unionByName(walkf), "r", ["rep", "method"])
+    """``rep, method, n, mean``: k-fold against walk-forward on the same walks; cases within ``omit`` of a test are not trained on."""
+    cases = cases_of(random_walks(spark, reps, n, trend, seed, 1), lookback, ahead)
+    size = n - lookback - ahead + 1
+    cut = F.broadcast(spark.createDataFrame(even_cuts(size, folds), "fold int, a0 int, b0 int"))
+    k = F.col("k")
+    fit = stats.regression(cases.join(cut, (k < F.col("a0") - omit) | (k >= F.col("b0") + omit)), "a", "b", ["rep", "fold"])
+    xval = predicted_returns(cases.join(cut, (k >= F.col("a0")) & (k < F.col("b0"))).join(fit, ["rep", "fold"])).withColumn("method", F.lit("xval"))
+    both = xval.unionByName(walked(cases, size, n_train, n_test, omit).withColumn("method", F.lit("walk")))
+    return both.groupBy("rep", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"))
 
 
 def features_of(bars: DataFrame, increment: int = 2, n_long: int = 3, n_short: int = 2, ahead: int = 1) -> tuple[DataFrame, list[str]]:
@@ -278,14 +371,63 @@ def report(bars: DataFrame, symbol: str) -> str:
     parts.append(f"\n## Model\n{model.to_json()}")
     table("Out of sample", backtest.out_of_sample(scored.where("test AND pred IS NOT NULL AND target IS NOT NULL"), "pred", "target"))
     table("Permutation test", resample.mcpt_trend(one, 12, 10, 11))
-    table("Selection", selection_report(one, n - 12, 6, 12))
+    table("Selection", selection_report(one, 6, 12))
     signals = grids.threshold_signals(one, 20, 40.0, 8.0, 8.0, exclude_current=True)
     table("Backtest", backtest.summary(signals, 10_000.0, 0.1))
     one.unpersist()
     return "\n".join(parts)
 
 
-def chooser_bounds(bars: DataFrame, window: int, out_window: int, reps: int = 100, size: int = 60, seed: int = 91) -> DataFrame:
-    """Drawdown quantiles of the chooser's returns by resampling."""
-    picks = resample.chooser(bars, window, out_window).select("ret", (F.row_number().over(Window.orderBy("i")) - 1).alias("i"))
-    return resample.drawdown_quantiles(picks, "ret", picks.count(), size, reps, seed)
+def aligned(bars: DataFrame) -> DataFrame:
+    """Bars of the days that every market has, on one time axis."""
+    markets = bars.select("symbol").distinct().count()
+    days = bars.groupBy("dt").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == markets).select("dt")
+    held = bars.drop("i").join(days, "dt", "left_semi")
+    return held.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")) - 1)
+
+
+def chooser_report(bars: DataFrame, window: int, out_window: int, reps: int = 10, seed: int = 93) -> DataFrame:
+    """``criterion, mean_x25200, p, chosen``: each criterion's and the final system's yearly return, its chance under shuffling, and the share of times it was chosen.
+
+    Replications shuffle all markets' changes in one order within three segments:
+    the first window, the bars that rank the criteria, and the rest. p counts the data
+    itself as one replication. ``bars`` must be aligned.
+    """
+    markets = bars.select("symbol", "i", "x")
+    shuffled = resample.permuted(markets, reps, seed, 0, joint=True, cuts=(window, window + out_window))
+    picks = resample.criterion_picks(shuffled, window, keys=("rep",))
+    final = resample.final_picks(picks, out_window, keys=("rep",))
+    tested = picks.where(F.col("i") >= window + out_window - 1)
+    value = (F.avg("ret") * YEAR).alias("v")
+    made = tested.groupBy("rep", F.element_at(F.array(*map(F.lit, resample.CHOICES)), F.col("criterion") + 1).alias("criterion")).agg(value)
+    made = made.unionByName(final.groupBy("rep").agg(value).select("rep", F.lit("final").alias("criterion"), "v"))
+    base = made.where("rep = 0").select("criterion", F.col("v").alias("mean_x25200"))
+    held = made.join(base, "criterion").groupBy("criterion", "mean_x25200").agg(F.avg((F.round("v", 9) >= F.round("mean_x25200", 9)).cast("double")).alias("p"))
+    names = F.element_at(F.array(*map(F.lit, resample.CHOICES)), F.col("criterion") + 1)
+    counts = final.where("rep = 0").groupBy(names.alias("criterion")).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_all"))
+    shares = counts.join(F.broadcast(total), F.lit(True)).select("criterion", (F.col("_c") / F.col("_all")).alias("chosen"))
+    return held.join(shares, "criterion", "left").withColumn("chosen", F.when(F.col("criterion") != "final", F.coalesce("chosen", F.lit(0.0))))
+
+
+#: Confidences of the bounds on drawdown quantiles.
+CONFIDENCES = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+
+
+def chooser_bounds(bars: DataFrame, window: int, out_window: int, reps: int = 20, inner: int = 20, size: int = 40, seed: int = 91) -> DataFrame:
+    """``prob, confidence, bound``: bounds on the quantiles of a year's worst drawdown, in percent, of the chooser's returns.
+
+    The returns are resampled, and the drawdown quantiles of each resample come
+    from ``inner`` paths of ``size`` returns drawn from it; a bound is the
+    quantile of these over the resamples. ``bars`` must be aligned.
+    """
+    order = Window.partitionBy("one").orderBy("i")  # one series of bars
+    held = resample.chooser(bars, window, out_window).select(F.lit(1).alias("one"), "i", "ret").select("one", "ret", (F.row_number().over(order) - 1).alias("i"))
+    sample = resample.draws(held, ["one"], reps, seed).join(held, ["one", "i"]).select("one", "rep", F.col("j").alias("i"), "ret")
+    n = held.groupBy("one").agg(F.count(F.lit(1)).alias("_n"))
+    paths = n.select("one", "_n", steps_of(reps).alias("rep")).select("*", steps_of(inner).alias("b")).select("*", steps_of(size).alias("j"))
+    paths = paths.withColumn("i", (rng.bits(seed + 1, "rep", "b", "j") % F.col("_n")).cast("int")).join(sample, ["one", "rep", "i"])
+    worst = resample.worst_drawdowns(paths, "ret", ["rep", "b"]).withColumn("dd", (F.lit(1.0) - F.exp(-F.col("dd"))) * 100)
+    each = resample.quantile_rows(worst, ["rep"], (0.999, 0.99, 0.95, 0.90))
+    found = each.groupBy("prob").agg(F.array(*[F.struct(F.lit(c).alias("confidence"), stats.order_quantile("drawdown", c).alias("bound")) for c in CONFIDENCES]).alias("_b"))
+    return found.select("prob", F.explode("_b").alias("_b")).select("prob", "_b.*")

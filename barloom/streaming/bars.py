@@ -43,6 +43,19 @@ def tick_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+#: The symbol of a row that only moves the watermark past the last real tick.
+END = "\x00end"
+
+
+def closed(ticks: DataFrame, beyond: str = "1 day") -> DataFrame:
+    """``ticks`` of a finished replay with one more row, so far behind the last that every real window closes.
+
+    The row's own window never closes, so it is in no output.
+    """
+    last = ticks.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit(END).alias("symbol"), (F.col("ts") + F.expr(f"INTERVAL {beyond}")).alias("ts"))
+    return ticks.unionByName(last, allowMissingColumns=True)
+
+
 def write_bars(bars: DataFrame, path: str, checkpoint: str):
     """Append closed bars by symbol; a restart goes on where the checkpoint stands."""
     return bars.writeStream.format("parquet").partitionBy("symbol").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -20,10 +20,7 @@ def test_query_equals_its_twin(spark, sf_dir, con, name):
     assert duck.differing(spark, sf_dir, con, catalog.QUERIES[name], catalog.ORACLE_SQL[name]) == ""
 
 
-FEW_BARS = {"breakout_performance", "return_bounds", "mean_bounds"}  # need more history than the smallest tables have
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - FEW_BARS))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_a_twin_gives_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 

@@ -145,8 +145,10 @@ def test_permutation_keeps_ends_and_changes(spark):
     assert sorted(np.diff(reps[1])) == pytest.approx(sorted(np.diff(reps[0])))
 
 
-def test_blocks():
-    assert resample.blocks_of(10, 5) == [(0, 2), (2, 4), (4, 7), (7, 10)]
+def test_blocks(spark):
+    for n, want in ((10, [0, 0, 1, 1, 2, 2, 2, 3, 3, 3]), (8, [0, 0, 1, 1, 2, 2, 3, 3]), (3, [1, 2, 3])):
+        df = spark.range(n).select(resample.block_of(F.col("id"), F.lit(n), 4).alias("b"))
+        assert [r.b for r in df.collect()] == want
 
 
 def test_elastic_net(spark):
