@@ -26,7 +26,10 @@ def stream_query(spark, sf_dir):
     from uuid import uuid4
 
     ticks = tables.ticks(spark, sf_dir)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="barloom-stream-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or mkdtemp(prefix="barloom-stream-")
     home = f"{root.rstrip('/')}/stream-{uuid4().hex}"
     minute.closed(ticks).write.parquet(f"{home}/ticks")
     # a replay's files are in no order of time, so all of them are one batch and none is late
@@ -279,6 +282,12 @@ sd AS (SELECT symbol, 'lower' AS side, n, m, s[m] AS b FROM sm UNION ALL SELECT
         return backtest.out_of_sample(scored.where("test AND pred IS NOT NULL AND target IS NOT NULL"), "pred", "target")
 
     add("elastic_net_out_of_sample", lambda s, d: every_market(bars(s, d), lambda x: predictions(s, d, x)))
+
+    def combined(s, d, symbol):
+        saved, scored = tools.combined_model(bars(s, d), symbol, n_test=60)
+        return backtest.out_of_sample(scored.dropna(), "pred", "target").withColumn("model", F.lit(saved))
+
+    add("combined_model", lambda s, d: every_market(bars(s, d), lambda x: combined(s, d, x)))
     pairs = [(2, 6), (4, 6), (4, 12), (8, 12)]
     names = [f"f{a}_{b}" for a, b in pairs]
     cells = [(a, b) for k, a in enumerate(names) for b in names[k:]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dist, rng
-from ..operators import backtest, grids, indicators as ind, models, optimize, resample, stats
+from ..operators import backtest, grids, indicators as ind, models, optimize, recurrences, resample, stats
 from ..operators.indicators import MARKET, Series
 
 YEAR = 252 * 100
@@ -350,6 +351,45 @@ def elastic_net(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int =
     return model, scored, names
 
 
+def combined_features(bars: DataFrame, types: tuple[str, ...] = ("ma", "rsi", "ema", "macd", "roc"), increment: int = 4, n_long: int = 2, n_short: int = 1, ahead: int = 1) -> tuple[DataFrame, list[str], list[dict]]:
+    """(bars with a feature for each type and pair of lookbacks, and their target; the features' names; their specs).
+
+    The specs run through the types first, then the long and the short lookbacks.
+    """
+    pairs = [((a + 1) * increment, max(1, (a + 1) * increment * (b + 1) // (n_short + 1))) for a in range(n_long) for b in range(n_short)]
+    held = bars.select("symbol", "i", "x", ind.targets("x", ahead).alias("target"))
+    specs = [{"type": t, "short_lookback": short, "long_lookback": long} for t in types for long, short in pairs]
+    name = lambda s: f"{s['type']}_{s['short_lookback']}_{s['long_lookback']}"
+    for long, short in dict.fromkeys(pairs):
+        made = recurrences.crossovers(bars.select("symbol", "i", "x"), short, long)
+        held = held.join(made.select("symbol", "i", *[F.col(t).alias(f"{t}_{short}_{long}") for t in types]), ["symbol", "i"])
+    return held, [name(s) for s in specs], specs
+
+
+def combined_model(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int = 10, alpha: float = 0.5, **kw) -> tuple[str, DataFrame]:
+    """(the saved model as JSON, its predictions of the last ``n_test`` bars) of an elastic net over the crossover family of one market.
+
+    The JSON holds the model, the specs of its features and the settings, so that ``model_predictions`` can apply it to other bars.
+    """
+    df, names, specs = combined_features(bars.where(F.col("symbol") == symbol), **kw)
+    last = df.agg(F.max("i")).first()[0]
+    edge = (last or 0) + 1 - n_test
+    train = df.where(F.col("i") < edge).dropna().withColumn("block", F.least(F.floor(F.col("i") * n_folds / edge), F.lit(n_folds - 1)).cast("int"))
+    model = models.fit(train, names, "target", alpha, "block")
+    saved = json.dumps({"model": json.loads(model.to_json()), "specs": specs, "config": {"n_test": n_test, "n_folds": n_folds, "alpha": alpha, **kw}})
+    return saved, df.where(F.col("i") >= edge).withColumn("pred", backtest.predicted(F.array(*names), vars(model)))
+
+
+def model_predictions(bars: DataFrame, saved: str) -> DataFrame:
+    """``symbol, i, pred`` of a saved model for all bars that have its features."""
+    held = json.loads(saved)
+    kw = {k: v for k, v in held["config"].items() if k in ("types", "increment", "n_long", "n_short", "ahead")}
+    df, names, specs = combined_features(bars, **kw)
+    if specs != held["specs"]:
+        raise ValueError("the settings do not give the saved features")
+    return df.dropna(subset=names).select("symbol", "i", backtest.predicted(F.array(*names), held["model"]).alias("pred"))
+
+
 def evolved_system(bars: DataFrame, symbol: str, most: int = 30, population: int = 20, generations: int = 6, least: int = 5, seed: int = 3) -> tuple:
     """(best parameters, their return, sensitivity curves) of the threshold system on one market."""
     bounds = optimize.Bounds((2.0, 0.01, 0.0, 0.0), (float(most), 99.0, 300.0, 300.0), 1)

@@ -9,11 +9,25 @@ from pyspark.sql.window import Window
 POLICIES = ("fail", "drop")
 
 
+NAME_CHARS = 15
+
+
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines with their file's name as symbol (15 characters at most) and their place in it."""
+    """Lines with their file's name as symbol (15 characters at most) and their place in it, ``_at``.
+
+    A file is read in splits, and ``_at`` puts its lines in order again: the
+    split's start, then the row's place in the task. Files whose names are the
+    same within 15 characters would become one series, so they are refused.
+    """
     held = spark.read.text(paths)
+    names: dict[str, str] = {}
+    for file in sorted(set(held.inputFiles())):
+        name = file.rsplit("/", 1)[-1].rsplit(".", 1)[0][:NAME_CHARS]
+        if names.setdefault(name, file) != file:
+            raise ValueError(f"{names[name]} and {file} have the same market name {name}")
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
-    return held.select(F.substring(name, 1, 15).alias("symbol"), F.col("_metadata.file_path").alias("_file"), F.col("value"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return held.select(F.substring(name, 1, NAME_CHARS).alias("symbol"), F.col("_metadata.file_path").alias("_file"), place.alias("_at"), F.col("value"))
 
 
 def _parts(value: Column) -> Column:
@@ -40,14 +54,19 @@ def _apply(df: DataFrame, good: Column, policy: str, what: str) -> DataFrame:
     return df.where(checked)
 
 
-def read_bars(spark: SparkSession, paths: str | list[str], policy: str = "fail", log: bool = True, ascending: bool = True, lenient: bool = False) -> DataFrame:
+def read_bars(spark: SparkSession, paths: str | list[str], policy: str = "fail", log: bool = True, ascending: bool = True, lenient: bool = False, to_blank: bool = False) -> DataFrame:
     """``symbol, dt, i, open, high, low, close[, x]`` from ``YYYYMMDD O H L C`` lines.
 
-    Blank lines are skipped. ``fail`` raises at a bad line and, with
-    ``ascending``, at a date that does not follow the one before it; ``drop``
-    leaves such lines out. ``lenient`` fills missing prices from the open.
+    Blank lines are skipped, or with ``to_blank`` end their file. ``fail`` raises
+    at a bad line and, with ``ascending``, at a date that is not after all the dates
+    before it in the file; ``drop`` leaves such lines out. ``lenient`` fills missing
+    prices from the open.
     """
-    held = _lines(spark, paths).where(F.trim("value") != "")
+    held = _lines(spark, paths)
+    blank = F.trim("value") == ""
+    if to_blank:
+        held = held.withColumn("_stop", F.min(F.when(blank, F.col("_at"))).over(Window.partitionBy("_file"))).where(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
+    held = held.where(~blank)
     p = _parts(F.col("value"))
     price = lambda k: F.expr(f"try_cast(get(_p, {k}) AS DOUBLE)")
     held = held.withColumn("_p", p).withColumn("dt", _day(F.col("value"))).withColumn("open", price(1))
@@ -55,11 +74,10 @@ def read_bars(spark: SparkSession, paths: str | list[str], policy: str = "fail",
         held = held.withColumn(name, F.coalesce(price(k), F.col("open")) if lenient else price(k))
     good = F.col("dt").isNotNull() & valid_bar(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
     held = _apply(held, good, policy, "bad bar")
-    # files are split at any line, so order is by date; what must not happen is a date twice
-    order = Window.partitionBy("symbol").orderBy("dt")
-    held = held.withColumn("_again", F.lag("dt").over(order) == F.col("dt"))
     if ascending:
-        held = _apply(held, F.coalesce(~F.col("_again"), F.lit(True)), policy, "dates must increase")
+        before = F.max("dt").over(Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        held = _apply(held.withColumn("_before", before), F.col("_before").isNull() | (F.col("dt") > F.col("_before")), policy, "dates must increase")
+    order = Window.partitionBy("symbol").orderBy("dt", "_at")
     out = held.withColumn("i", F.row_number().over(order) - 1).select("symbol", "dt", "i", "open", "high", "low", "close")
     return out.withColumn("x", F.log("close")) if log else out
 
@@ -85,6 +103,12 @@ def read_markets(spark: SparkSession, list_path: str, **kw) -> DataFrame:
     return read_bars(spark, names, **kw)
 
 
+def save_market_list(spark: SparkSession, bars: DataFrame, folder: str, path: str) -> None:
+    """The list of market files that ``read_markets`` takes: ``folder``/SYMBOL.TXT for each series, one a line."""
+    held = bars.select("symbol").distinct().select(F.concat(F.lit(folder.rstrip("/") + "/"), F.col("symbol"), F.lit(".TXT")).alias("value"))
+    held.coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
 def read_vendor_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``symbol, dt, open, high, low, close`` from ``Date,Open,High,Low,Close`` files; days are UTC, rows with gaps go."""
     held = spark.read.option("header", True).csv(paths).select("*", F.col("_metadata.file_path").alias("_file"))

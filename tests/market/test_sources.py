@@ -110,3 +110,29 @@ def test_windows_share_one_sort(spark, sf_dir):
     df = tables.bars(spark, sf_dir).select("symbol", "i", ind.sma("x", 5), ind.slope("x", 10), ind.roc("x", 3))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") <= 2
+
+
+def test_order_is_that_of_the_file(spark, tmp_path):
+    swapped = file(tmp_path, "20200206 1 1 1 1\n20200208 2 2 2 2\n20200207 3 3 3 3\n20200209 4 4 4 4\n")
+    with pytest.raises(Exception):
+        text.read_bars(spark, swapped).collect()
+    assert [r.close for r in text.read_bars(spark, swapped, policy="drop").orderBy("i").collect()] == [1, 2, 4]
+    assert [r.close for r in text.read_bars(spark, swapped, ascending=False).orderBy("i").collect()] == [1, 3, 2, 4]
+
+
+def test_a_blank_line_may_end_a_file(spark, tmp_path):
+    path = file(tmp_path, GOOD)
+    assert [r.close for r in text.read_bars(spark, path, to_blank=True).collect()] == [0.03236]
+
+
+def test_names_that_are_cut_to_the_same_are_refused(spark, tmp_path):
+    a, b = file(tmp_path, GOOD, "a_very_long_market_name_1.TXT"), file(tmp_path, GOOD, "a_very_long_market_name_2.TXT")
+    with pytest.raises(ValueError):
+        text.read_bars(spark, [a, b])
+
+
+def test_market_list(spark, tmp_path):
+    bars = text.read_bars(spark, [file(tmp_path, GOOD, "AAA.TXT"), file(tmp_path, GOOD, "BBB.TXT")])
+    text.save_market_list(spark, bars, str(tmp_path), str(tmp_path / "MARKETS"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "MARKETS")).collect()]
+    assert lines == [f"{tmp_path}/AAA.TXT", f"{tmp_path}/BBB.TXT"]
