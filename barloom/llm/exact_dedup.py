@@ -17,8 +17,8 @@ from .common import text_or_empty, written
 PRIMES = (2305843009213691579, 2305843009213690799)
 #: Bytes folded at a time within a task.
 CHUNK_BYTES = 4096
-#: A text of more characters is cut into segments that are hashed in parallel.
-SEGMENT_CHARS = 1 << 20
+#: A text of more bytes is cut into segments that are hashed in parallel.
+SEGMENT_BYTES = 1 << 20
 
 
 def combine(left: tuple[int, int], right: tuple[int, int], prime: int) -> tuple[int, int]:
@@ -35,7 +35,7 @@ def fingerprint(data: bytes, prime: int, chunk: int = CHUNK_BYTES) -> tuple[int,
 def _hashed(texts: pd.Series, primes: tuple[int, ...]) -> pd.DataFrame:
     rows = []
     for t in texts:
-        data = t.encode("utf-8", "surrogatepass")
+        data = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")
         rows.append((fingerprint(data, primes[0])[0], fingerprint(data, primes[1])[0]))
     return pd.DataFrame(rows, columns=["f0", "f1"], dtype="int64")
 
@@ -63,13 +63,13 @@ def _segment_fold(primes: tuple[int, ...]):
     return folded
 
 
-def _pieces(text: Column, chars: int) -> Column:
-    """The text in pieces of so many characters; the empty text has one piece."""
-    last = F.greatest(F.ceil(F.length(text) / F.lit(chars)) - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda i: F.substring(text, (i * chars + 1).cast("int"), F.lit(chars)))
+def _pieces(data: Column, size: int) -> Column:
+    """Binary data in pieces of so many bytes, each cut out without reading what is before it; empty data has one piece."""
+    last = F.greatest(F.ceil(F.octet_length(data) / F.lit(size)) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda i: F.substring(data, (i * size + 1).cast("int"), F.lit(size)))
 
 
-def fingerprints(rows: DataFrame, primes: tuple[int, ...] = PRIMES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def fingerprints(rows: DataFrame, primes: tuple[int, ...] = PRIMES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``_id, _sha, _n, f0, f1`` for rows of ``_id, _text``, one per row.
 
     Texts of ordinary length are hashed where they are read. A huge one is cut
@@ -77,11 +77,11 @@ def fingerprints(rows: DataFrame, primes: tuple[int, ...] = PRIMES, segment_char
     that repeat in both id and text are hashed once and counted.
     """
     digest = rows.select("_id", "_text", F.sha2(F.col("_text"), 256).alias("_sha"), F.octet_length("_text").cast("long").alias("_n"))
-    is_huge = F.length("_text") > segment_chars
+    is_huge = F.octet_length("_text") > segment_bytes
     usual = digest.where(~is_huge).withColumn("_f", _segment_hash(primes)(F.col("_text"))).select("_id", "_sha", "_n", "_f.f0", "_f.f1")
     parts = (
         digest.where(is_huge)
-        .select("_id", "_sha", "_n", F.posexplode(_pieces(F.col("_text"), segment_chars)).alias("_seg", "_part"))
+        .select("_id", "_sha", "_n", F.posexplode(_pieces(F.col("_text").cast("binary"), segment_bytes)).alias("_seg", "_part"))
         .repartition("_sha", "_seg")
         .withColumn("_f", _segment_hash(primes)(F.col("_part")))
         .groupBy("_id", "_sha", "_n", "_seg")
@@ -95,16 +95,17 @@ def fingerprints(rows: DataFrame, primes: tuple[int, ...] = PRIMES, segment_char
     return usual.unionByName(parts)
 
 
-def _colliding(rows: DataFrame, shared: DataFrame, primes: tuple[int, ...], chars: int) -> DataFrame:
+def _colliding(rows: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
     """Shared fingerprints of texts that differ, found by comparing chunk with chunk.
 
-    All members of a group must have the same chunk at each place. A task folds
-    its own copies first, so a group of any size sends one row per task and
-    place; texts that share their fingerprint with none stay where they are.
+    ``shared`` has ``_sha, f0, f1, _n``: which texts to compare with which. All
+    members of a group must have the same chunk at each place. A task folds its
+    own copies first, so a group of any size sends one row per task and place;
+    texts that share their fingerprint with none stay where they are, and no text
+    leaves the JVM.
     """
-    members = rows.select("_text", F.octet_length("_text").cast("long").alias("_n"), _segment_hash(primes)(F.col("_text")).alias("_f"))
-    members = members.select("_text", "_n", "_f.f0", "_f.f1").join(shared.select("f0", "f1", "_n"), ["f0", "f1", "_n"], "left_semi")
-    places = members.select("f0", "f1", "_n", F.posexplode(_pieces(F.col("_text"), chars)).alias("_place", "_chunk"))
+    members = rows.select(F.sha2("_text", 256).alias("_sha"), F.col("_text").cast("binary").alias("_data")).join(shared, "_sha")
+    places = members.select("f0", "f1", "_n", F.posexplode(_pieces(F.col("_data"), chunk)).alias("_place", "_chunk"))
     return (
         places.groupBy("f0", "f1", "_n", "_place", "_chunk").agg(F.count(F.lit(1)).alias("_c"))
         .groupBy("f0", "f1", "_n", "_place").agg(F.count(F.lit(1)).alias("_kinds"))
@@ -117,8 +118,8 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     primes: tuple[int, ...] = PRIMES,
-    segment_chars: int = SEGMENT_CHARS,
-    chunk_chars: int = 1 << 16,
+    segment_bytes: int = SEGMENT_BYTES,
+    chunk_bytes: int = 1 << 16,
     broadcast_groups: int = 200_000,
 ) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
@@ -131,16 +132,18 @@ def exact_dedup(
 
     Fingerprints propose groups; a chunkwise comparison of the whole texts proves
     them, and any group whose texts differ is grouped again by the texts.
-    ``broadcast_groups`` bounds the (24 byte) group keys that are broadcast for
-    that comparison; beyond it the join is shuffled.
+    ``broadcast_groups`` bounds the texts' keys (90 bytes) that are broadcast for
+    that comparison; beyond it the join is shuffled. Texts of any length are read
+    whole, in segments.
     """
     rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    prints = written(fingerprints(rows, primes, segment_chars), "prints")
+    prints = written(fingerprints(rows, primes, segment_bytes), "prints")
     groups = written(
         prints.groupBy("f0", "f1", "_n").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups"
     )
     keys = groups.select("f0", "f1", "_n")
-    bad = written(_colliding(rows, F.broadcast(keys) if groups.count() <= broadcast_groups else keys, primes, chunk_chars), "bad")
+    shared = written(prints.select("_sha", "f0", "f1", "_n").distinct().join(keys, ["f0", "f1", "_n"], "left_semi"), "shared")
+    bad = written(_colliding(rows, F.broadcast(shared) if shared.count() <= broadcast_groups else shared, chunk_bytes), "bad")
     found = _with_group(prints, groups, ["f0", "f1", "_n"])
     if not bad.isEmpty():
         again = rows.withColumn("_f", _segment_hash(primes)(F.col("_text")))

@@ -88,20 +88,23 @@ def _repeat_words(words: Column) -> Column:
 def with_metrics(df: DataFrame, text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``df`` with the measures that rules are written over, as the struct ``_m``.
 
-    Null and empty texts have zero of everything.
+    Null and empty texts have zero of everything. Other columns stay as they
+    are, but for one that is called ``_m``.
     """
-    held = df.withColumn("_t", text_or_empty(text_col)).withColumn("_w", words_of(F.col("_t")))
-    held = held.withColumn("_l", F.filter(F.split("_t", "\n"), lambda s: s.rlike(WORD))).withColumn("_j", F.array_join("_w", ""))
+    taken = {c.lower() for c in df.columns}
+    t, w, lines, j = (next(n for n in (f"{'_' * k}{name}" for k in range(1, len(taken) + 2)) if n not in taken) for name in "twlj")
+    held = df.withColumn(t, text_or_empty(text_col)).withColumn(w, words_of(F.col(t)))
+    held = held.withColumn(lines, F.filter(F.split(t, "\n"), lambda s: s.rlike(WORD))).withColumn(j, F.array_join(w, ""))
     measures = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.length("_j").cast("long").alias("word_chars"),
-        (F.length("_j") - F.length(F.regexp_replace("_j", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*dict.fromkeys(stop_words)))).cast("long").alias("n_stop_words"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(j).cast("long").alias("word_chars"),
+        (F.length(j) - F.length(F.regexp_replace(j, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(w)).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(*dict.fromkeys(stop_words)))).cast("long").alias("n_stop_words"),
     )
-    return held.withColumn("_m", measures).drop("_t", "_w", "_l", "_j")
+    return held.withColumn("_m", measures).drop(t, w, lines, j)
 
 
 def verdict(rules: Sequence[Rule], of: str = "_m") -> Column:
@@ -136,8 +139,13 @@ def judge(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES)
 
 
 def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per input row: its id, its measures and both verdicts."""
-    held = judge(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", rules)
+    """One row per input row: its id, its measures and both verdicts.
+
+    Null and empty texts have no word and fail; texts of any length are read
+    whole; null ids and repeated rows stay; other columns are not read; an empty
+    table gives an empty result.
+    """
+    held = judge(documents.select(named(id_col).alias("doc_id"), named(text_col).alias("_text")), "_text", rules)
     return held.select(
         "doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words",
         F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), "_m.n_stop_words", "_m.n_lines",

@@ -98,8 +98,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int = 64) -> DataFrame
     members = written(index.join(sizes, ["_p", "_k"]), "members")
     light = members.where(F.col("_n") <= most)
     a, b = light.select("_p", "_k", F.col("fp").alias("a")), light.select("_p", "_k", F.col("fp").alias("b"))
-    near = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= MIN_BYTES) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    pairs = a.join(b, ["_p", "_k"]).where(near).select("a", "b")
+    candidates = a.join(b, ["_p", "_k"]).where("a < b").select("a", "b")
+    tallied = candidates.where(shared_bytes(F.col("a"), F.col("b")) >= MIN_BYTES)
+    pairs = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     dense = members.where(F.col("_n") > most).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)).cast("long") for k in range(BITS)])
     around = dense.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("_v"))
@@ -131,8 +132,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id``.
 
     Null, empty and blank texts have fingerprint zero and link like any other.
-    Repeated rows stay. A null id is never the smallest unless the class has no
-    other. An empty table gives an empty result.
+    Texts of any length are read whole. Repeated rows stay. A null id is never
+    the smallest unless the class has no other. Other columns are not read,
+    whatever they are called. An empty table gives an empty result.
     """
     prints = written(simhashes(documents, id_col, text_col, words), "prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))

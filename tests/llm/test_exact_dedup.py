@@ -41,12 +41,18 @@ def test_groups_equal_texts(spark):
 
 
 def test_huge_texts_in_segments(spark):
-    assert got(spark, ROWS, segment_chars=16) == plain(ROWS)
+    assert got(spark, ROWS, segment_bytes=16) == plain(ROWS)
 
 
 def test_colliding_fingerprints_are_told_apart(spark):
-    assert got(spark, ROWS + [(20 + k, f"t{k}") for k in range(30)], primes=(2, 3), chunk_chars=7) == plain(ROWS + [(20 + k, f"t{k}") for k in range(30)])
+    assert got(spark, ROWS + [(20 + k, f"t{k}") for k in range(30)], primes=(2, 3), chunk_bytes=7) == plain(ROWS + [(20 + k, f"t{k}") for k in range(30)])
 
 
 def test_shuffled_comparison(spark):
     assert got(spark, ROWS, broadcast_groups=0) == plain(ROWS)
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    long = "some words é " * 400_000
+    rows = [(1, long), (2, long), (3, long[:-1] + "!"), (4, long)]
+    assert got(spark, rows) == plain(rows)

@@ -52,3 +52,10 @@ def test_filter_keeps_columns_and_clean_rows(spark):
 def test_no_python_on_the_executors(spark):
     plan = quality.quality_report(spark.createDataFrame([(1, "a", "x", 1)], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_measures_leave_other_columns_alone(spark):
+    df = spark.createDataFrame([("one two three", "t", "w", "l", "j")], "text string, _t string, _w string, _L string, _j string")
+    row = quality.with_metrics(df).first()
+    assert (row._t, row._w, row["_L"], row._j, row._m.n_words) == ("t", "w", "l", "j", 3)
+    assert quality.quality_report(spark.createDataFrame([(1, "word " * 200_000)], "doc_id long, text string")).first().n_words == 200_000

@@ -120,3 +120,11 @@ def test_drop_keeps_one_of_each_class(spark):
     twice = simhash.drop_near_duplicates(df.unionByName(df))
     assert sorted(r.doc_id for r in twice.collect()) == want
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_an_empty_table(spark):
+    long = " ".join(f"w{k % 977}" for k in range(150_000))
+    df = spark.createDataFrame([(long, 1, "c"), (long + " end", 2, "c"), (None, 3, "c")], "text string, doc_id long, fp string")
+    found = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert found[1].component_id == found[2].component_id == 1 and found[3].fingerprint == "0" * 16
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
