@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Moments:
-    """Count, sums, cross-products of features and target: all that the solver needs, and additive over blocks."""
+    """Count, sums, cross-products of features and target: all that the solver needs, and additive over blocks.
+
+    Values are taken from ``pivot`` (of the features, then the target), which all
+    blocks share, so that sums of squares do not cancel. ``weighted`` has the same sums of weighted cases.
+    """
 
     n: float
     sx: np.ndarray
@@ -20,30 +24,46 @@ class Moments:
     sxy: np.ndarray
     sy: float
     syy: float
+    pivot: np.ndarray
+    weighted: Moments | None = None
+
+    def _with(self, other: Moments, sign: int) -> Moments:
+        sums = [getattr(self, k) + sign * getattr(other, k) for k in ("n", "sx", "sxx", "sxy", "sy", "syy")]
+        return Moments(*sums, self.pivot, self.weighted._with(other.weighted, sign) if self.weighted else None)
 
     def __sub__(self, other: Moments) -> Moments:
-        return Moments(*(getattr(self, k) - getattr(other, k) for k in ("n", "sx", "sxx", "sxy", "sy", "syy")))
+        return self._with(other, -1)
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(*(getattr(self, k) + getattr(other, k) for k in ("n", "sx", "sxx", "sxy", "sy", "syy")))
+        return self._with(other, 1)
 
 
-def gather(df: DataFrame, features: list[str], target: str, block: str | None = None) -> dict[int, Moments]:
-    """Moments by block in one aggregate: p (p + 3) / 2 + 3 sums a block, whatever the number of rows."""
+def gather(df: DataFrame, features: list[str], target: str, block: str | None = None, weight: str | None = None) -> dict[int, Moments]:
+    """Moments by block: an aggregate of means, then one of p (p + 3) / 2 + 3 sums a block, whatever the number of rows.
+
+    With ``weight`` the sums of weighted cases are gathered beside them.
+    """
     p = len(features)
     cells = [(a, b) for a in range(p) for b in range(a, p)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy"), F.sum(F.col(target) * F.col(target)).alias("syy")]
-    aggs += [F.sum(f).alias(f"sx{a}") for a, f in enumerate(features)]
-    aggs += [F.sum(F.col(f) * F.col(target)).alias(f"sxy{a}") for a, f in enumerate(features)]
-    aggs += [F.sum(F.col(features[a]) * F.col(features[b])).alias(f"s{a}_{b}") for a, b in cells]
-    held = df.dropna(subset=[*features, target]).groupBy(F.col(block) if block else F.lit(0).alias("_block")).agg(*aggs)
-    out = {}
-    for r in held.collect():  # one row a block
+    held = df.dropna(subset=[*features, target, *([weight] if weight else [])])
+    pivot = np.array([v or 0.0 for v in held.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate([*features, target])]).first()], dtype=float)
+    x = [F.col(f) - F.lit(float(m)) for f, m in zip(features, pivot[:p], strict=True)]
+    y = F.col(target) - F.lit(float(pivot[p]))
+
+    def sums(w, name: str) -> list:
+        out = [F.sum(w).alias(f"{name}n"), F.sum(w * y).alias(f"{name}sy"), F.sum(w * y * y).alias(f"{name}syy")]
+        out += [F.sum(w * x[a]).alias(f"{name}sx{a}") for a in range(p)] + [F.sum(w * x[a] * y).alias(f"{name}sxy{a}") for a in range(p)]
+        return out + [F.sum(w * x[a] * x[b]).alias(f"{name}s{a}_{b}") for a, b in cells]
+
+    def moments(r, name: str, weighted: Moments | None = None) -> Moments:
         sxx = np.zeros((p, p))
         for a, b in cells:
-            sxx[a, b] = sxx[b, a] = r[f"s{a}_{b}"]
-        out[r[0]] = Moments(float(r["n"]), np.array([r[f"sx{a}"] for a in range(p)]), sxx, np.array([r[f"sxy{a}"] for a in range(p)]), r["sy"], r["syy"])
-    return out
+            sxx[a, b] = sxx[b, a] = r[f"{name}s{a}_{b}"]
+        return Moments(float(r[f"{name}n"]), np.array([r[f"{name}sx{a}"] for a in range(p)]), sxx, np.array([r[f"{name}sxy{a}"] for a in range(p)]), r[f"{name}sy"], r[f"{name}syy"], pivot, weighted)
+
+    aggs = sums(F.lit(1.0), "") + (sums(F.col(weight), "w") if weight else [])
+    rows = held.groupBy(F.col(block) if block else F.lit(0).alias("_block")).agg(*aggs).collect()  # one row a block
+    return {r[0]: moments(r, "", moments(r, "w") if weight else None) for r in rows}
 
 
 @dataclass
@@ -65,12 +85,16 @@ class Model:
 
 
 def standardized(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """(Gram, correlations with the target, means, scales, target mean, target scale), all per case."""
+    """(Gram, correlations with the target, means, scales, target mean, target scale), all per case; means are from the pivot.
+
+    Means and scales are those of unweighted cases; weights count in the products alone.
+    """
     means, ymean = m.sx / m.n, m.sy / m.n
     scales = np.sqrt(np.maximum(np.diag(m.sxx) / m.n - means**2, 0)) + 1e-60
     yscale = float(np.sqrt(max(m.syy / m.n - ymean**2, 0)) + 1e-60)
-    gram = (m.sxx / m.n - np.outer(means, means)) / np.outer(scales, scales)
-    xy = (m.sxy / m.n - means * ymean) / scales / yscale
+    w = m.weighted or m
+    gram = (w.sxx - np.outer(w.sx, means) - np.outer(means, w.sx) + w.n * np.outer(means, means)) / w.n / np.outer(scales, scales)
+    xy = (w.sxy - means * w.sy - w.sx * ymean + w.n * means * ymean) / w.n / scales / yscale
     return gram, xy, means, scales, ymean, yscale
 
 
@@ -142,14 +166,14 @@ def cross_validate(blocks: dict[int, Moments], alpha: float, steps: int = 50, ep
     return float(lams[int(explained.argmax())]), lams, explained
 
 
-def fit(df: DataFrame, features: list[str], target: str, alpha: float = 0.5, block: str | None = None, steps: int = 50, eps: float = 1e-7, most: int = 1000) -> Model:
-    """The penalty by cross-validation over ``block`` (none: 0), then the final fit."""
+def fit(df: DataFrame, features: list[str], target: str, alpha: float = 0.5, block: str | None = None, steps: int = 50, eps: float = 1e-7, most: int = 1000, weight: str | None = None) -> Model:
+    """The penalty by cross-validation over ``block`` (none: 0), then the final fit; cases may have a ``weight``."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie in [0, 1]")
-    blocks = gather(df, features, target, block)
+    blocks = gather(df, features, target, block, weight)
     total = sum(blocks.values(), start=next(iter(blocks.values())) - next(iter(blocks.values())))
     lam = cross_validate(blocks, alpha, steps, eps, most)[0] if alpha > 0 and len(blocks) > 1 else 0.0
     gram, xy, means, scales, ymean, yscale = standardized(total)
     beta = descend(gram, xy, lam, alpha, None, eps, most)
     explained = float(2 * beta @ xy - beta @ gram @ beta)
-    return Model(beta.tolist(), means.tolist(), scales.tolist(), float(ymean), yscale, explained, lam)
+    return Model(beta.tolist(), (means + total.pivot[:-1]).tolist(), scales.tolist(), float(ymean + total.pivot[-1]), yscale, explained, lam)

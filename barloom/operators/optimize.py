@@ -33,11 +33,14 @@ def legalize(points: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray
 def differential_evolution(
     evaluate: Evaluate, bounds: Bounds, population: int = 100, generations: int = 200, over_init: int = 0,
     weight: float = 0.6, crossover: float = 0.5, climb: float = 0.2, patience: int = 30, seed: int = 1,
+    relax: Callable[[], None] | None = None, failures: int = 500,
 ) -> tuple[np.ndarray, float, list[tuple[np.ndarray, np.ndarray]]]:
     """(best point, its value, all evaluated generations): rand/1/bin with hill climbing of children.
 
     A generation's children, and its climbing steps, are each one call of
-    ``evaluate``, hence one job. Criteria must be positive to count as found.
+    ``evaluate``, hence one job. Criteria must be positive to count as found:
+    members of the first generation that are not are drawn again, and ``relax`` is
+    called after so many ``failures`` in a row.
     """
     rng = np.random.default_rng(seed)
     low, high = np.array(bounds.low), np.array(bounds.high)
@@ -51,11 +54,18 @@ def differential_evolution(
 
     seen: list[tuple[np.ndarray, np.ndarray]] = []
     pool, values = valued(rng.uniform(low, high, (population + over_init, d)))
-    for _ in range(10):
+    in_a_row, fresh = 0, values
+    for _ in range(10 if relax is None else 1 + 20 * failures // population):
+        for value in fresh:
+            in_a_row = 0 if value > 0 else in_a_row + 1
+            if relax is not None and in_a_row == failures:
+                relax()
+                in_a_row = 0
         bad = values <= 0
         if not bad.any():
             break
         pool[bad], values[bad] = valued(rng.uniform(low, high, (int(bad.sum()), d)))
+        fresh = values[bad]
     keep = np.argsort(-values, kind="stable")[:population]
     pool, values = pool[keep], values[keep]
     stale = 0
@@ -206,31 +216,41 @@ def rosenbrock(p: np.ndarray) -> np.ndarray:
     return 1000.0 - (100 * (p[:, 1:] - p[:, :-1] ** 2) ** 2 + (1 - p[:, :-1]) ** 2).sum(axis=1)
 
 
-def threshold_system(bars: DataFrame, symbol: str, most: int, least_trades: int = 1, x: str = "x") -> Evaluate:
-    """Total return of (long lookback, short %, short threshold, long threshold) on one series.
+class ThresholdSystem:
+    """Total return of (long lookback, short %, short threshold, long threshold) on one series, as an ``Evaluate``.
 
     The series' means are worked out once and kept; a generation is a small
-    relation that is exploded beside each bar and folded per candidate.
+    relation that is exploded beside each bar and folded per candidate. A candidate
+    with fewer than ``least`` trades has failed.
     """
-    from . import grids
-    from .indicators import MARKET
 
-    held = grids.with_means(bars.where(F.col("symbol") == symbol), x, most, MARKET).withColumn("_next", F.lead(x).over(Window.partitionBy("symbol").orderBy("i")) - F.col(x))
-    held = held.where(F.col("_next").isNotNull() & (F.col("i") >= most - 1)).select("i", "m", "_next").persist()
+    def __init__(self, bars: DataFrame, symbol: str, most: int, least: int = 1, x: str = "x"):
+        from . import grids
+        from .indicators import MARKET
 
-    def evaluate(points: np.ndarray) -> np.ndarray:
+        held = grids.with_means(bars.where(F.col("symbol") == symbol), x, most, MARKET).withColumn("_next", F.lead(x).over(Window.partitionBy("symbol").orderBy("i")) - F.col(x))
+        self._held = held.where(F.col("_next").isNotNull() & (F.col("i") >= most - 1)).select("i", "m", "_next").persist()
+        self.least = least
+
+    def relax(self) -> None:
+        """A tenth fewer trades are asked for, one at least."""
+        self.least = max(1, self.least * 9 // 10)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
         long = points[:, 0].astype(int)
         short = np.clip((0.01 * points[:, 1] * long).astype(int), 1, np.maximum(long - 1, 1))
         rows = [(k, int(a), int(b), float(s) / 1e4, float(t) / 1e4) for k, (a, b, s, t) in enumerate(zip(short, long, points[:, 2], points[:, 3], strict=True))]
         cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s"), F.lit(t).alias("t")) for k, a, b, s, t in rows])
-        out = held.select("m", "_next", F.explode(cells).alias("c")).select("_next", "m", "c.*")
+        out = self._held.select("m", "_next", F.explode(cells).alias("c")).select("_next", "m", "c.*")
         change = F.try_divide(F.element_at("m", F.col("a")), F.element_at("m", F.col("b"))) - 1
         signal = F.when(change > F.col("t"), 1).when(change < -F.col("s"), -1).otherwise(0)
         found = out.groupBy("k").agg(F.sum(signal * F.col("_next")).alias("total"), F.sum(F.abs(signal)).alias("trades")).collect()
         values = np.full(len(points), -1e20)
         for r in found:
-            if r["trades"] >= least_trades:
+            if r["trades"] >= self.least:
                 values[r["k"]] = r["total"]
         return values
 
-    return evaluate
+
+def threshold_system(bars: DataFrame, symbol: str, most: int, least_trades: int = 1, x: str = "x") -> ThresholdSystem:
+    return ThresholdSystem(bars, symbol, most, least_trades, x)

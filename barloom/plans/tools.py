@@ -395,7 +395,7 @@ def evolved_system(bars: DataFrame, symbol: str, most: int = 30, population: int
     bounds = optimize.Bounds((2.0, 0.01, 0.0, 0.0), (float(most), 99.0, 300.0, 300.0), 1)
     evaluate = optimize.threshold_system(bars, symbol, most, least)
     shifted = lambda p: evaluate(p) + 10.0  # noqa: E731  criteria must be positive
-    best, value, _ = optimize.differential_evolution(shifted, bounds, population, generations, seed=seed)
+    best, value, _ = optimize.differential_evolution(shifted, bounds, population, generations, seed=seed, relax=evaluate.relax)
     return best, value - 10.0, optimize.sensitivity(evaluate, best, bounds, 8)
 
 

@@ -180,3 +180,29 @@ def test_optimizers():
     assert optimize.solve(np.array([[2.0, 3.0], [4.0, 1.0]]), np.array([8.0, 10.0])) == pytest.approx([2.2, 1.2])
     legal, penalty = optimize.legalize(np.array([[2.5, 9.0]]), optimize.Bounds((0.0, 0.0), (5.0, 5.0), 1))
     assert legal.tolist() == [[3.0, 5.0]] and penalty[0] == 4e10
+
+
+def test_weights_and_far_means(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)) + 1e6
+    y = (x - 1e6) @ [1.0, 0.0, -2.0] + 1e7 + 0.1 * rng.normal(size=200)
+    w = rng.integers(1, 4, size=200)
+    rows = [(*map(float, r), float(t), float(v)) for r, t, v in zip(x, y, w, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, w double")
+    m = models.gather(df, ["a", "b", "c"], "y", weight="w")[0]
+    gram, xy, means, scales, ymean, yscale = models.standardized(m)
+    z, t = (x - x.mean(axis=0)) / x.std(axis=0), (y - y.mean()) / y.std()
+    assert gram == pytest.approx((z * w[:, None]).T @ z / w.sum(), abs=1e-6) and xy == pytest.approx((z * w[:, None]).T @ t / w.sum(), abs=1e-6)
+    model = models.fit(df, ["a", "b", "c"], "y", 0.0, weight="w")
+    assert np.array(model.beta) * model.yscale / np.array(model.xscales) == pytest.approx([1, 0, -2], abs=0.05) and model.xmeans == pytest.approx(x.mean(axis=0).tolist())
+
+
+def test_trades_are_asked_for_less_after_failures():
+    least = [100]
+
+    def evaluate(points):
+        return np.where(points[:, 0] * 10 >= least[0], points[:, 0], -1.0)
+
+    relax = lambda: least.__setitem__(0, max(1, least[0] * 9 // 10))
+    best, value, _ = optimize.differential_evolution(evaluate, optimize.Bounds((0.0, 0.0), (5.0, 1.0)), 20, 5, seed=1, relax=relax, failures=50)
+    assert value > 0 and least[0] < 60
