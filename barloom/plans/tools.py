@@ -372,6 +372,7 @@ def combined_model(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int
     The JSON holds the model, the specs of its features and the settings, so that ``model_predictions`` can apply it to other bars.
     """
     df, names, specs = combined_features(bars.where(F.col("symbol") == symbol), **kw)
+    df = df.persist()  # one market's features, read by the pivots, the sums and the predictions
     last = df.agg(F.max("i")).first()[0]
     edge = (last or 0) + 1 - n_test
     train = df.where(F.col("i") < edge).dropna().withColumn("block", F.least(F.floor(F.col("i") * n_folds / edge), F.lit(n_folds - 1)).cast("int"))
