@@ -33,10 +33,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     else:
         shingles = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    return majority(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned SimHash of 64-bit hashes: the bits that are set in over half of them."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounded memory for texts of any length
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8", casting="unsafe").view(np.uint8).reshape(-1, BYTES), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
