@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, trimmed, worker_cache
 
 #: A word is a run of letters (and of other signs that count as alphabetic). Of a longer run every WORD_CHARS
 #: letters are a word, so scripts without blanks and very long runs are read whole as well.
@@ -249,7 +249,7 @@ class _Emissions(dict):
 
 #: Words whose emissions a worker remembers, and words that are decoded at once.
 CACHE, AT_ONCE = 200_000, 250_000
-_kept: dict[str, _Emissions] = {}
+_kept: dict[str, _Emissions] = worker_cache("language")
 
 
 class Tagger:
@@ -345,7 +345,7 @@ def predict(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col
             columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run, "language"), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
@@ -376,4 +376,4 @@ def keep_identified(documents: DataFrame, text_col: str = "text", id_col: str =
             found = tagger.texts(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run, "language"), documents.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, text_or_empty, written
+from .common import named, text_or_empty, trimmed, written
 
 WILDCARD = b"<*>"
 #: Leading tokens below the token count on a line's path through the tree.
@@ -83,17 +83,19 @@ def _keys(exact: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, marks, lines, keys = [], [], [], []
-            for doc_id, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for n, key in _line_keys(text, exact):
-                    docs.append(doc_id)
-                    marks.append(mark)
-                    lines.append(n)
-                    keys.append(key)
-            columns = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_mark", "_line", "_key"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                docs, marks, lines, keys = [], [], [], []
+                for doc_id, mark, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    for n, key in _line_keys(text, exact):
+                        docs.append(doc_id)
+                        marks.append(mark)
+                        lines.append(n)
+                        keys.append(key)
+                columns = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_mark", "_line", "_key"])
 
-    return run
+    return trimmed(run)
 
 
 #: Rows of which the line keys are held at once.
@@ -125,7 +127,7 @@ def _gone(found, exact: bool):
                             lost[rows[j]].add(lines[j])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(x) for x in lost], pa.list_(pa.int32()))], names=[*part.schema.names, "_dropped"])
 
-    return run
+    return trimmed(run)
 
 
 def _held(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,14 +7,13 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, worker_cache, written
 
 #: Runs and words whose ids a worker remembers; beyond that it forgets them and starts anew.
 RUN_CACHE, WORD_CACHE = 150_000, 300_000
@@ -87,10 +86,12 @@ class _RunIds(dict):
         return found
 
 
-@cache
 def _encoder(path: str) -> WordEncoder:
     """One encoder a worker process, so that later tasks find what earlier ones learnt."""
-    return WordEncoder(path)
+    held = worker_cache("packing")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -109,7 +110,7 @@ def _cut(tokenizer_path: str, capacity: int, end_id: int):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECES.types, strict=True)], schema=PIECES)
 
-    return cut
+    return trimmed(cut, "packing")
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from barloom.llm import common, near_copies, simhash
 
 from .test_near_copies import SCHEMA, edited, plain_classes
@@ -79,6 +80,21 @@ def test_the_sample_grows_with_the_table(spark, monkeypatch):
     assert set(shared.tolist()) == set(common_.tolist()) and counts.min() >= 25 and (np.diff(common_) > 0).all()
 
 
+def test_pipeline_stages_hand_small_batches_to_workers(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            spark.conf.set(name, 10_000)
+            stage(spark, docs, sf_dir)
+            assert spark.conf.get(name) == "1000"
+        spark.conf.set(name, 10)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_workers_drop_what_other_stages_keep():
     kept = common.worker_cache("language")
     kept["field"] = object()
