@@ -63,4 +63,41 @@ m AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_t
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({base}) AS base_failed, ({rules}) AS kept, n_stop_words, n_lines FROM m"""
 
 
-ORACLE_SQL = {"op2_sharding": sharding(), "op3_exact_dedup": exact_dedup(), "op6_quality": quality()}
+def _nibbles(text: str) -> str:
+    """A text's nibbles, low ones first, as a list."""
+    digit = f"(instr('0123456789ABCDEF', substr(hex(encode({text})), CAST(i + 2 - 2 * (i % 2) AS BIGINT), 1)) - 1)::BIGINT"
+    return f"list_transform(range(2 * strlen({text})), lambda i: {digit})"
+
+
+def conversation_repair() -> str:
+    """Paths of the edits state by state: of each state of the grammar the cheapest cost, its edits and the turns kept."""
+    far = "{'c': 1000000000, 'a': '', 'k': ''}"
+    plus = lambda x, cost, label, kept: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{label}', 'k': {x}.k || {kept}}}"
+    least = lambda *found: f"list_min([{', '.join(found)}])"
+    said = lambda role, text="''": f"chr(10) || {role} || ':' || {text}"
+    insert = lambda x, role: plus(x, 5, "I", said(f"'{role}'"))
+    only = lambda when, x: f"CASE WHEN {when} THEN {x} ELSE {far} END"
+    fine, more = "fault NOT IN (1, 2)", "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+    keep = lambda x: plus(x, more, "K", said("role", "text"))
+    to = lambda x, role: f"CASE WHEN NOT ({fine}) THEN {far} WHEN initial = '{role[0]}' THEN {keep(x)} ELSE {plus(x, f'{more} + 1', 'R', said(repr(role), 'text'))} END"
+    gone = lambda x: plus(x, 2, "D", "''")
+    closed = f"SELECT conv_id, i, e, s, u, {least('a', insert('u', 'assistant'))} AS a FROM (SELECT conv_id, i, e, s, {least('u', *(insert(x, 'user') for x in 'esa'))} AS u, a FROM p)"
+    step = f"{gone('e')} AS e, {least(gone('s'), only(f'{fine} AND initial = {chr(39)}s{chr(39)}', keep('e')))} AS s, {least(gone('u'), *(to(x, 'user') for x in 'esa'))} AS u, {least(gone('a'), to('u', 'assistant'))} AS a"
+    return f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+n AS (SELECT *, {_nibbles('k')} AS nib FROM d), x AS (SELECT conv_id, turn, role, text, {crc32('nib')} % 20 AS kind FROM n),
+r AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM x WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM r),
+f AS (SELECT conv_id, turn, role, text, i, initial, CASE WHEN NOT regexp_matches(text, '{WORDS}') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?]{BLANKS}*$') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS met FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'k': ''}} AS e, {far} AS s, {far} AS u, {far} AS a FROM ids
+  UNION ALL SELECT q.conv_id, f.i, {step} FROM ({closed}) q JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i + 1),
+z AS (SELECT conv_id, i, {least('e', 'a')} AS best FROM ({closed}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (met NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.k, 2)) AS repaired_sha256 FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+ORACLE_SQL = {"op2_sharding": sharding(), "op3_exact_dedup": exact_dedup(), "op6_quality": quality(), "op11_conversation_repair": conversation_repair()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, token_trees
+from . import context_tree, conversation_repair, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, token_trees
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, there = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair_report(rows, there=there)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pieces": op1_pieces,
     "op2_sharding": op2_sharding,
@@ -67,4 +72,5 @@ QUERIES: dict[str, Query] = {
     "op8_line_templates": op8_line_templates,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_conversation_repair": op11_conversation_repair,
 }
