@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, conversation_repair, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, token_trees
+from . import context_tree, conversation_repair, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, spelling_variants, token_trees
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(rows, there=there)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_documents(spark, sf_dir), damage=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pieces": op1_pieces,
     "op2_sharding": op2_sharding,
@@ -73,4 +77,5 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
