@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality import RULES, STOP_WORDS, SYMBOLS, WINDOW
 from .sharding import HASH_BITS
+from .spelling_variants import LETTERS, LOWER, MIN_COUNT, MIN_LENGTH, RATIO, UPPER
 
 BLANKS = r"[\x20\x09-\x0D]"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -100,4 +101,22 @@ SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
   CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.k, 2)) AS repaired_sha256 FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
 
-ORACLE_SQL = {"op2_sharding": sharding(), "op3_exact_dedup": exact_dedup(), "op6_quality": quality(), "op11_conversation_repair": conversation_repair()}
+def spelling_variants() -> str:
+    """Near words by equal single deletions at one place, or a word and another's deletion; roots by recursion."""
+    return f"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '{LETTERS}{{{MIN_LENGTH},}}')) AS run FROM documents),
+w AS (SELECT id, translate(run, '{UPPER}', '{LOWER}') AS word, count(*) AS c FROM r GROUP BY ALL),
+h AS (SELECT word, c, {crc32('nib')} AS h FROM (SELECT word, c, {_nibbles("id || ':' || word")} AS nib FROM w)),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN left(word, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, c FROM h),
+n AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+k AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT DISTINCT a.word, a.n, b.word, b.n FROM n a JOIN k b ON a.word = b.key
+  UNION ALL SELECT DISTINCT b.word, b.n, a.word, a.n FROM n a JOIN k b ON a.word = b.key),
+b AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min((-near_n, near)) AS best FROM p GROUP BY word),
+f AS (SELECT word, n_near, CASE WHEN -best[1] >= {RATIO} * n THEN best[2] END AS form, CASE WHEN -best[1] >= {RATIO} * n THEN -best[1] END AS form_n FROM b),
+t AS (SELECT word, form AS root, 1 AS hops FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form, hops + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, hops) AS root FROM t GROUP BY word)
+SELECT n.word, form, coalesce(root, n.word) AS root, n.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM n LEFT JOIN f ON f.word = n.word LEFT JOIN e ON e.word = n.word"""
+
+
+ORACLE_SQL = {"op2_sharding": sharding(), "op3_exact_dedup": exact_dedup(), "op6_quality": quality(), "op11_conversation_repair": conversation_repair(), "op12_spelling_variants": spelling_variants()}

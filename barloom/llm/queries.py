@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, conversation_repair, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, spelling_variants, token_trees
+from . import context_tree, conversation_repair, embedding_dedup, exact_dedup, language, line_templates, packing, piece_lattice, quality, sharding, simhash, spelling_variants, token_trees
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_documents(spark, sf_dir), damage=True)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pieces": op1_pieces,
     "op2_sharding": op2_sharding,
@@ -78,4 +82,5 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
