@@ -319,13 +319,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(training: DataFrame, text_col: str) -> DataFrame:
     """``word, n`` over all training texts, folded per task before the shuffle."""
-    rows = training.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_count_words, "word binary, n long")
+    rows = training.select(named(text_col).cast("string").alias("t")).mapInArrow(_count_words, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Every fifth document, by crc32 of its id as text, is scored but not learnt from."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
 def _score_rows(head, words):

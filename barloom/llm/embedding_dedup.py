@@ -27,7 +27,7 @@ COSINE = 0.9
 #: Leading principal dimensions; the length of what they leave is one more.
 LEADING = 16
 #: Vectors of a page at most, bytes of its vectors at most, and intervals that one of the next level joins.
-PAGE, PAGE_BYTES, FAN = 4096, 1 << 23, 8
+PAGE, PAGE_BYTES, FAN = 8192, 1 << 22, 8
 #: Vectors of an interval that is not halved again.
 LEAF = 256
 #: Room for rounding where intervals are compared, and where single-precision products decide nothing.
@@ -129,7 +129,7 @@ def apart(a: tuple, b: tuple, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     return far, centres + reach <= epsilon - SLACK
 
 
-def _pages(width: int, mean: np.ndarray, directions: np.ndarray, page: int):
+def _pages(width: int, mean: np.ndarray, directions: np.ndarray, page: int, stored: str):
     kind = pa.schema([("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("vecs", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _pages(width: int, mean: np.ndarray, directions: np.ndarray, page: int):
             x = np.concatenate(rows)
             u = unit(x)
             low, high, centre, radius = summary(places(u, mean, directions), u)
-            values = [np.concatenate(ids).tolist(), np.concatenate(ns).tolist(), x.tobytes(), low.tolist(), high.tolist(), centre.tolist(), radius]
+            values = [np.concatenate(ids).tolist(), np.concatenate(ns).tolist(), x.astype(stored).tobytes(), low.tolist(), high.tolist(), centre.tolist(), radius]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, kind, strict=True)], schema=kind)
 
         for batch in batches:
@@ -199,9 +199,8 @@ def _expanded(pairs: DataFrame, nodes: DataFrame, epsilon: float) -> DataFrame:
 class _Intervals:
     """A page's vectors with boxes and balls of its halves, made when they are asked for."""
 
-    def __init__(self, vecs: bytes, ns: np.ndarray, ids: np.ndarray, width: int, mean: np.ndarray, directions: np.ndarray):
-        self.x = np.frombuffer(vecs, np.float64).reshape(-1, width)
-        self.u = unit(self.x)
+    def __init__(self, vecs: bytes, ns: np.ndarray, ids: np.ndarray, width: int, mean: np.ndarray, directions: np.ndarray, stored: str):
+        self.u = unit(np.frombuffer(vecs, stored).astype(np.float64).reshape(-1, width))
         self.at = places(self.u, mean, directions)
         self.single = self.u.astype(np.float32)
         self.ns, self.ids = ns, ids
@@ -285,12 +284,12 @@ def join_pages(a: _Intervals, b: _Intervals, epsilon: float, cosine: float) -> t
     return spanning(np.concatenate(heads), np.concatenate(tails))
 
 
-def _met(width: int, mean: np.ndarray, directions: np.ndarray, epsilon: float, cosine: float):
+def _met(width: int, mean: np.ndarray, directions: np.ndarray, epsilon: float, cosine: float, stored: str):
     """Two pages of a pair to ``id, to, n``: counts of links (``to`` null) and links that hold classes together (``n`` null)."""
 
     def page(rows: pa.Table) -> _Intervals:
         ids, ns = (np.asarray(rows.column(c)[0].values).astype(np.int64) for c in ("ids", "ns"))
-        return _Intervals(rows.column("vecs")[0].as_buffer(), ns, ids, width, mean, directions)
+        return _Intervals(rows.column("vecs")[0].as_buffer(), ns, ids, width, mean, directions, stored)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a = page(left)
@@ -310,10 +309,11 @@ def _met(width: int, mean: np.ndarray, directions: np.ndarray, epsilon: float, c
     return run
 
 
-def links(vectors: DataFrame, width: int, cosine: float = COSINE, page: int | None = None, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, width: int, cosine: float = COSINE, page: int | None = None, fan: int = FAN, stored: str = "f8") -> tuple[DataFrame, DataFrame]:
     """``id, n_links`` and links ``a, b`` that hold the classes together, for vectors ``id, n, vec`` (different ids, n rows each, all usable).
 
     ``n_links`` counts the rows of all other vectors with the cosine; a vector with none has no row.
+    Pages hold numbers as ``stored``, f4 where they came as floats.
     """
     epsilon = math.sqrt(2 - 2 * cosine)
     page = page or max(1, min(PAGE, PAGE_BYTES // (8 * width)))
@@ -323,7 +323,7 @@ def links(vectors: DataFrame, width: int, cosine: float = COSINE, page: int | No
     paged = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "vec")
     kind = "ids array<long>, ns array<long>, vecs binary, low array<double>, high array<double>, centre array<double>, radius double"
     # the order of the pages is that of the sequence: partitions in turn, pages of each in turn
-    pages = written(paged.mapInArrow(_pages(width, mean, directions, page), kind).withColumn("node", F.monotonically_increasing_id()), "pages")
+    pages = written(paged.mapInArrow(_pages(width, mean, directions, page, stored), kind).withColumn("node", F.monotonically_increasing_id()), "pages")
     ends = pages.select(F.shiftright("node", 33).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("c")).orderBy("part").collect()  # a row a partition
     before = np.cumsum([0] + [r["c"] for r in ends]).tolist()
     if not before[-1]:
@@ -352,7 +352,7 @@ def links(vectors: DataFrame, width: int, cosine: float = COSINE, page: int | No
         rows = pairs.join(pages.select(F.col("node").alias(s), "ids", "ns", "vecs"), s).withColumn("same", F.col("a") == F.col("b"))
         return rows.select(*[F.col(c).alias(c) for c in ("a", "b", "same", "ids", "ns", "vecs")])  # columns of their own for each side
 
-    met = side("a").groupBy("a", "b").cogroup(side("b").groupBy("a", "b")).applyInArrow(_met(width, mean, directions, epsilon, cosine), "id long, to long, n long")
+    met = side("a").groupBy("a", "b").cogroup(side("b").groupBy("a", "b")).applyInArrow(_met(width, mean, directions, epsilon, cosine, stored), "id long, to long, n long")
     met = written(met, "met")
     counts = met.where("to IS NULL").select("id", "n")
     edges = met.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b"))
@@ -398,7 +398,8 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     distinct = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("_least"), F.first("vec").alias("vec"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     width = distinct.agg(F.max(F.size("vec"))).first()[0] or 1
-    counts, edges = links(distinct, width, cosine, page, fan)
+    single = table.schema[vec_col].dataType.simpleString() == "array<float>"
+    counts, edges = links(distinct, width, cosine, page, fan, "f4" if single else "f8")
     roots = connected(edges).withColumnRenamed("node", "id")
     known = distinct.select("_key", "id", "n", "_least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = written(known.join(counts, "id", "left"), "known")

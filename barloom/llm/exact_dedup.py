@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import named, text_or_empty, written
 
 #: A text is the polynomial of its UTF-8 bytes at 256, taken modulo each of two primes.
 #: Both are safe primes, so the powers of 256 do not repeat within any real text.
@@ -136,7 +136,7 @@ def exact_dedup(
     that comparison; beyond it the join is shuffled. Texts of any length are read
     whole, in segments.
     """
-    rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = df.select(named(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     prints = written(fingerprints(rows, primes, segment_bytes), "prints")
     groups = written(
         prints.groupBy("f0", "f1", "_n").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups"

@@ -368,6 +368,8 @@ def keep_identified(documents: DataFrame, text_col: str = "text", id_col: str =
     empty table gives an empty result.
     """
     model = documents.sparkSession.sparkContext.broadcast(train(documents, id_col, text_col, lang_col, settings))
+    # places for names: an extra column may be called anything, dots and all
+    plain = documents.select(*[named(c).alias(f"c{k}") for k, c in enumerate(documents.columns)])
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,4 +378,5 @@ def keep_identified(documents: DataFrame, text_col: str = "text", id_col: str =
             found = tagger.texts(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return documents.mapInArrow(trimmed(run, "language"), documents.schema)
+    kept = plain.mapInArrow(trimmed(run, "language"), plain.schema)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import trimmed, worker_cache, written
+from .common import named, trimmed, worker_cache, written
 
 #: Runs and words whose ids a worker remembers; beyond that it forgets them and starts anew.
 RUN_CACHE, WORD_CACHE = 150_000, 300_000
@@ -120,7 +120,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096
     one piece, the end id alone. The ids stay in the task: what goes on is 36
     bytes a piece.
     """
-    held = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    held = documents.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("_text"))
     return held.mapInArrow(_cut(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import named
+
 #: Hash values are the first 52 bits of an MD5 digest, so any engine can repeat them.
 HASH_BITS = 52
 
@@ -99,14 +101,14 @@ def shard_manifest(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     now = [(s, 1.0) for s in range(n_shards)]
     grown = [(s, 1.0) for s in range(n_shards + 1)]
-    text = F.col(text_col).cast("string")
+    text = named(text_col).cast("string")
     digest = documents.select(
-        F.col(id_col).alias("doc_id"),
+        named(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col(id_col), now).alias("shard"),
-        rendezvous(F.col(id_col), grown).alias("grown_shard"),
+        rendezvous(named(id_col), now).alias("shard"),
+        rendezvous(named(id_col), grown).alias("grown_shard"),
     )
     slots = number_slots(digest, "shard", "doc_id", ("text_crc32", "size"), documents.count(), n_shards)
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

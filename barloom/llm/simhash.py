@@ -59,7 +59,7 @@ def _fingerprints(words: int):
 
 def simhashes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long), one row per input row."""
-    held = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    held = documents.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("_text"))
     return held.mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 

@@ -44,10 +44,10 @@ def test_stages_keep_odd_rows_and_clashing_columns(spark, sf_dir):
     """Null and empty texts go with the first stage; null ids, repeated rows, a very long text and clashing columns come through."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(60).collect()
     kept = [r for r in docs if quality_of(r.text)[-1]]
-    rows = [(r.doc_id, r.text, r.lang, "_row", "_text", 1) for r in kept]
+    rows = [(r.doc_id, r.text, r.lang, "_row", "_text", 1, "dotted") for r in kept]
     long = " ".join(f"{w}{k}" if k % 9 == 0 else w for k, w in enumerate(" ".join(r.text for r in kept).split() * 8))
-    rows += [(None, kept[0].text + " and some more", "en", "r", "t", 2), (9001, None, None, "r", "t", 3), (9002, "", "en", "r", "t", 4), rows[1], rows[1], (9003, long, "en", "r", "t", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string, _text string, fp int")
+    rows += [(None, kept[0].text + " and some more", "en", "r", "t", 2, "d"), (9001, None, None, "r", "t", 3, "d"), (9002, "", "en", "r", "t", 4, "d"), rows[1], rows[1], (9003, long, "en", "r", "t", 5, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string, _text string, fp int, `a.b` string")
     now = df
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, sf_dir)
