@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dist, rng
 from ..operators import backtest, grids, indicators as ind, models, optimize
-from ..sources import tables
-from ..streaming import bars as minute
+from ..sources import exchange, tables
+from ..sources.scratch import shared_folder
+from ..streaming import bars as minute, trade_log
 from . import catalog, tail_sql, tools
 from .grid_queries import ALIGNED, breakout_folds_sql, chooser_sql, crossover_folds_sql, kind_sql
 from .indicator_queries import TR, atr_sql, expansion_sql, full, jump_sql, slope_sql, sql, w
@@ -20,23 +21,103 @@ from .resample_queries import CSCV, LEVELS, PICK, accel_sql, bca_sql, cscv_sql,
 TICKS = "SELECT event_type AS symbol, ts, event_id, value FROM events"
 
 
+SEGMENTS = 12
+#: One trade in so many reaches the recorder so many segments late.
+DELAYED, DELAY = 97, 3
+
+
+def recorded(ticks, segments: int = SEGMENTS, delayed: int = 0):
+    """Trades as ``channel, segment, value`` in the order of time; one in ``delayed`` stands some segments later. The last segment has the row that closes the replay."""
+    ends = ticks.agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    share = (F.unix_micros("ts") - F.unix_micros("_a")) / (F.unix_micros("_b") - F.unix_micros("_a") + 1)
+    place = F.floor(share * segments)
+    late = F.when(F.col("seq") % delayed == 0, DELAY).otherwise(0) if delayed else F.lit(0)
+    rows = ticks.join(F.broadcast(ends), F.lit(True)).withColumn("segment", F.least(place + late, F.lit(segments - 1)).cast("int"))
+    last = minute.closed(ticks).where(F.col("symbol") == minute.END).withColumn("segment", F.lit(segments).cast("int"))
+    both = trade_log.messages(rows.select(*ticks.columns, "segment").unionByName(last))
+    return both.select(F.lit("spot").alias("channel"), F.format_string("%05d", "segment").alias("segment"), "value")
+
+
+def own_session(spark):
+    """A session whose streams keep their state in as many partitions as there are cores, not in as many as large batches take."""
+    made = spark.newSession()
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    made.conf.set("spark.sql.shuffle.partitions", max(1, few))
+    made.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return made
+
+
+BAR_COLUMNS = "ts timestamp, open double, high double, low double, close double, volume double, n long, symbol string"
+
+
+def run_stream(spark, home: str, steps, rows, segments: int = 1) -> dict[str, int]:
+    """Bars of the log in ``home`` while it grows: ``rows(step)`` is appended at each step, and the stream is stopped and started again at each.
+
+    Gives how many batches ran. Bars are in ``home/bars``, trades in ``home/log``.
+    """
+    streams = own_session(spark)
+    for step in steps:
+        trade_log.record(rows(step), f"{home}/log")
+        ticks = minute.parse_trades(trade_log.read_log(streams, f"{home}/log", segments=segments, progress=f"{home}/progress"))
+        query = minute.write_bars(minute.minute_bars(ticks, late="2 hours", counted=True), f"{home}/bars", f"{home}/checkpoint", once=False)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    fs, path = trade_log.located(home)
+    done = fs.get_file_info(trade_log.pa_fs.FileSelector(f"{path}/checkpoint/commits"))
+    return {"batches": sum(not i.base_name.startswith(".") for i in done)}
+
+
 def stream_query(spark, sf_dir):
-    """The tick stream run to its end through the checkpointed file sink, read back: every minute of every symbol, once."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
+    """The recorded trades as a stream in many batches, stopped and started again half-way, the rest recorded meanwhile: every minute of every symbol, once."""
+    home = shared_folder(spark)
+    ticks = tables.ticks(spark, sf_dir)
+    rows = written_log(recorded(ticks), home)
+    half = f"{SEGMENTS // 2:05d}"
+    run_stream(spark, home, (0, 1), lambda k: rows.where((F.col("segment") < half) if k == 0 else (F.col("segment") >= half)))
+    return spark.read.schema(BAR_COLUMNS).parquet(f"{home}/bars").select("symbol", F.date_format("ts", "yyyyMMdd HH:mm").alias("minute"), "open", "high", "low", "close", "volume")
+
+
+def written_log(rows, home: str):
+    """The recorded rows as a table, of which a step reads its own segments alone."""
+    rows.write.partitionBy("segment").parquet(f"{home}/recorded")
+    return rows.sparkSession.read.schema("channel string, value string, segment string").parquet(f"{home}/recorded")
 
+
+def late_query(spark, sf_dir):
+    """The stream over trades of which some arrive late, a restart a segment: how many each bar holds and how many came too late for it."""
+    home = shared_folder(spark)
     ticks = tables.ticks(spark, sf_dir)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or mkdtemp(prefix="barloom-stream-")
-    home = f"{root.rstrip('/')}/stream-{uuid4().hex}"
-    minute.closed(ticks).write.parquet(f"{home}/ticks")
-    # a replay's files are in no order of time, so all of them are one batch and none is late
-    stream = minute.minute_bars(minute.tick_stream(spark, f"{home}/ticks", ticks.schema, files=1 << 30), late="2 hours")
-    minute.write_bars(stream, f"{home}/bars", f"{home}/checkpoint").awaitTermination()
-    out = "ts timestamp, open double, high double, low double, close double, volume double, symbol string"
-    return spark.read.schema(out).parquet(f"{home}/bars").select("symbol", F.date_format("ts", "yyyyMMdd HH:mm").alias("minute"), "open", "high", "low", "close", "volume")
+    rows = written_log(recorded(ticks, delayed=DELAYED), home)
+    run_stream(spark, home, range(SEGMENTS + 1), lambda k: rows.where(F.col("segment") == f"{k:05d}"))
+    bars = spark.read.schema(BAR_COLUMNS).parquet(f"{home}/bars")
+    stored = minute.parse_trades(spark.read.text(f"{home}/log")).where(F.col("symbol") != minute.END)
+    return minute.late_trades(stored, bars).select("symbol", F.date_format("ts", "yyyyMMdd HH:mm").alias("minute"), "kept", "late")
+
+
+def kline_query(spark, sf_dir):
+    """Daily bars through the exchange's pages: recorded pages overlap, the archive holds their bars twice, the paged source gives each once."""
+    path = f"{shared_folder(spark)}/klines"
+    bars = tables.daily_bars(spark, sf_dir)
+    held = bars.select("symbol", (F.unix_date("dt").cast("long") * DAY).alias("ts"), "open", "high", "low", "close", "volume")
+    again = held.where(F.pmod(F.floor(F.col("ts") / DAY), F.lit(50)) < 3)  # the end of one page and the start of the next
+    exchange.archive(held.unionByName(again), path, block=100)
+    exchange.register(spark)
+    read = spark.read.format("klines").options(path=path, limit="200").load()
+    return read.select("symbol", F.date_format(F.timestamp_millis("ts"), "yyyyMMdd").alias("day"), "open", "high", "low", "close", "volume")
+
+
+DAY = 86_400_000
+
+
+def late_sql() -> str:
+    place = f"CAST(floor((epoch_us(ts) - a) / (b - a + 1) * {SEGMENTS}) AS INTEGER)"
+    return f"""WITH e AS (SELECT event_type AS symbol, ts, event_id, min(epoch_us(ts)) OVER () AS a, max(epoch_us(ts)) OVER () AS b FROM events),
+p AS (SELECT symbol, ts, least({place} + CASE WHEN event_id % {DELAYED} = 0 THEN {DELAY} ELSE 0 END, {SEGMENTS - 1}) AS segment FROM e),
+s AS (SELECT segment, max(max(ts)) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM p GROUP BY segment),
+m AS (SELECT symbol, date_trunc('minute', ts) AS minute, coalesce(date_trunc('minute', ts) + INTERVAL 1 MINUTE <= date_trunc('millisecond', mark), false) AS late FROM p JOIN s USING (segment))
+SELECT symbol, strftime(minute, '%Y%m%d %H:%M') AS minute, count(*) FILTER (NOT late) AS kept, count(*) FILTER (late) AS late FROM m GROUP BY symbol, m.minute HAVING count(*) FILTER (late) > 0"""
 
 
 def entropy_sql(n: int, bins: int) -> str:
@@ -212,6 +293,8 @@ def register(add) -> None:
     minutes = "SELECT event_type AS symbol, strftime(date_trunc('minute', ts), '%Y%m%d %H:%M') AS minute, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2"
     add("tick_bars", lambda s, d: minute.minute_bars(tables.ticks(s, d)).select("symbol", F.date_format("ts", "yyyyMMdd HH:mm").alias("minute"), "open", "high", "low", "close", "volume"), minutes)
     add("streamed_bars", stream_query, minutes)
+    add("late_trades", late_query, late_sql())
+    add("paged_klines", kline_query, sql("symbol, strftime(dt, '%Y%m%d') AS day, open, high, low, close, volume", "one AS (SELECT 1)", "bars0"))
     add("entropy_report", lambda s, d: q(tools.entropy_report(bars(s, d))), entropy_sql(10, 10))
     add("stationarity_report", lambda s, d: tools.stationarity_report(bars(s, d)), stationarity_sql(10, 0.5))
     best = "bc AS (SELECT symbol, max(v) * 1000 AS b FROM (SELECT symbol, avg(ret) AS v FROM rows2 GROUP BY symbol, short, long) GROUP BY symbol), pr AS (SELECT " + CSCV + " FROM rk GROUP BY symbol)"

@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,10 +73,44 @@ def test_klines(spark, tmp_path):
     row = exchange.tickers(spark.createDataFrame([(tick,)], "value string")).first()
     assert (row.last_price, row.volume) == (7.5, None)
     assert exchange.pages(0, 9, 1, 4) == [(6, 9), (2, 5), (0, 1)]
-    path = file(tmp_path, "".join(json.dumps({"symbol": "S", "ts": t, "open": 1, "high": 2, "low": 1, "close": 1, "volume": 1}) + "\n" for t in range(10)), "k.json")
+
+
+def kline_archive(spark, path, block=4):
+    rows = [(s, t, float(t), t + 1.0, t - 1.0, float(t), 2.0) for s in ("AAA", "BBB") for t in range(25)]
+    rows += [r for r in rows if r[1] % 6 < 2]  # pages that overlap
+    df = spark.createDataFrame(rows, "symbol string, ts long, open double, high double, low double, close double, volume double")
+    exchange.archive(df, path, block=block)
     exchange.register(spark)
-    held = spark.read.format("klines").options(path=path, start="0", end="9", step="1", limit="4").load()
-    assert held.rdd.getNumPartitions() == 3 and held.count() == 10
+    return spark.read.format("klines").options(path=path, limit="7")
+
+
+def test_pages_of_an_archive_give_each_bar_once(spark, tmp_path):
+    read = kline_archive(spark, str(tmp_path / "klines")).load()
+    assert read.rdd.getNumPartitions() >= 6
+    got = sorted((r.symbol, r.ts, r.open, r.high) for r in read.collect())
+    assert got == [(s, t, float(t), t + 1.0) for s in ("AAA", "BBB") for t in range(25)]
+
+
+def test_filters_and_options_choose_the_bytes_that_are_read(spark, tmp_path):
+    path = str(tmp_path / "klines")
+    read = kline_archive(spark, path)
+    some = read.load().where("symbol = 'BBB' AND ts >= 5 AND ts < 9 AND close <> 7")
+    assert sorted((r.symbol, r.ts) for r in some.collect()) == [("BBB", t) for t in (5, 6, 8)]
+    assert sorted({r.ts for r in read.options(start="20", end="22").load().collect()}) == [20, 21, 22]
+    assert read.load().where("symbol IN ('CCC')").count() == 0
+    reader = exchange.KlineReader({"path": path, "limit": "7"})
+    left = list(reader.pushFilters([exchange.EqualTo(("symbol",), "BBB"), exchange.GreaterThanOrEqual(("ts",), 5), exchange.LessThan(("ts",), 9), exchange.EqualTo(("close",), 7.0)]))
+    assert [f.attribute for f in left] == [("close",)]
+    pages = reader.partitions()
+    whole = sum(os.path.getsize(f) for f in glob.glob(f"{path}/part-*"))
+    taken = []
+    for page in pages:
+        taken += [(f, a, b) for f, a, b in page.runs]
+        rows = [r for batch in reader.read(page) for r in batch.to_pylist()]
+        assert all(r["symbol"] == "BBB" and 5 <= r["ts"] < 9 for r in rows)
+    assert 0 < sum(b - a for _, a, b in taken) < 0.3 * whole
+    every = [run for page in exchange.KlineReader({"path": path}).partitions() for run in page.runs]
+    assert sum(b - a for _, a, b in every) == whole and len({(f, a) for f, a, _ in every}) == len(every)
 
 
 def test_symbols(spark):
