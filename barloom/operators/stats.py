@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dist
+from . import ordered
 
 TINY = 1e-60
 
@@ -43,24 +44,20 @@ def t_two(df: DataFrame, x: str, first: Column, by: Sequence[str] = ()) -> DataF
 def mid_ranks(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``rank`` (the mean of tied places) and ``tied`` (how many share the value)."""
     keys = _keys(by)
-    order = Window.partitionBy(*keys).orderBy(x) if keys else Window.orderBy(x)
-    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("tied"))  # one row a value, so the running sum is short
-    before = F.coalesce(F.sum("tied").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank", before + (F.col("tied") + 1) / 2)
-    return df.join(ranks, [*keys, x])
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("tied"))  # one row a value
+    ranks = ordered.counts_before(counts, x, "tied", keys).withColumn("rank", F.col("before") + (F.col("tied") + 1) / 2)
+    return df.join(ranks.drop("before"), [*keys, x])
 
 
 def mann_whitney(df: DataFrame, x: str, first: Column, by: Sequence[str] = ()) -> DataFrame:
-    """``u, z`` with mid-ranks and the tie correction."""
+    """``u, z`` with mid-ranks and the tie correction; rows are folded to values before any order is made."""
     keys = _keys(by)
-    flag = df.withColumn("_first", first)
-    ranked = mid_ranks(flag, x, by)
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(F.col("_first").cast("int")).alias("n1"),
-        F.sum((~F.col("_first")).cast("int")).alias("n2"),
-        F.sum(F.when(F.col("_first"), F.col("rank"))).alias("r1"),
-        F.sum(F.col("tied").cast("double") * F.col("tied") - 1).alias("ties"),
-    )
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("tied"), F.count_if(first).alias("_first"), F.count_if(~first).alias("_rest"))
+    rank = F.col("before") + (F.col("tied") + 1) / 2
+    tied = F.col("tied").cast("double")
+    sums = ordered.counts_before(counts, x, "tied", keys).groupBy(*keys).agg(
+        F.sum("_first").alias("n1"), F.sum("_rest").alias("n2"), F.sum(F.col("_first") * rank).alias("r1"), F.sum(tied * (tied * tied - 1)).alias("ties"),
+    )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = n1 * n2 + n1 * (n1 + 1) / 2 - F.col("r1")
@@ -68,22 +65,32 @@ def mann_whitney(df: DataFrame, x: str, first: Column, by: Sequence[str] = ()) -
     return sums.select(*keys, u.alias("u"), F.try_divide(u - n1 * n2 / 2, F.sqrt(var)).alias("z"))
 
 
+def _placed_values(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """A row a value: ``tied`` that have it, ``before`` that are less, and ``_n`` of its key."""
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("tied"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return ordered.same(keys, ordered.counts_before(counts, x, "tied", keys), sizes)
+
+
 def ks_uniform(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """``d_plus, d_minus`` against the uniform on (0, 1)."""
     keys = _keys(by)
-    order = Window.partitionBy(*keys).orderBy(x)
-    held = df.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return held.groupBy(*keys).agg(F.max(F.col("_r") / F.col("_n") - F.col(x)).alias("d_plus"), F.max(F.col(x) - (F.col("_r") - 1) / F.col("_n")).alias("d_minus"))
+    held = _placed_values(df, x, keys)
+    above = F.max((F.col("before") + F.col("tied")) / F.col("_n") - F.col(x))
+    return held.groupBy(*keys).agg(above.alias("d_plus"), F.max(F.col(x) - F.col("before") / F.col("_n")).alias("d_minus"))
 
 
 def anderson_darling(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """``a2, p`` against the uniform on (0, 1); terms are floored at 1e-30."""
+    """``a2, p`` against the uniform on (0, 1); terms are floored at 1e-30.
+
+    The odd numbers 2 r - 1 of the places of a value add up to a difference of squares.
+    """
     keys = _keys(by)
-    part = Window.partitionBy(*keys)
-    held = df.withColumn("_r", F.row_number().over(part.orderBy(x))).withColumn("_n", F.count(F.lit(1)).over(part))
-    held = held.withColumn("_back", F.col("_n") + 1 - F.col("_r"))
-    up = (F.col("_r") * 2 - 1) * F.log(F.greatest(F.col(x), F.lit(1e-30)))
-    down = (F.col("_back") * 2 - 1) * F.log(F.greatest(1 - F.col(x), F.lit(1e-30)))
+    held = _placed_values(df, x, keys)
+    square = lambda c: c.cast("double") * c.cast("double")
+    b, after = F.col("before"), F.col("_n") - F.col("before")
+    up = (square(b + F.col("tied")) - square(b)) * F.log(F.greatest(F.col(x), F.lit(1e-30)))
+    down = (square(after) - square(after - F.col("tied"))) * F.log(F.greatest(1 - F.col(x), F.lit(1e-30)))
     sums = held.groupBy(*keys).agg(F.max("_n").alias("n"), F.sum(up + down).alias("s"))
     a2 = -F.col("n") - F.col("s") / F.col("n")
     return sums.withColumn("a2", a2).select(*keys, "a2", F.expr(dist.anderson_darling_sql("a2")).alias("p"))
@@ -175,7 +182,7 @@ def uncertainty(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def order_quantile(x: Column | str, q: float | Column) -> Column:
-    """The order statistic floor(q (n + 1)), clamped: an aggregate over a group of bounded size."""
+    """The order statistic floor(q (n + 1)), clamped: an aggregate over a group of bounded size (``ordered.quantiles`` takes any)."""
     held = F.array_sort(F.collect_list(x))
     k = F.floor((q if isinstance(q, Column) else F.lit(q)) * (F.size(held) + 1)) - 1
     at = F.least(F.greatest(k.cast("int"), F.lit(0)), F.size(held) - 1) + 1
@@ -190,12 +197,16 @@ def moments(x: str) -> list[Column]:
 def roc_area(df: DataFrame, pred: str, gain: str, tie: str, center: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Area under the gain-weighted curve: wins ahead of losses in falling order of ``pred``; 0.5 if one side is missing."""
     keys = _keys(by)
-    part = Window.partitionBy(*keys)
-    value = F.col(gain) - F.avg(gain).over(part) if center else F.col(gain)
-    held = df.withColumn("_g", value)
-    order = part.orderBy(F.col(pred).desc(), F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    held = df.withColumn("_g", F.col(gain))
+    if center:
+        held = ordered.same(keys, df, df.groupBy(*keys).agg(F.avg(gain).alias("_mean"))).withColumn("_g", F.col(gain) - F.col("_mean"))
     held = held.withColumn("_win", F.greatest("_g", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_g"), F.lit(0.0)))
-    held = held.withColumn("_won", F.sum("_win").over(order))
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.col(pred).desc(), F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
+        held = held.withColumn("_won", F.sum("_win").over(order))
+    else:  # one order of all rows, made in blocks
+        narrow = held.select(F.col(pred).alias("_pred"), F.col(tie).alias("_tie"), "_win", "_loss")
+        held = ordered.running(ordered.placed(narrow, [F.col("_pred").desc(), F.col("_tie")]), {"_before": "_win"}).withColumn("_won", F.col("_before") + F.col("_win"))
     sums = held.groupBy(*keys).agg(F.sum(F.col("_won") * F.col("_loss")).alias("a"), F.sum("_win").alias("w"), F.sum("_loss").alias("l"))
     area = F.when((F.col("w") <= 0) | (F.col("l") <= 0), F.lit(0.5)).otherwise(F.try_divide(F.col("a"), F.col("w") * F.col("l")))
     return sums.select(*keys, area.alias("roc_area"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dist, symbols
-from ..operators import indicators as ind, stats
+from ..operators import indicators as ind, ordered, stats
 from ..sources import tables
 from . import catalog, tail_sql
-from .indicator_queries import O, slope_sql, sql
+from .indicator_queries import O, ema_sql, slope_sql, sql
 
 RETURNS = f"ret AS (SELECT symbol, i, x, lead(x) OVER {O} - x AS r FROM bars), rr AS (SELECT * FROM ret WHERE r IS NOT NULL)"
 
@@ -239,3 +239,57 @@ def register(add) -> None:
         lambda s, d: symbols.interval_table(s).select("code", "folder", "millis", symbols.time_text(F.col("code"), F.lit(1_700_000_000_000)).alias("stamp")),
         "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{f}', CAST({m} AS BIGINT), '{'20231114' if c in 'DWM' else '20231114 22:13:20'}')" for c, _, f, m in symbols.INTERVALS) + ") t(code, folder, millis, stamp)",
     )
+
+    # over whole tables without a key, or over series of any length
+    probs = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
+    levels = f"SELECT unnest([{', '.join(map(repr, probs))}])::DOUBLE AS prob"
+    place = "least(greatest(CAST(floor(prob * (n + 1)) AS BIGINT), 1), n)"
+
+    def price_quantiles(by):
+        return lambda s, d: ordered.quantiles(lineitem(s, d), "l_extendedprice", probs, by)
+
+    for name, by in (("price_quantiles", []), ("price_quantiles_by_flag", ["l_returnflag", "l_linestatus"])):
+        keys = "".join(f"{c}, " for c in by)
+        part = f"PARTITION BY {keys.rstrip(', ')}" if by else ""
+        ranked = f"SELECT {keys}l_extendedprice AS v, row_number() OVER ({part} ORDER BY l_extendedprice) AS k, count(*) OVER ({part}) AS n FROM lineitem"
+        add(name, price_quantiles(by), f"WITH p AS ({levels}), r AS ({ranked}) SELECT {keys}prob, n, v AS quantile FROM r, p WHERE k = {place}")
+    rest = lambda s, d: lineitem(s, d).select((F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(100003)) / 100003.0).alias("v"))
+    spread = "u AS (SELECT v, row_number() OVER (ORDER BY v) AS k, count(*) OVER () AS n FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) % 100003 / 100003.0::DOUBLE AS v FROM lineitem))"
+    add("ks_uniform_all", lambda s, d: q(stats.ks_uniform(rest(s, d), "v"), 9), f"WITH {spread} SELECT round(max(k / n - v), 9) AS d_plus, round(max(v - (k - 1) / n), 9) AS d_minus FROM u")
+    whole_ad = f"{spread}, s AS (SELECT max(n) AS n, sum((2 * k - 1) * ln(greatest(v, 1e-30)) + (2 * (n + 1 - k) - 1) * ln(greatest(1 - v, 1e-30))) AS s FROM u), a AS (SELECT -n - s / n AS a2 FROM s)"
+    add("anderson_darling_all", lambda s, d: q(stats.anderson_darling(rest(s, d), "v"), 4), f"WITH {whole_ad} SELECT round(a2, 4) AS a2, round({dist.anderson_darling_sql('a2')}, 4) AS p FROM a")
+    whole = ranks.replace("PARTITION BY l_returnflag, l_quantity", "PARTITION BY l_extendedprice").replace("PARTITION BY l_returnflag ", "").replace("l_quantity", "l_extendedprice")
+    add(
+        "mann_whitney_all",
+        lambda s, d: q(stats.mann_whitney(lineitem(s, d), "l_extendedprice", F.col("l_linestatus") == "F"), 4),
+        f"WITH a AS ({whole}), b AS (SELECT CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) AS n1, CAST(count(*) FILTER (l_linestatus <> 'F') AS DOUBLE) AS n2, sum(rk) FILTER (l_linestatus = 'F') AS r1, sum(CAST(td AS DOUBLE) * td - 1) AS ties FROM a), "
+        "c AS (SELECT *, n1 + n2 AS n, n1 * n2 + n1 * (n1 + 1) / 2 - r1 AS u FROM b) SELECT round(u, 4) AS u, round((u - n1 * n2 / 2) / sqrt(n1 * n2 / (n * (n - 1)) * ((n * n * n - n) / 12 - ties / 12)), 4) AS z FROM c",
+    )
+    gain, tie = "l_discount - 0.05", "l_orderkey * 8 + l_linenumber"
+    won = "SELECT greatest(g, 0.0) AS w, greatest(-g, 0.0) AS l, sum(greatest(g, 0.0)) OVER (ORDER BY p DESC, t ROWS UNBOUNDED PRECEDING) AS won FROM (SELECT l_extendedprice AS p, round(l_discount - 0.05, 2) AS g, " + tie + " AS t FROM lineitem)"
+    add(
+        "roc_area_all",
+        lambda s, d: q(stats.roc_area(lineitem(s, d).select("l_extendedprice", F.expr(f"round({gain}, 2)").alias("g"), F.expr(tie).alias("t")), "l_extendedprice", "g", "t")),
+        f"WITH z AS ({won}) SELECT round(CASE WHEN sum(w) <= 0 OR sum(l) <= 0 THEN 0.5 ELSE sum(won * l) / (sum(w) * sum(l)) END, 6) AS roc_area FROM z",
+    )
+    ticks = "WITH RECURSIVE tk AS (SELECT event_type AS symbol, event_id AS seq, value AS x, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS i FROM events), "
+    tick_series = lambda s, d: ordered.series(tables.ticks(s, d), "price", ["symbol"], ["ts", "seq"])
+    add(
+        "tick_ema",
+        lambda s, d: q(ordered.ema(tick_series(s, d), 50, ["symbol"]).select("symbol", "seq", "i", "ema")),
+        ticks + ema_sql(50, "tk") + " SELECT t.symbol, t.seq, CAST(t.i AS BIGINT) AS i, round(e.e, 6) AS ema FROM tk t LEFT JOIN e ON e.symbol = t.symbol AND e.i = t.i",
+    )
+    wilder = """d AS (SELECT symbol, i, greatest(x - lag(x) OVER w, 0.0) AS g, greatest(lag(x) OVER w - x, 0.0) AS l FROM tk WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+r AS (SELECT symbol, CAST(14 AS INTEGER) AS i, avg(g) AS g, avg(l) AS l FROM d WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14
+  UNION ALL SELECT b.symbol, b.i, (p.g * 13 + b.g) / 14, (p.l * 13 + b.l) / 14 FROM r p JOIN d b ON b.symbol = p.symbol AND b.i = p.i + 1)"""
+    add(
+        "tick_rsi",
+        lambda s, d: q(ordered.rsi_wilder(tick_series(s, d), 14, ["symbol"]).select("symbol", "seq", "i", "rsi")),
+        ticks + wilder + " SELECT t.symbol, t.seq, CAST(t.i AS BIGINT) AS i, round(CASE WHEN r.l = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + r.g / r.l) END, 6) AS rsi FROM tk t LEFT JOIN r ON r.symbol = t.symbol AND r.i = t.i",
+    )
+    lines = ", ".join([ema_sql(12, "tk", name="f"), ema_sql(26, "tk", name="s"), "m AS (SELECT f.symbol, f.i, f.e - s.e AS v FROM f JOIN s ON s.symbol = f.symbol AND s.i = f.i)", ema_sql(9, "m", "v", "g", "25")])
+    add(
+        "tick_macd",
+        lambda s, d: q(ordered.macd(tick_series(s, d), 12, 26, 9, ["symbol"]).select("symbol", "seq", "i", "macd", "signal", "histogram")),
+        ticks + lines + " SELECT t.symbol, t.seq, CAST(t.i AS BIGINT) AS i, round(m.v, 6) AS macd, round(g.e, 6) AS signal, round(m.v - g.e, 6) AS histogram FROM tk t LEFT JOIN m ON m.symbol = t.symbol AND m.i = t.i LEFT JOIN g ON g.symbol = t.symbol AND g.i = t.i",
+    )
