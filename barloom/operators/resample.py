@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dist, rng
-from . import grids
+from . import grids, replicate
 from .indicators import MARKET, Series
 from .stats import order_quantile
 
@@ -149,14 +149,11 @@ def mcpt_summary(found: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mcpt_trend(df: DataFrame, most: int, reps: int, seed: int, x: str = "x", s: Series = MARKET) -> DataFrame:
-    """Is the best crossover better than on shuffled changes? One job for all replications."""
-    keyed = Series((*s.by, "rep"), s.i)
-    shuffled = permuted(df, reps, seed, most - 1, x, s)
-    grid = grids.crossover_grid(shuffled, x, most, s=keyed)
-    top = grids.best(grid, "total", ["long", "short"], [*s.by, "rep"], ["short", "long", "total", "n_long", "n_short"])
+    """Is the best crossover better than on shuffled changes? One job for all replications; a row a replication is all that is shuffled."""
+    top = replicate.best_crossovers(df, s.by, x, s.i, most, reps, seed)
     ends = df.groupBy(*s.by).agg(F.max_by(x, s.i).alias("_z"), F.max(F.when(F.col(s.i) == most - 1, F.col(x))).alias("_a"), F.count(F.lit(1)).alias("_n"))
     held = top.join(ends, list(s.by))
-    trend = (F.col("n_long") - F.col("n_short")) * (F.col("_z") - F.col("_a")) / (F.col("_n") - most)
+    trend = F.col("net") * (F.col("_z") - F.col("_a")) / (F.col("_n") - most)
     return mcpt_summary(held.select(*s.by, "rep", F.col("total").alias("value"), trend.alias("trend")), list(s.by))
 
 

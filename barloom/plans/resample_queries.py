@@ -154,6 +154,8 @@ tp AS (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY symbol, rep ORDE
 en AS (SELECT symbol, arg_max(x, i) AS z, max(CASE WHEN i = {most - 1} THEN x END) AS a, count(*) AS n FROM bars GROUP BY symbol),
 vt AS (SELECT symbol, rep, v, (nl - ns) * (z - a) / (n - {most}) AS t FROM tp JOIN en USING (symbol))"""
     add("mcpt_trend", lambda s, d: q(resample.mcpt_trend(tables.bars(s, d), most, 10, SEED)), sql(MCPT, trend, f"({BASE})", "GROUP BY symbol"))
+    # at the reference's size: 190 pairs, 1,000 replications; beyond what SQL can do with a row a bar
+    add("mcpt_trend_1000", lambda s, d: q(resample.mcpt_trend(tables.bars(s, d), 20, 1000, SEED)))
     look = 5
     cell = lambda v, step: f"CAST(greatest(least(floor({v} / {step} + 1e-9), 50), 0) AS INTEGER)"
     on = "(PARTITION BY symbol, rep ORDER BY i)"

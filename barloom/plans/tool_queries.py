@@ -353,6 +353,8 @@ sd AS (SELECT symbol, 'lower' AS side, n, m, s[m] AS b FROM sm UNION ALL SELECT
     add("validation_study", lambda s, d: q(tools.validation_study(s)), validation_sql())
     add("chooser_report", lambda s, d: q(tools.chooser_report(tools.aligned(bars(s, d)), 60, 40, 4)), chooser_report_sql(60, 40, 4))
     add("chooser_drawdown", lambda s, d: q(tools.chooser_bounds(tools.aligned(bars(s, d)), 60, 40)), chooser_bounds_sql(60, 40))
+    # at the reference's size: 2,000 resamples of 10,000 years; a SQL row a day would be five thousand million
+    add("chooser_drawdown_full", lambda s, d: q(tools.chooser_bounds(tools.aligned(bars(s, d)), 60, 40, 2000, 10_000, 252, hashed=False)))
 
     def coefficients(s, d, symbol):
         model, _, names = tools.elastic_net(bars(s, d), symbol)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dist, rng
-from ..operators import backtest, grids, indicators as ind, models, optimize, recurrences, resample, stats
+from ..operators import backtest, grids, indicators as ind, models, optimize, recurrences, replicate, resample, stats
 from ..operators.indicators import MARKET, Series
 
 YEAR = 252 * 100
@@ -455,20 +455,16 @@ def chooser_report(bars: DataFrame, window: int, out_window: int, reps: int = 10
 CONFIDENCES = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
 
-def chooser_bounds(bars: DataFrame, window: int, out_window: int, reps: int = 20, inner: int = 20, size: int = 40, seed: int = 91) -> DataFrame:
+def chooser_bounds(bars: DataFrame, window: int, out_window: int, reps: int = 20, inner: int = 20, size: int = 40, seed: int = 91, hashed: bool = True) -> DataFrame:
     """``prob, confidence, bound``: bounds on the quantiles of a year's worst drawdown, in percent, of the chooser's returns.
 
     The returns are resampled, and the drawdown quantiles of each resample come
     from ``inner`` paths of ``size`` returns drawn from it; a bound is the
-    quantile of these over the resamples. ``bars`` must be aligned.
+    quantile of these over the resamples. ``bars`` must be aligned. ``hashed``
+    draws are the same on any engine; others are faster.
     """
     order = Window.partitionBy("one").orderBy("i")  # one series of bars
-    held = resample.chooser(bars, window, out_window).select(F.lit(1).alias("one"), "i", "ret").select("one", "ret", (F.row_number().over(order) - 1).alias("i"))
-    sample = resample.draws(held, ["one"], reps, seed).join(held, ["one", "i"]).select("one", "rep", F.col("j").alias("i"), "ret")
-    n = held.groupBy("one").agg(F.count(F.lit(1)).alias("_n"))
-    paths = n.select("one", "_n", steps_of(reps).alias("rep")).select("*", steps_of(inner).alias("b")).select("*", steps_of(size).alias("j"))
-    paths = paths.withColumn("i", (rng.bits(seed + 1, "rep", "b", "j") % F.col("_n")).cast("int")).join(sample, ["one", "rep", "i"])
-    worst = resample.worst_drawdowns(paths, "ret", ["rep", "b"]).withColumn("dd", (F.lit(1.0) - F.exp(-F.col("dd"))) * 100)
-    each = resample.quantile_rows(worst, ["rep"], (0.999, 0.99, 0.95, 0.90))
+    held = resample.chooser(bars, window, out_window).select(F.lit(1).alias("one"), "i", "ret").select("ret", (F.row_number().over(order) - 1).alias("i"))
+    each = replicate.nested_drawdowns(held, "ret", "i", reps, inner, size, seed, (0.999, 0.99, 0.95, 0.90), hashed)
     found = each.groupBy("prob").agg(F.array(*[F.struct(F.lit(c).alias("confidence"), stats.order_quantile("drawdown", c).alias("bound")) for c in CONFIDENCES]).alias("_b"))
     return found.select("prob", F.explode("_b").alias("_b")).select("prob", "_b.*")
