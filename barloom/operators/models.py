@@ -170,8 +170,16 @@ def fit(df: DataFrame, features: list[str], target: str, alpha: float = 0.5, blo
     """The penalty by cross-validation over ``block`` (none: 0), then the final fit; cases may have a ``weight``."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie in [0, 1]")
-    blocks = gather(df, features, target, block, weight)
-    total = sum(blocks.values(), start=next(iter(blocks.values())) - next(iter(blocks.values())))
+    return of_blocks(gather(df, features, target, block, weight), alpha, steps, eps, most)
+
+
+def total_of(blocks: dict[int, Moments]) -> Moments:
+    return sum(blocks.values(), start=next(iter(blocks.values())) - next(iter(blocks.values())))
+
+
+def of_blocks(blocks: dict[int, Moments], alpha: float, steps: int = 50, eps: float = 1e-7, most: int = 1000) -> Model:
+    """The model of all blocks, its penalty by cross-validation over them."""
+    total = total_of(blocks)
     lam = cross_validate(blocks, alpha, steps, eps, most)[0] if alpha > 0 and len(blocks) > 1 else 0.0
     gram, xy, means, scales, ymean, yscale = standardized(total)
     beta = descend(gram, xy, lam, alpha, None, eps, most)

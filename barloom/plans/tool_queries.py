@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dist, rng
-from ..operators import backtest, grids, indicators as ind, models, optimize
+from ..operators import backtest, grids, indicators as ind, market_models, optimize
 from ..sources import exchange, tables
 from ..sources.scratch import shared_folder
 from ..streaming import bars as minute, trade_log
@@ -356,23 +356,28 @@ sd AS (SELECT symbol, 'lower' AS side, n, m, s[m] AS b FROM sm UNION ALL SELECT
     # at the reference's size: 2,000 resamples of 10,000 years; a SQL row a day would be five thousand million
     add("chooser_drawdown_full", lambda s, d: q(tools.chooser_bounds(tools.aligned(bars(s, d)), 60, 40, 2000, 10_000, 252, hashed=False)))
 
-    def coefficients(s, d, symbol):
-        model, _, names = tools.elastic_net(bars(s, d), symbol)
-        return s.createDataFrame([(n, float(b), model.lam, model.explained) for n, b in zip(names, model.beta, strict=True)], "feature string, beta double, lam double, explained double")
+    def nets(s, d):
+        df, names = tools.features_of(bars(s, d))
+        return (names, *tools.market_nets(df, names))
 
-    add("elastic_net", lambda s, d: every_market(bars(s, d), lambda x: coefficients(s, d, x)))
+    def coefficients(s, d):
+        names, found, _ = nets(s, d)
+        rows = found.select("symbol", "lam", "explained", F.posexplode("beta").alias("k", "beta"))
+        return rows.select(F.get(F.array(*map(F.lit, names)), F.col("k")).alias("feature"), "beta", "lam", "explained", "symbol")
 
-    def predictions(s, d, symbol):
-        _, scored, _ = tools.elastic_net(bars(s, d), symbol)
+    add("elastic_net", coefficients)
+
+    def predictions(s, d):
+        _, _, scored = nets(s, d)
         return backtest.out_of_sample(scored.where("test AND pred IS NOT NULL AND target IS NOT NULL"), "pred", "target")
 
-    add("elastic_net_out_of_sample", lambda s, d: every_market(bars(s, d), lambda x: predictions(s, d, x)))
+    add("elastic_net_out_of_sample", predictions)
 
-    def combined(s, d, symbol):
-        saved, scored = tools.combined_model(bars(s, d), symbol, n_test=60)
-        return backtest.out_of_sample(scored.dropna(), "pred", "target").withColumn("model", F.lit(saved))
+    def combined(s, d):
+        rows = tools.combined_models(bars(s, d), n_test=60)
+        return backtest.out_of_sample(rows, "pred", "target").join(rows.groupBy("symbol").agg(F.max("model").alias("model")), "symbol")
 
-    add("combined_model", lambda s, d: every_market(bars(s, d), lambda x: combined(s, d, x)))
+    add("combined_model", combined)
     pairs = [(2, 6), (4, 6), (4, 12), (8, 12)]
     names = [f"f{a}_{b}" for a, b in pairs]
     cells = [(a, b) for k, a in enumerate(names) for b in names[k:]]
@@ -405,12 +410,9 @@ sd AS (SELECT symbol, 'lower' AS side, n, m, s[m] AS b FROM sm UNION ALL SELECT
         return s.createDataFrame([(round(x, 4), round(y, 6))], "x double, y double")
 
     add("brent_maximum", brent, "SELECT 2.0::DOUBLE AS x, 5.0::DOUBLE AS y")
-    add(
-        "lambda_path",
-        lambda s, d: every_market(bars(s, d), lambda x: (lambda m: s.createDataFrame([(float(a), *map(float, b)) for a, b in zip(*models.path(*models.standardized(m)[:2], 0.5, 20), strict=True)], "lam double, " + ", ".join(f"{n} double" for n in names)))(
-            models.gather(
-                bars(s, d).where(F.col("symbol") == x).select("i", *[ind.ma_cross("x", a, b).alias(n) for (a, b), n in zip(pairs, names, strict=True)], "x", "symbol")
-                .withColumn("target", ind.targets("x")), names, "target",
-            )[0]
-        )),
-    )
+
+    def penalties(s, d):
+        df = bars(s, d).select("symbol", "i", *[ind.ma_cross("x", a, b).alias(n) for (a, b), n in zip(pairs, names, strict=True)], ind.targets("x").alias("target"))
+        return market_models.paths(df, names, "target", 0.5, steps=20).select("lam", *[F.get("beta", F.lit(k)).alias(n) for k, n in enumerate(names)], "symbol")
+
+    add("lambda_path", penalties)

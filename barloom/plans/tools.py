@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dist, rng
-from ..operators import backtest, grids, indicators as ind, models, optimize, recurrences, replicate, resample, stats
+from ..operators import backtest, grids, indicators as ind, market_models, models, optimize, recurrences, replicate, resample, stats
 from ..operators.indicators import MARKET, Series
+from ..sources.scratch import kept
 
 YEAR = 252 * 100
 
@@ -351,6 +352,20 @@ def elastic_net(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int =
     return model, scored, names
 
 
+def split_folds(df: DataFrame, n_test: int, n_folds: int) -> DataFrame:
+    """``df`` with ``test`` (the last bars of each market) and ``block``, the fold of the others."""
+    edge = F.max("i").over(Window.partitionBy("symbol")) + 1 - n_test
+    held = df.withColumn("_edge", edge).withColumn("test", F.col("i") >= F.col("_edge"))
+    return held.withColumn("block", F.least(F.floor(F.col("i") * n_folds / F.col("_edge")), F.lit(n_folds - 1)).cast("int")).drop("_edge")
+
+
+def market_nets(df: DataFrame, names: list[str], n_test: int = 252, n_folds: int = 10, alpha: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(the model of each market, fitted on all but its last bars; all bars with their prediction), all markets in one aggregate."""
+    held = split_folds(df, n_test, n_folds)
+    found = kept(market_models.fitted(held.where("NOT test"), names, "target", alpha, "symbol", F.col("block")), "models")
+    return found, market_models.predicted(held.drop("block"), found, names)
+
+
 def combined_features(bars: DataFrame, types: tuple[str, ...] = ("ma", "rsi", "ema", "macd", "roc"), increment: int = 4, n_long: int = 2, n_short: int = 1, ahead: int = 1) -> tuple[DataFrame, list[str], list[dict]]:
     """(bars with a feature for each type and pair of lookbacks, and their target; the features' names; their specs).
 
@@ -381,6 +396,19 @@ def combined_model(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int
     return saved, df.where(F.col("i") >= edge).withColumn("pred", backtest.predicted(F.array(*names), vars(model)))
 
 
+def combined_models(bars: DataFrame, n_test: int = 252, n_folds: int = 10, alpha: float = 0.5, **kw) -> DataFrame:
+    """``symbol, i, target, pred, model``: what ``combined_model`` gives, of every market in one aggregate."""
+    df, names, specs = combined_features(bars, **kw)
+    df = kept(df, "features")
+    found, scored = market_nets(df, names, n_test, n_folds, alpha)
+    parts = [c.split()[0] for c in market_models.MODEL.split(", ")]
+    rest = json.dumps({"specs": specs, "config": {"n_test": n_test, "n_folds": n_folds, "alpha": alpha, **kw}})
+    # one object: the model's, then the specs and the settings
+    saved = F.concat(F.lit('{"model": '), F.to_json(F.struct(*parts)), F.lit(", " + rest[1:]))
+    both = scored.where("test").dropna(subset=[*names, "target"]).join(found.select(F.col("symbol").alias("_s"), saved.alias("model")), F.col("symbol") == F.col("_s"))
+    return both.select("symbol", "i", "target", "pred", "model")
+
+
 def model_predictions(bars: DataFrame, saved: str) -> DataFrame:
     """``symbol, i, pred`` of a saved model for all bars that have its features."""
     held = json.loads(saved)
