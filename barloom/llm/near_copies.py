@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import named, trimmed, written
 from .components import connected
@@ -138,7 +139,7 @@ def _needed(a: Column, b: Column, similarity: float) -> Column:
 
 def _met(left: DataFrame, right: DataFrame, similarity: float, more: Column) -> DataFrame:
     """Members of one posting whose sizes allow a link: ``a, b``, and ``_first`` where nothing that they share has to stand before."""
-    a, b = (x.select("_k", *[F.col(c).alias(s + c) for c in ("_u", "_n", "_at", "_p", "_d", "root")]) for x, s in ((left, "a"), (right, "b")))
+    a, b = (x.select("_k", *[F.col(c).alias(s + c) for c in ("_u", "_n", "_at", "_p", "_d", "root", "_most") if c in x.columns]) for x, s in ((left, "a"), (right, "b")))
     needed = _needed(F.col("a_n"), F.col("b_n"), similarity)
     sized = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
     found = a.join(b, "_k").where((F.col("a_u") != F.col("b_u")) & (F.col("aroot") != F.col("broot")) & sized & more)
@@ -199,8 +200,8 @@ def links(firsts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     shingles: ``sets_of`` gives ``_u, set`` of the numbers ``_u``. A posting with
     over ``most`` members first links them to its least and greatest one; then
     only those outside its largest class are paired with the members of other
-    classes, so a large group of near copies costs rows in proportion and no
-    component is lost.
+    classes, and only those that ``_bounded`` leaves: a large group of near copies,
+    or of pages of one template, costs rows in proportion and no component is lost.
     """
     found = _verified(fingerprint_pairs(firsts), firsts, sets_of, similarity) if "sim" in firsts.columns else None
     index = firsts.select("_u", "_n", F.size("first").alias("_p"), F.posexplode("first").alias("_at", "_k"))
@@ -217,13 +218,29 @@ def links(firsts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     found = rest if found is None else found.unionByName(rest)
     if dense.isEmpty():
         return found
-    dense = written(_rooted(dense, found), "dense")
+    dense = written(_bounded(_rooted(dense, found), similarity), "dense")
     main = dense.groupBy("_k", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("_k").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))
-    outside = dense.join(main, "_k").where("root <> _main")
-    more = written(_met(outside, dense, similarity, F.col("a_u").isNotNull()).where("_first").select("a", "b").distinct(), "pairs")
+    placed = dense.join(main, "_k").withColumn("_out", F.col("root") != F.col("_main"))
+    outside, able = placed.where("_out"), placed.where("_most >= _n")
+    sized = (F.col("a_n") <= F.col("b_most")) & (F.col("b_n") <= F.col("a_most"))
+    # the smaller of a pair must be able to reach the larger one's size; pairs within the largest class are not wanted
+    more = _met(able.where("_out"), dense, similarity, sized & (F.col("a_n") <= F.col("b_n"))).unionByName(_met(outside, able.where("NOT _out"), similarity, sized & (F.col("b_n") <= F.col("a_n"))))
+    more = written(more.where("_first").select("a", "b").distinct(), "pairs")
     return found.unionByName(_verified(more, firsts, sets_of, similarity))
 
 
+def _bounded(dense: DataFrame, similarity: float) -> DataFrame:
+    """``dense`` with ``_most``, the size of the largest set to which a member may be similar if they share no posting but dense ones.
+
+    What stands in a prefix before the posting and is in no dense one is then in one
+    of the two sets alone: were it in both, it would be in both prefixes. So the
+    overlap is the size less these at most, and bounds the other's size. Of pages
+    that fill in a template with words of their own no two are large enough.
+    """
+    alone = F.col("_at") - (F.row_number().over(Window.partitionBy("_u").orderBy("_at")) - 1)
+    return dense.withColumn("_most", (F.col("_n") - alone) * ((1 + similarity) / similarity) - F.col("_n") + 1e-6)
+
+
 def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """``members`` with the ``root`` of their class under the links ``found``."""
     if found is None:
@@ -237,8 +254,10 @@ def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Two texts are near copies where the Jaccard similarity of their shingles of
     ``words`` words is ``similarity`` at least; classes are the components of
-    these links. Texts without a word are one class. Null and repeated ids are
-    allowed. An empty table gives an empty result.
+    these links. Texts without a word, null ones among them, are one class. Null
+    and repeated ids are allowed: of rows with equal id and text one stays. Texts of
+    any length are read whole; other columns stay, whatever they are called. An
+    empty table gives an empty result.
     """
     held = _held(documents, id_col, text_col)
     sets = written(prefixes(held, words, similarity).withColumn("_row", F.monotonically_increasing_id()), "prefixes")

@@ -101,3 +101,48 @@ def test_workers_drop_what_other_stages_keep():
     batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
     assert list(common.trimmed(iter, "language")([batch])) == [batch] and kept
     assert list(common.trimmed(iter)([batch])) == [batch] and not kept
+
+
+def template_pages(n, own, seed=1):
+    """Pages of 22 words in common, with some of their own in between."""
+    rng = np.random.default_rng(seed)
+    common = [f"common{k}" for k in range(22)]
+    return [(" ".join([*common[:11], *(f"own{rng.integers(1 << 40)}" for _ in range(own)), *common[11:]]), k) for k in range(n)]
+
+
+@pytest.mark.parametrize("own", [1, 2, 4, 6])
+def test_pages_of_one_template_cost_no_pairs(spark, monkeypatch, own):
+    rows = template_pages(300, own) + template_pages(80, 1, seed=2) + edited(20, seed=3)
+    sets, _, sets_of = firsts_of(spark, rows)
+    held = near_copies._held(spark.createDataFrame([(t, i, "x") for t, i in rows], SCHEMA), "doc_id", "text")
+    firsts = near_copies.prefixes(held, 5, 0.8).select(near_copies.F.col("fp").alias("_u"), "_n", "sim", "bits", "first").dropDuplicates(["_u"])
+    found, written = {}, near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name="t": found.setdefault(name, []).append(out := written(df, name)) or out)
+    roots = {r.node: r.root for r in near_copies.connected(near_copies.links(firsts, sets_of)).collect()}
+    classes = {}
+    for u in sets:
+        classes.setdefault(roots.get(u, u), set()).add(u)
+    todo, want = set(sets), set()
+    while todo:
+        seen, now = set(), [todo.pop()]
+        while now:
+            a = now.pop()
+            seen.add(a)
+            near = {b for b in todo if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+            todo -= near
+            now += near
+        want.add(frozenset(seen))
+    assert {frozenset(c) for c in classes.values()} == want
+    assert all(df.count() <= 40 * len(rows) for df in found["pairs"])
+
+
+def test_pairs_of_a_template_grow_with_the_rows(spark, monkeypatch):
+    found, written = {}, near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name="t": found.setdefault(name, []).append(out := written(df, name)) or out)
+    sizes = []
+    for n in (500, 2000):
+        found.clear()
+        df = spark.createDataFrame([(t, i, "x") for t, i in template_pages(n, 4)], SCHEMA)
+        assert near_copies.drop_near_copies(df).count() == n
+        sizes.append(sum(t.count() for t in found["pairs"]))
+    assert sizes[1] <= 5 * sizes[0] + 2000
