@@ -63,3 +63,60 @@ def sphere(seed: int, dims: int, *parts: Column | str) -> Column:
     z = [normal(seed + 10 * k, *parts) for k in range(dims)]
     length = F.sqrt(sum((c * c for c in z[1:]), z[0] * z[0]))
     return F.array(*[c / length for c in z])
+
+
+#: Candidates of a round of rejection; a row that accepts none of them takes the sum of its parts, which has the same distribution.
+TRIES = 16
+
+
+def gamma_half(seed: int, v: int, *parts: Column | str) -> Column:
+    """Gamma of shape v / 2.
+
+    Shapes over 1 take the first accepted of ``TRIES`` candidates on a tangent
+    curve, whose number does not grow with the shape. Whatever happened to the
+    candidates, a sum of exponentials and half a squared normal is as good a draw,
+    so rows without an accepted one take that from draws of their own.
+    """
+    whole = gamma_whole(seed + 100, v // 2, *parts) if v > 1 else F.lit(0.0)
+    if v % 2:
+        z = normal(seed + 90, *parts)
+        whole = whole + z * z / 2
+    if v < 3:
+        return whole
+    less, root = v / 2 - 1, (v - 1) ** 0.5
+
+    def candidate(k: Column) -> Column:
+        y = F.tan(uniform(seed, *parts, k) * F.lit(3.141592653589793))
+        x = y * root + less
+        bound = (y * y + 1) * F.exp(F.log(F.greatest(x, F.lit(1e-300)) / less) * less - y * root)
+        return F.struct(x.alias("x"), ((x > 0) & (uniform(seed + 1, *parts, k) <= bound)).alias("ok"))
+
+    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), candidate), lambda c: c["ok"])
+    return F.coalesce(F.get(tried, F.lit(0))["x"], whole)
+
+
+def gamma_half_sql(seed: int, v: int, *parts: str) -> str:
+    """The DuckDB twin of ``gamma_half``."""
+    terms = [f"(-ln({uniform_sql(seed + 100 + 2 * k, *parts)}))" for k in range(v // 2)]
+    if v % 2:
+        terms.append(f"pow({normal_sql(seed + 90, *parts)}, 2) / 2")
+    whole = f"({' + '.join(terms)})"
+    if v < 3:
+        return whole
+    less, root = v / 2 - 1, (v - 1) ** 0.5
+    y = f"tan({uniform_sql(seed, *parts, 'k')} * 3.141592653589793)"
+    x = f"(c.y * {root!r} + {less!r})"
+    bound = f"(c.y * c.y + 1) * exp(ln(greatest({x}, 1e-300) / {less!r}) * {less!r} - c.y * {root!r})"
+    tried = f"list_transform(range({TRIES}), lambda k: {{'y': {y}, 'u': {uniform_sql(seed + 1, *parts, 'k')}}})"
+    return f"coalesce(list_transform(list_filter({tried}, lambda c: {x} > 0 AND c.u <= {bound}), lambda c: {x})[1], {whole})"
+
+
+def beta_half(seed: int, v1: int, v2: int, *parts: Column | str) -> Column:
+    """Beta of parameters v1 / 2 and v2 / 2: a share of two gammas."""
+    x, y = gamma_half(seed, v1, *parts), gamma_half(seed + 1000, v2, *parts)
+    return x / (x + y)
+
+
+def beta_half_sql(seed: int, v1: int, v2: int, *parts: str) -> str:
+    x, y = gamma_half_sql(seed, v1, *parts), gamma_half_sql(seed + 1000, v2, *parts)
+    return f"({x} / ({x} + {y}))"

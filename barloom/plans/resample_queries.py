@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import dist, rng
-from ..operators import grids, indicators as ind, resample
+from ..operators import grids, indicators as ind, resample, statistics
 from ..sources import tables
 from . import catalog
 from .grid_queries import MOST, rows_sql
@@ -58,6 +58,26 @@ def mean_theta_sql(source: str, by: str, value: str = "r") -> str:
     return f"tb AS (SELECT {by} avg({value}) AS t, count(*) AS n, sum({value}) AS sr FROM {source} GROUP BY ALL), th AS (SELECT {by} any_value(t) AS t, {accel_sql(f't - (sr - {value}) / (n - 1)')} AS a FROM {source} JOIN tb USING ({by.rstrip(', ')}) GROUP BY {by.rstrip(', ')})"
 
 
+#: Sums of returns, and the values of statistics of sums whose names have a prefix.
+SUM_NAMES = ("s0", "s1", "s2", "sw", "sl")
+SUMS_OF = "count(*) AS s0, sum(r) AS s1, sum(r * r) AS s2, sum(greatest(r, 0.0)) AS sw, sum(greatest(-r, 0.0)) AS sl"
+OWN = {
+    "sharpe": lambda p: f"({p}s1 / {p}s0) / (sqrt(greatest({p}s2 / {p}s0 - ({p}s1 / {p}s0) * ({p}s1 / {p}s0), 0.0)) + 1e-60)",
+    "profit_factor": lambda p: f"({p}sw + 1e-60) / ({p}sl + 1e-60)",
+}
+
+
+def own_sql(reps: int, seed: int) -> str:
+    """``so`` and ``th`` of the statistics ``OWN``, for ``bca_sql`` by symbol and statistic."""
+    less = "s0 - 1 AS ls0, s1 - r AS ls1, s2 - r * r AS ls2, sw - greatest(r, 0.0) AS lsw, sl - greatest(-r, 0.0) AS lsl"
+    each = lambda source, keys, p="", tail="": " UNION ALL ".join(f"SELECT {keys}, '{name}' AS statistic, {value(p)} AS v{tail} FROM {source}" for name, value in OWN.items())
+    return f"""{draws_sql('dr', 'ret', 'symbol, ', reps, seed)}, st AS (SELECT symbol, rep, {SUMS_OF} FROM dr JOIN ret USING (symbol, i) GROUP BY symbol, rep),
+so AS (SELECT symbol, statistic, list_sort(list(v)) AS s, count(*) AS b FROM ({each('st', 'symbol')}) GROUP BY symbol, statistic),
+tt AS (SELECT symbol, {SUMS_OF} FROM ret GROUP BY symbol), lo AS ({each(f"(SELECT symbol, {less} FROM ret JOIN tt USING (symbol))", 'symbol', 'l')}),
+lm AS (SELECT symbol, statistic, v, avg(v) OVER (PARTITION BY symbol, statistic) - v AS d FROM lo), la AS (SELECT symbol, statistic, {accel_sql('d')} AS a FROM lm GROUP BY symbol, statistic),
+th AS (SELECT symbol, statistic, v AS t, a FROM ({each('tt', 'symbol')}) JOIN la USING (symbol, statistic))"""
+
+
 def drawdowns_sql(source: str, by: str, value: str, name: str = "w") -> str:
     """``name``: by, dd, the worst fall from a peak of each path in the order of j."""
     keys = by.rstrip(", ")
@@ -133,6 +153,12 @@ def register(add) -> None:
         lambda s, d: (lambda df, stats: q(resample.bca_of_mean(df, "r", stats, PROBS, by), 8))(*means(s, d)),
         sql("symbol, prob, round(lo, 8) AS low, round(hi, 8) AS high", f"{so}, {mean_theta_sql('ret', 'symbol, ')}, {bca_sql('symbol, ')}", "bc"),
     )
+    own = {"sharpe": statistics.SHARPE, "profit_factor": statistics.PROFIT_FACTOR}
+    add("bca_statistics", lambda s, d: q(statistics.bca(returns(s, d), own, "r", by, "i", REPS, SEED, PROBS), 8), sql("symbol, statistic, prob, round(lo, 8) AS low, round(hi, 8) AS high", f"{RET}, {own_sql(REPS, SEED)}, {LEVELS}, {bca_sql('symbol, statistic, ')}", "bc"))
+    folds_of = f"""{RET}, fn AS (SELECT symbol, i, r, count(*) OVER (PARTITION BY symbol) AS n FROM ret), ff AS (SELECT symbol, r, CASE WHEN i < (n % 8) * (n // 8 + 1) THEN i // (n // 8 + 1) ELSE n % 8 + (i - (n % 8) * (n // 8 + 1)) // (n // 8) END AS fold FROM fn),
+fs AS (SELECT symbol, CAST(fold AS INTEGER) AS fold, {SUMS_OF} FROM ff GROUP BY ALL), ft AS (SELECT symbol, {', '.join(f'sum({c}) AS t{c}' for c in SUM_NAMES)} FROM fs GROUP BY symbol),
+fv AS ({' UNION ALL '.join(f"SELECT symbol, '{name}' AS statistic, fold, {value('')} AS a, {value('less')} AS b FROM (SELECT *, {', '.join(f't{c} - {c} AS less{c}' for c in SUM_NAMES)} FROM fs JOIN ft USING (symbol))" for name, value in OWN.items())})"""
+    add("cross_validated_statistics", lambda s, d: q(statistics.cross_validated(returns(s, d), own, "r", by, "i", 8), 6), sql("symbol, statistic, fold, round(a, 6) AS inside, round(b, 6) AS outside", folds_of, "fv"))
 
     first = MOST - 1
     perm, joint = permuted_sql(4, first, SEED), permuted_sql(4, first, SEED, joint=True)
@@ -202,3 +228,9 @@ bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, i ORDER
         ),
         f"SELECT id, round(tan(3.141592653589793 * ({u(3)} - 0.5)), 5) AS cauchy, round({gamma(5, 3)}, 5) AS gamma, round({gamma(7, 2)} / ({gamma(7, 2)} + {gamma(1007, 3)}), 5) AS beta, " + ", ".join(f"round({z(9 + 10 * k)} / {length}, 5) AS sphere{k}" for k in range(3)) + " FROM range(500) t(id)",
     )
+    shapes = (1, 3, 5, 40)
+    add(
+        "order_variates",
+        lambda s, d: q(tables.table(s, d, "orders").select("o_orderkey", *[rng.gamma_half(11, v, "o_orderkey").alias(f"gamma{v}") for v in shapes], rng.beta_half(13, 3, 5, "o_orderkey").alias("beta3_5")), 5),
+        "SELECT o_orderkey, " + ", ".join(f"round({rng.gamma_half_sql(11, v, 'o_orderkey')}, 5) AS gamma{v}" for v in shapes) + f", round({rng.beta_half_sql(13, 3, 5, 'o_orderkey')}, 5) AS beta3_5 FROM orders",
+    )
