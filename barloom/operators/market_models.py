@@ -118,6 +118,18 @@ def fitted(df: DataFrame, features: list[str], target: str, alpha: float = 0.5,
     return solved(states(df, features, target, by, block), solve, MODEL, by)
 
 
+def penalties(df: DataFrame, features: list[str], target: str, alpha: float, by: str, block: Column, steps: int = 50, eps: float = 1e-7, most: int = 1000) -> DataFrame:
+    """``by, lam, explained, chosen``: the share of held-out squares that each penalty explains over the folds of ``block``."""
+
+    def solve(blocks: dict[int, models.Moments]) -> list[tuple]:
+        if len(blocks) < 2:
+            return []
+        best, lams, explained = models.cross_validate(blocks, alpha, steps, eps, most)
+        return [(float(a), float(e), bool(a == best)) for a, e in zip(lams, explained, strict=True)]
+
+    return solved(states(df, features, target, by, block), solve, "lam double, explained double, chosen boolean", by)
+
+
 def paths(df: DataFrame, features: list[str], target: str, alpha: float = 0.5, by: str = "symbol", steps: int = 50, eps: float = 1e-9, most: int = 1000) -> DataFrame:
     """``by, lam, beta``: the coefficients of each market along falling penalties."""
 

@@ -373,6 +373,12 @@ sd AS (SELECT symbol, 'lower' AS side, n, m, s[m] AS b FROM sm UNION ALL SELECT
 
     add("elastic_net_out_of_sample", predictions)
 
+    def penalty_rows(s, d):
+        df, names = tools.features_of(bars(s, d), rsi_periods=(10, 14))
+        return tools.penalty_table(df, names, n_test=60, steps=20)
+
+    add("penalty_table", penalty_rows)
+
     def combined(s, d):
         rows = tools.combined_models(bars(s, d), n_test=60)
         return backtest.out_of_sample(rows, "pred", "target").join(rows.groupBy("symbol").agg(F.max("model").alias("model")), "symbol")

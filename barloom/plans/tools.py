@@ -328,8 +328,12 @@ def validation_study(spark: SparkSession, reps: int = 5, n: int = 400, lookback:
     return both.groupBy("rep", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"))
 
 
-def features_of(bars: DataFrame, increment: int = 2, n_long: int = 3, n_short: int = 2, ahead: int = 1) -> tuple[DataFrame, list[str]]:
-    """(bars with crossover features and target, feature names)."""
+def features_of(bars: DataFrame, increment: int = 2, n_long: int = 3, n_short: int = 2, ahead: int = 1, rsi_periods: tuple[int, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(bars with crossover features and target, feature names).
+
+    ``rsi_periods`` adds an EMA-smoothed RSI of each period, from the first bar on
+    that has all features; before it they are null.
+    """
     names, columns = [], []
     for a in range(n_long):
         for b in range(n_short):
@@ -338,7 +342,14 @@ def features_of(bars: DataFrame, increment: int = 2, n_long: int = 3, n_short: i
             name = f"f{short}_{long}_{a}{b}"
             names.append(name)
             columns.append(ind.ma_cross("x", short, long).alias(name) if short < long else (F.col("x") * 0).alias(name))
-    return bars.select("symbol", "i", "x", *columns, ind.targets("x", ahead).alias("target")), names
+    held = bars.select("symbol", "i", "x", *columns, ind.targets("x", ahead).alias("target"))
+    if rsi_periods:
+        start = max([n_long * increment - 1, *rsi_periods])
+        made = {f"rsi{n}": (lambda v, n=n: recurrences.rsi_ema_values(v, n, start)) for n in rsi_periods}
+        rsi = recurrences.per_series(bars, made).select("symbol", "i", *[F.when(F.col("i") >= start, F.col(n)).alias(n) for n in made])
+        names += list(made)
+        held = held.join(rsi, ["symbol", "i"]).select("symbol", "i", "x", *names, "target")
+    return held, names
 
 
 def elastic_net(bars: DataFrame, symbol: str, n_test: int = 252, n_folds: int = 10, alpha: float = 0.5, **kw) -> tuple[models.Model, DataFrame, list[str]]:
@@ -366,6 +377,12 @@ def market_nets(df: DataFrame, names: list[str], n_test: int = 252, n_folds: int
     return found, market_models.predicted(held.drop("block"), found, names)
 
 
+def penalty_table(df: DataFrame, names: list[str], n_test: int = 252, n_folds: int = 10, alpha: float = 0.5, steps: int = 50) -> DataFrame:
+    """``symbol, lam, explained, chosen``: what cross-validation over the training bars finds of each penalty, and which it takes, of every market."""
+    held = split_folds(df, n_test, n_folds)
+    return market_models.penalties(held.where("NOT test"), names, "target", alpha, "symbol", F.col("block"), steps)
+
+
 def combined_features(bars: DataFrame, types: tuple[str, ...] = ("ma", "rsi", "ema", "macd", "roc"), increment: int = 4, n_long: int = 2, n_short: int = 1, ahead: int = 1) -> tuple[DataFrame, list[str], list[dict]]:
     """(bars with a feature for each type and pair of lookbacks, and their target; the features' names; their specs).
 

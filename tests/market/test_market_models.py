@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import barloom.plans.catalog as catalog
-from barloom.operators import market_models, models
+from barloom.operators import market_models, models, recurrences
 from barloom.plans import tools
 from barloom.sources import tables
 
@@ -106,3 +106,20 @@ def test_saved_models_of_all_markets_predict_the_same(spark, sf_dir):
 def test_queries_name_every_feature(spark, sf_dir):
     found = catalog.QUERIES["lambda_path"](spark, sf_dir)
     assert found.columns == ["lam", "f2_6", "f4_6", "f4_12", "f8_12", "symbol"] and found.count() == 100
+
+
+def test_penalties_of_every_market_and_smoothed_rsi_as_features(spark, sf_dir):
+    bars = tables.bars(spark, sf_dir)
+    df, names = tools.features_of(bars, n_long=2, n_short=1, rsi_periods=(5, 9))
+    assert names[-2:] == ["rsi5", "rsi9"]
+    one = df.where("symbol = '1-URGENT'").orderBy("i").collect()
+    x = np.array([r.x for r in one])
+    want = recurrences.rsi_ema_values(x, 9, 9)
+    assert all((r.rsi9 is None) == (r.i < 9) and (r.i < 9 or r.rsi9 == pytest.approx(want[r.i])) for r in one)
+    rows = tools.penalty_table(df, names, n_test=60, n_folds=5, steps=8).collect()
+    assert len(rows) == 40 and sum(r.chosen for r in rows) == 5
+    held = tools.split_folds(df.where("symbol = '1-URGENT'"), 60, 5).where("NOT test")
+    best, lams, explained = models.cross_validate(models.gather(held.select("block", *names, "target"), names, "target", "block"), 0.5, 8, 1e-7, 1000)
+    own = sorted((r for r in rows if r.symbol == "1-URGENT"), key=lambda r: -r.lam)
+    assert np.allclose([r.lam for r in own], lams, rtol=1e-6) and np.allclose([r.explained for r in own], explained, atol=1e-6)
+    assert next(r.lam for r in own if r.chosen) == pytest.approx(best)
