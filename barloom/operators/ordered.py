@@ -8,7 +8,6 @@ number of rows, the totals are one row a block.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dist, rng
 from ..operators import backtest, grids, indicators as ind, market_models, models, optimize, recurrences, replicate, resample, stats
-from ..operators.indicators import MARKET, Series
+from ..operators.indicators import Series
 from ..sources.scratch import kept
 
 YEAR = 252 * 100
