@@ -147,12 +147,12 @@ def register(add) -> None:
         f"WITH {table}, z AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM m) AS hj, (SELECT -sum(nr / t * ln(nr / t)) FROM (SELECT DISTINCT r, nr, t FROM m)) AS hr, (SELECT -sum(nc / t * ln(nc / t)) FROM (SELECT DISTINCT c, nc, t FROM m)) AS hc) "
         "SELECT round((hr + hc - hj) / nullif(hr, 0), 6) AS row_dep, round((hr + hc - hj) / nullif(hc, 0), 6) AS col_dep, round(2 * (hr + hc - hj) / nullif(hr + hc, 0), 6) AS symmetric FROM z",
     )
-    probs = (0.01, 0.1, 0.5, 0.9, 0.99)
+    five = (0.01, 0.1, 0.5, 0.9, 0.99)
     at = lambda p: f"list_sort(list(r))[CAST(least(greatest(floor({p} * (count(*) + 1)) - 1, 0), count(*) - 1) AS INTEGER) + 1]"
     add(
         "order_quantiles",
-        lambda s, d: q(returns(s, d).groupBy("symbol").agg(*[stats.order_quantile("r", p).alias(f"q{k}") for k, p in enumerate(probs)], F.min("r").alias("low"), F.max("r").alias("high"), F.median("r").alias("median")), 8),
-        sql("symbol, " + ", ".join(f"round({at(p)}, 8) AS q{k}" for k, p in enumerate(probs)) + ", round(min(r), 8) AS low, round(max(r), 8) AS high, round(quantile_cont(r, 0.5), 8) AS median", RETURNS, "rr", "GROUP BY symbol"),
+        lambda s, d: q(returns(s, d).groupBy("symbol").agg(*[stats.order_quantile("r", p).alias(f"q{k}") for k, p in enumerate(five)], F.min("r").alias("low"), F.max("r").alias("high"), F.median("r").alias("median")), 8),
+        sql("symbol, " + ", ".join(f"round({at(p)}, 8) AS q{k}" for k, p in enumerate(five)) + ", round(min(r), 8) AS low, round(max(r), 8) AS high, round(quantile_cont(r, 0.5), 8) AS median", RETURNS, "rr", "GROUP BY symbol"),
     )
     m = "avg(r) AS m, count(*) AS n"
     add(

@@ -13,3 +13,7 @@ def test_no_market_is_left_out(spark, sf_dir, name):
 def test_mean_bounds_of_every_market(spark):
     found = catalog.QUERIES["mean_bounds"](spark, "/root/testdata/sf0.01")
     assert found.select("symbol").distinct().count() == 5
+
+
+def test_quantiles_have_the_five_levels_of_their_sql(spark, sf_dir):
+    assert catalog.QUERIES["order_quantiles"](spark, sf_dir).columns == ["symbol", *[f"q{k}" for k in range(5)], "low", "high", "median"]
