@@ -85,14 +85,14 @@ def gamma_half(seed: int, v: int, *parts: Column | str) -> Column:
         return whole
     less, root = v / 2 - 1, (v - 1) ** 0.5
 
-    def candidate(k: Column) -> Column:
-        y = F.tan(uniform(seed, *parts, k) * F.lit(3.141592653589793))
-        x = y * root + less
-        bound = (y * y + 1) * F.exp(F.log(F.greatest(x, F.lit(1e-300)) / less) * less - y * root)
-        return F.struct(x.alias("x"), ((x > 0) & (uniform(seed + 1, *parts, k) <= bound)).alias("ok"))
-
-    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), candidate), lambda c: c["ok"])
-    return F.coalesce(F.get(tried, F.lit(0))["x"], whole)
+    def candidate(k: int) -> Column:
+        """The candidate if it is accepted; ``y`` is drawn once, whatever it is used for."""
+        y = F.tan(uniform(seed, *parts, F.lit(k)) * F.lit(3.141592653589793))
+        x = lambda y: y * root + less
+        bound = lambda y: (y * y + 1) * F.exp(F.log(F.greatest(x(y), F.lit(1e-300)) / less) * less - y * root)
+        return F.element_at(F.transform(F.array(y), lambda y: F.when((x(y) > 0) & (uniform(seed + 1, *parts, F.lit(k)) <= bound(y)), x(y))), 1)
+
+    return F.coalesce(*[candidate(k) for k in range(TRIES)], whole)  # draws end with the first accepted
 
 
 def gamma_half_sql(seed: int, v: int, *parts: str) -> str:

@@ -231,6 +231,6 @@ bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, i ORDER
     shapes = (1, 3, 5, 40)
     add(
         "order_variates",
-        lambda s, d: q(tables.table(s, d, "orders").select("o_orderkey", *[rng.gamma_half(11, v, "o_orderkey").alias(f"gamma{v}") for v in shapes], rng.beta_half(13, 3, 5, "o_orderkey").alias("beta3_5")), 5),
+        lambda s, d: q(tables.spread(tables.table(s, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", *[rng.gamma_half(11, v, "o_orderkey").alias(f"gamma{v}") for v in shapes], rng.beta_half(13, 3, 5, "o_orderkey").alias("beta3_5")), 5),
         "SELECT o_orderkey, " + ", ".join(f"round({rng.gamma_half_sql(11, v, 'o_orderkey')}, 5) AS gamma{v}" for v in shapes) + f", round({rng.beta_half_sql(13, 3, 5, 'o_orderkey')}, 5) AS beta3_5 FROM orders",
     )

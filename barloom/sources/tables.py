@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all shuffle partitions, for work that costs far more than its rows' bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def indexed(bars: DataFrame, by: str = "symbol", order: str = "dt") -> DataFrame:
     """``bars`` with ``i`` (0-based place in its series) and ``x`` (log close).
 

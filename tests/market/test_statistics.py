@@ -117,3 +117,10 @@ def test_keys_may_be_any_columns(spark):
     df = spark.createDataFrame(rows, "a string, b int, i int, r double")
     found = statistics.bootstrap(df, {"mean": statistics.MEAN}, "r", ["a", "b"], "i", 3, 1)
     assert found.columns == ["a", "b", "statistic", "rep", "stat"] and found.count() == 6
+
+
+def test_no_candidate_is_drawn_after_the_first_accepted(spark, monkeypatch):
+    drawn = rng.uniform
+    last = lambda k: F.when(k < rng.TRIES - 1, F.lit(0.0)).otherwise(F.raise_error(F.lit("drawn in vain")).cast("double"))
+    monkeypatch.setattr(rng, "uniform", lambda seed, *parts: drawn(seed, *parts) + last(parts[-1]) if len(parts) > 1 else drawn(seed, *parts))
+    assert spark.range(20).select(rng.beta_half(13, 3, 5, "id").alias("b")).where("b > 0").count() == 20
