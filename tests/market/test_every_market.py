@@ -1,5 +1,6 @@
 import pytest
 
+from barloom.operators import optimize
 from barloom.plans import catalog
 from barloom.sources import tables
 
@@ -17,3 +18,17 @@ def test_mean_bounds_of_every_market(spark):
 
 def test_quantiles_have_the_five_levels_of_their_sql(spark, sf_dir):
     assert catalog.QUERIES["order_quantiles"](spark, sf_dir).columns == ["symbol", *[f"q{k}" for k in range(5)], "low", "high", "median"]
+
+
+def test_searches_in_step_find_what_they_find_alone():
+    bounds, calls = optimize.Bounds((-3.0, -3.0), (3.0, 3.0)), []
+
+    def evaluate(asked):
+        calls.append(len(asked))
+        return {k: optimize.sphere(p) for k, p in asked.items()}
+
+    found = optimize.in_step(evaluate, {k: optimize.evolution(bounds, 10, 5, seed=k) for k in (1, 2, 3)})
+    assert len(calls) <= 11 and calls[0] == 3
+    for k, (best, value, _) in found.items():
+        alone = optimize.differential_evolution(optimize.sphere, bounds, 10, 5, seed=k)
+        assert best.tolist() == alone[0].tolist() and value == alone[1]
